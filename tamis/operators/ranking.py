@@ -45,9 +45,9 @@ def distinct_on(df: DataFrame, key: str, order: str) -> DataFrame:
     return firsts.select(key, "__first.*")
 
 
-def number_rows(df: DataFrame, key: str, order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str, start: int = 0) -> DataFrame:
     """Number the rows inside each group from ``start``."""
-    return positions(df, order, [key], name).withColumn(name, F.col(name) + (start - 1))
+    return positions(df, order, keys, name).withColumn(name, F.col(name) + (start - 1))
 
 
 def index_rows(df: DataFrame, order: Sequence[str | Column], name: str = "index_id") -> DataFrame:

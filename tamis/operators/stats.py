@@ -7,7 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 MARGIN_LIMIT = 5_000_000  # categories whose totals may travel to the tasks
 
@@ -41,7 +42,7 @@ def chi2_sf(x: float, dof: int) -> float:
     return h * scale
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) or k <= 0 else chi2_sf(v, int(k)) for v, k in zip(x, dof)])
 
@@ -114,7 +115,7 @@ def chi2_uniform(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _log_factorial(n: pd.Series) -> pd.Series:
     return n.map(lambda v: math.lgamma(v + 1.0))
 

@@ -24,7 +24,7 @@ TIMING_COUNT_PATTERN = r"([0-9]+)\s+\S+\s*$"
 def read_merged(
     spark: SparkSession,
     paths: str | Sequence[str],
-    schema: StructType,
+    schema: StructType | str,
     cols: Sequence[str] | None = None,
     sep: str = ",",
     keep_empty: bool = False,
@@ -40,11 +40,11 @@ def read_merged(
     return empty_strings(df) if keep_empty else df
 
 
-def read_screen(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_screen(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return read_merged(spark, path, schema)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType, keep_empty: bool = True) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str, schema: StructType | str, keep_empty: bool = True) -> DataFrame:
     return read_merged(spark, path, schema, sep="\t", keep_empty=keep_empty)
 
 
@@ -67,12 +67,13 @@ def concat_tables(*parts: DataFrame) -> DataFrame:
 
 def read_smi(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``structure id`` without header."""
-    return smi_fields(spark.read.text(path), "value")
+    return smi_fields(spark.read.text(path, lineSep="\n"), "value")
 
 
 def smi_fields(df: DataFrame, line: str, *keep: str) -> DataFrame:
     """First and second field of a stripped line; the second may be missing."""
-    parts = F.split(F.trim(F.col(line)), r"\s+")
+    stripped = F.regexp_replace(F.col(line), r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    parts = F.split(stripped, " ")
     return df.select(*keep, F.get(parts, F.lit(0)).alias("structure"), F.get(parts, F.lit(1)).alias("id"))
 
 
