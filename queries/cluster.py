@@ -10,7 +10,21 @@ from tamis.operators.checks import differences
 from tamis.plans.screen import order_list
 
 
-@query("leader_clusters")
+@query(
+    "leader_clusters",
+    f"""WITH RECURSIVE {COMPOUNDS_SQL}, d AS (SELECT bits, min(id) AS id, count(*) AS n FROM compounds GROUP BY bits),
+          near AS (SELECT a.id, list(b.id) AS ids, sum(b.n) AS n FROM d a JOIN d b ON a.id <> b.id
+                   AND 1 - {TANIMOTO_SQL} <= 0.45 + 1e-9 GROUP BY a.id),
+          o AS (SELECT d.id, d.bits, coalesce(near.ids, []) AS ids,
+                  row_number() OVER (ORDER BY coalesce(near.n, 0) + d.n - 1 DESC, d.id) AS i FROM d LEFT JOIN near ON d.id = near.id),
+          st(i, heads) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+            SELECT o.i, CASE WHEN len(list_intersect(o.ids, st.heads)) = 0 THEN list_append(st.heads, o.id) ELSE st.heads END
+            FROM st JOIN o ON o.i = st.i + 1),
+          heads AS (SELECT unnest(heads) AS leader_id, unnest(range(len(heads))) AS cluster_id FROM (
+            SELECT heads FROM st ORDER BY i DESC LIMIT 1))
+        SELECT c.id, arg_min(leader_id, cluster_id) AS leader_id, min(cluster_id) AS cluster_id
+        FROM compounds c JOIN o ON c.bits = o.bits JOIN heads ON list_contains(o.ids, leader_id) OR o.id = leader_id GROUP BY c.id""",
+)
 def leader_clusters(spark, sf):
     df = compounds(spark, sf).select("id", "fp")
     return neighbors.leader_clusters(df, "fp", "id", N_BITS, 0.45)
@@ -31,25 +45,37 @@ SCORED_SQL = (
 PICKS = 8
 
 
-@query(
-    "diverse_pick",
-    f"""WITH RECURSIVE {SCORED_SQL}, d AS MATERIALIZED (SELECT a.id, a.score, b.id AS other, 1 - {TANIMOTO_SQL} AS dist FROM scored a, scored b),
+def _picks_sql(n: int) -> str:
+    """Greedy picks among the rows of ``cand``."""
+    return f"""d AS MATERIALIZED (SELECT a.id, a.score, b.id AS other, 1 - {TANIMOTO_SQL} AS dist FROM cand a, cand b),
         pick(i, chosen) AS (
-          SELECT 1, [(SELECT id FROM scored ORDER BY score DESC, id LIMIT 1)]
+          SELECT 1, [(SELECT id FROM cand ORDER BY score DESC, id LIMIT 1)]
           UNION ALL
           SELECT i + 1, list_append(any_value(chosen), arg_max(id, (mean, score, -id))) FROM (
             SELECT p.i, any_value(p.chosen) AS chosen, d.id, d.score, round(avg(d.dist), 12) AS mean
             FROM pick p JOIN d ON list_contains(p.chosen, d.other) AND NOT list_contains(p.chosen, d.id)
-            WHERE p.i < {PICKS} GROUP BY p.i, d.id, d.score) GROUP BY i)
-        SELECT id, CAST(place - 1 AS INTEGER) AS pick_order FROM (
-          SELECT unnest(chosen) AS id, unnest(range(1, {PICKS + 1})) AS place FROM pick WHERE i = {PICKS})""",
+            WHERE p.i < {n} GROUP BY p.i, d.id, d.score) GROUP BY i),
+        picks AS (SELECT id, CAST(place - 1 AS INTEGER) AS pick_order FROM (
+          SELECT unnest(chosen) AS id, unnest(range(1, {n + 1})) AS place FROM pick WHERE i = {n}))"""
+
+
+@query(
+    "diverse_pick",
+    f"WITH RECURSIVE {SCORED_SQL}, cand AS (SELECT * FROM scored), {_picks_sql(PICKS)} SELECT id, pick_order FROM picks",
 )
 def diverse_pick(spark, sf):
     picks = neighbors.pick_diverse(scored(spark, sf), "fp", "id", "score", N_BITS, PICKS)
     return picks.select("id", "pick_order")
 
 
-@query("final_order_list")
+@query(
+    "final_order_list",
+    f"""WITH RECURSIVE {SCORED_SQL}, cand AS (SELECT * FROM (
+          SELECT id, bits, score, substr(bits, 1, 5) AS cluster,
+                 row_number() OVER (PARTITION BY substr(bits, 1, 5) ORDER BY score DESC, id) AS place
+          FROM scored WHERE active = 0 AND score > -1) WHERE place = 1), {_picks_sql(6)}
+        SELECT id, score, cluster, pick_order FROM picks JOIN cand USING (id)""",
+)
 def final_order_list(spark, sf):
     df = scored(spark, sf).withColumn("cluster", F.substring("bits", 1, 5))
     stages = [("inactive", F.col("active") == 0), ("scored", F.col("score") > -1)]
@@ -102,16 +128,16 @@ SLOPES = [0.25 * i for i in range(1, 13)]
     f"""WITH d AS (SELECT user_id, CASE event_type {' '.join(f"WHEN '{t}' THEN {v}e0" for t, v in DOSES.items())} END AS d, value AS y FROM events),
           p AS (SELECT user_id, d, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM d GROUP BY ALL),
           g AS (SELECT * FROM (VALUES {', '.join(f'({m}e0)' for m in MIDPOINTS)}) a(m), (VALUES {', '.join(f'({h}e0)' for h in SLOPES)}) b(h)),
-          e AS (SELECT user_id, m, h, sum(n) AS n, round(sum(q - 2 * f * s + n * f * f), 3) AS sse FROM (
+          e AS (SELECT user_id, m, h, sum(n) AS n, round(sum(q - 2 * f * s + n * f * f), 6) AS sse FROM (
                   SELECT p.*, m, h, 180e0 / (1 + pow(d / m, h)) AS f FROM p, g) GROUP BY user_id, m, h)
-        SELECT user_id, arg_min(m, (sse, m, h)) AS midpoint, arg_min(h, (sse, m, h)) AS slope, round(min(sse), 2) AS sse,
+        SELECT user_id, arg_min(m, (sse, m, h)) AS midpoint, arg_min(h, (sse, m, h)) AS slope, round(min(sse), 3) AS sse,
                CAST(max(n) AS BIGINT) AS n FROM e GROUP BY user_id""",
 )
 def dose_response_fit(spark, sf):
     dose = F.expr("CASE event_type " + " ".join(f"WHEN '{t}' THEN {v}D" for t, v in DOSES.items()) + " END")
     df = table(spark, sf, "events").select("user_id", dose.alias("dose"), "value")
     out = stats.fit_hill(df, "user_id", "dose", "value", MIDPOINTS, SLOPES)
-    return out.withColumn("sse", F.round("sse", 2))
+    return out.withColumn("sse", F.round("sse", 3))
 
 
 @query(

@@ -34,10 +34,10 @@ ORDER_SQL = "o AS (SELECT label, row_number() OVER (ORDER BY score DESC, id) AS
 
 @query(
     "hits_at_n",
-    f"""WITH {RANKED_SQL}, {ORDER_SQL} SELECT CAST(100 AS BIGINT) AS n, CAST(sum(label) FILTER (WHERE rank <= 100) AS BIGINT) AS hits FROM o""",
+    f"""WITH {RANKED_SQL}, {ORDER_SQL} SELECT CAST(40 AS BIGINT) AS n, CAST(sum(label) FILTER (WHERE rank <= 40) AS BIGINT) AS hits FROM o""",
 )
 def hits_at_n(spark, sf):
-    return metrics.hits_at_n(ranked(spark, sf), "score", "label", "id", 100)
+    return metrics.hits_at_n(ranked(spark, sf), "score", "label", "id", 40)
 
 
 @query(

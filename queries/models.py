@@ -144,9 +144,9 @@ def prospective_score(spark, sf):
     f"""WITH w AS (SELECT doc_id, string_split({CANONICAL_SQL}, ' ') AS w FROM documents),
           f AS (SELECT doc_id, {hash_fp_sql(1024, 1)} AS f FROM w),
           r AS (SELECT * FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 1)),
-          s AS (SELECT a.doc_id, r.doc_id AS ref, len(list_intersect(a.f, r.f)) AS both, len(a.f) + len(r.f) AS total FROM f a, r)
-        SELECT doc_id, round(max(both * 1e0 / (total - both)), 6) AS score,
-               arg_min(ref, (-(both * 1e0 / (total - both)), ref)) AS nearest_active_id FROM s GROUP BY doc_id""",
+          s AS (SELECT a.doc_id, r.doc_id AS ref, len(list_intersect(a.f, r.f)) AS shared, len(a.f) + len(r.f) AS total FROM f a, r)
+        SELECT doc_id, round(max(shared * 1e0 / (total - shared)), 6) AS score,
+               arg_min(ref, (-(shared * 1e0 / (total - shared)), ref)) AS nearest_active_id FROM s GROUP BY doc_id""",
 )
 def catalog_score_job(spark, sf):
     """Raw text to canonical text, fingerprint and similarity to the actives, in one pass."""

@@ -23,9 +23,13 @@ def strip_parts(text: str | Column, parts: Sequence[str], separator: str = ".")
     return F.array_join(F.filter(pieces, lambda p: ~p.isin(list(parts))), separator)
 
 
-def shingles(tokens: str | Column, radius: int) -> Column:
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, although used many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shingles(tokens: Column, radius: int) -> Column:
     """Token runs of length 1..radius+1, one per start position."""
-    tokens = _col(tokens)
 
     def runs(length: int) -> Column:
         starts = F.when(
@@ -41,11 +45,9 @@ def hash_fp(tokens: str | Column, radius: int, n_bits: int) -> Column:
 
     Returns the sorted positions of the ones.
     """
-    codes = F.transform(
-        F.array_distinct(shingles(tokens, radius)),
-        lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % n_bits).cast("int"),
-    )
-    return F.array_sort(F.array_distinct(codes))
+    code = lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % n_bits).cast("int")
+    codes = _once(_col(tokens), lambda t: F.transform(shingles(t, radius), code))
+    return F.sort_array(F.array_distinct(codes))
 
 
 def encode_chars(text: str | Column, codes: Mapping[str, int]) -> Column:

@@ -205,7 +205,11 @@ def diff_metrics(a: DataFrame, b: DataFrame, on: Sequence[str], cols: Sequence[s
     """Absolute difference of recomputed and recorded metrics, and whether all are within ``tol``."""
     left = a.select(*on, *[F.col(c).alias(f"__a_{c}") for c in cols])
     right = b.select(*on, *[F.col(c).alias(f"__b_{c}") for c in cols])
-    diffs = [F.abs(F.col(f"__a_{c}") - F.col(f"__b_{c}")).alias(f"diff_{c}") for c in cols]
+    def diff(c: str) -> Column:
+        x, y = F.col(f"__a_{c}"), F.col(f"__b_{c}")
+        return F.when(x.isNull() & y.isNull(), 0.0).otherwise(F.abs(x - y)).alias(f"diff_{c}")
+
+    diffs = [diff(c) for c in cols]
     table = left.join(right, list(on), "full").select(*on, *diffs)
     same = F.lit(True)
     for c in cols:
