@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tamis.functions.bits import pack_bits, sign_bits
 from tamis.functions.text import canonical
+from tamis.operators.joins import text_key
+from tamis.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,6 +138,6 @@ TEXTS_SQL = f"""texts AS (
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
-        "doc_id", "lang", "source", "n_chars", canonical("text").alias("canonical")
-    )
+    """Documents with the digest of their canonical text as the key to compare."""
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    return docs.select("doc_id", "lang", "source", "n_chars", text_key(canonical("text")).alias("canonical"))

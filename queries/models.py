@@ -10,7 +10,7 @@ from tamis.operators.metrics import evaluation_report
 from tamis.operators.splits import cv_split, stratified_folds
 from tamis.plans.crossval import run_cv
 from tamis.plans.screen import featurize, score_catalog, with_words
-from tamis.session import materialize
+from tamis.session import materialize, spread
 
 TREES = {"n_estimators": 10, "max_depth": 4}
 
@@ -150,9 +150,10 @@ def prospective_score(spark, sf):
 )
 def catalog_score_job(spark, sf):
     """Raw text to canonical text, fingerprint and similarity to the actives, in one pass."""
-    docs = with_words(featurize(table(spark, sf, "documents").select("doc_id", "text"), "text", 1, 1024), 1024)
+    raw = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = with_words(featurize(raw, "text", 1, 1024), 1024)
     labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") * F.col("toxic")).alias("active"))
-    docs = docs.select("doc_id", "fp")
+    docs = materialize(docs.select("doc_id", "fp"), "prints")  # read for the actives and the scores
     model = rankers.SimilarityRanker("fp", "doc_id", "active", 1024).fit(docs.join(labels, "doc_id"))
     out = model.transform(docs)
     return out.select("doc_id", F.round("score", 6).alias("score"), "nearest_active_id")

@@ -7,6 +7,7 @@ from queries.base import CANONICAL_SQL, COMPOUNDS_SQL, TANIMOTO_SQL, compounds,
 from queries.joins import LEAD_SQL, _with_leader
 from tamis.functions import bits, rows, text
 from tamis.operators import rules
+from tamis.session import spread
 
 N_BITS = 64
 
@@ -147,7 +148,7 @@ def _alert_sql(kept) -> str:
 
 @query("alert_rules", f"SELECT doc_id, {_alert_sql('ABC')} AS alert FROM documents")
 def alert_rules(spark, sf):
-    return rules.apply_rules(table(spark, sf, "documents"), "text", _rules(spark)).select("doc_id", "alert")
+    return rules.apply_rules(spread(table(spark, sf, "documents"), "doc_id"), "text", _rules(spark)).select("doc_id", "alert")
 
 
 @query(
@@ -156,7 +157,7 @@ def alert_rules(spark, sf):
 )
 def rule_set_select(spark, sf):
     enabled = rules.enabled_rules(_rules(spark), SWITCHES)
-    marked = rules.apply_rules(table(spark, sf, "documents"), "text", enabled)
+    marked = rules.apply_rules(spread(table(spark, sf, "documents"), "doc_id"), "text", enabled)
     return marked.groupBy("alert").agg(F.count("*").alias("n"))
 
 
@@ -209,7 +210,8 @@ def hash_fp_sql(n_bits: int, radius: int) -> str:
 )
 def hashed_fingerprint(spark, sf):
     words = F.split(text.canonical("text"), " ")
-    df = table(spark, sf, "documents").select("doc_id", text.hash_fp(words, 2, 1024).alias("f"))
+    docs = spread(table(spark, sf, "documents"), "doc_id")
+    df = docs.select("doc_id", text.hash_fp(words, 2, 1024).alias("f"))
     return df.select("doc_id", F.size("f").cast("long").alias("n_ones"), F.md5(F.array_join("f", ",")).alias("digest"))
 
 

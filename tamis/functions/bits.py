@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.functions.text import once
+
 WORD = 64
 
 
@@ -31,10 +33,8 @@ def pack_bits(bits: str | Column, n_bits: int) -> Column:
     """Bit string to an array of signed 64-bit words, first bit highest."""
     if n_bits % WORD:
         raise ValueError("n_bits must be a multiple of 64")
-    bits = _col(bits)
-    return F.array(
-        *[F.conv(F.substring(bits, i + 1, WORD), 2, -10).cast("long") for i in range(0, n_bits, WORD)]
-    )
+    word = lambda b, i: F.conv(F.substring(b, i + 1, WORD), 2, -10).cast("long")
+    return once(_col(bits), lambda b: F.array(*[word(b, i) for i in range(0, n_bits, WORD)]))
 
 
 def bits_to_array(bits: str | Column) -> Column:
@@ -54,11 +54,12 @@ def set_bits(bits: str | Column) -> Column:
 
 def positions_to_bits(positions: str | Column, n_bits: int) -> Column:
     """Sorted positions of ones to a bit string."""
-    where = _col(positions)
-    slots = F.sequence(F.lit(0), F.lit(n_bits - 1))
-    return F.array_join(
-        F.transform(slots, lambda i: F.when(F.array_contains(where, i), "1").otherwise("0")), ""
-    )
+    def runs(p: Column) -> Column:
+        gap = lambda x, i: x - F.coalesce(F.get(p, i - 1), F.lit(-1)) - 1
+        ones = F.transform(p, lambda x, i: F.concat(F.repeat(F.lit("0"), gap(x, i)), F.lit("1")))
+        return F.rpad(F.array_join(ones, ""), n_bits, "0")
+
+    return once(_col(positions), runs)
 
 
 def popcount(words: str | Column, n_words: int) -> Column:

@@ -14,7 +14,8 @@ def _col(c: str | Column) -> Column:
 
 def canonical(text: str | Column) -> Column:
     """Join key of a structure: lower case, single spaces, no outer spaces."""
-    return F.trim(F.regexp_replace(F.lower(_col(text)), r"[ \t\r\n]+", " "))
+    # Single spaces, the most frequent by far, are not rewritten.
+    return F.trim(F.regexp_replace(F.lower(_col(text)), r"[ \t\r\n]{2,}|[\t\r\n]", " "))
 
 
 def strip_parts(text: str | Column, parts: Sequence[str], separator: str = ".") -> Column:
@@ -23,7 +24,7 @@ def strip_parts(text: str | Column, parts: Sequence[str], separator: str = ".")
     return F.array_join(F.filter(pieces, lambda p: ~p.isin(list(parts))), separator)
 
 
-def _once(value: Column, use) -> Column:
+def once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, although used many times."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -46,7 +47,7 @@ def hash_fp(tokens: str | Column, radius: int, n_bits: int) -> Column:
     Returns the sorted positions of the ones.
     """
     code = lambda s: (F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % n_bits).cast("int")
-    codes = _once(_col(tokens), lambda t: F.transform(shingles(t, radius), code))
+    codes = once(_col(tokens), lambda t: F.transform(shingles(t, radius), code))
     return F.sort_array(F.array_distinct(codes))
 
 

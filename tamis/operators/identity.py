@@ -69,8 +69,8 @@ def group_identities(
     sides of a graph; ids are linked through the smallest id of each structure,
     so a structure with a million ids gives a million links, not their square.
     """
-    pairs = df.select(F.col(id_key).alias("a"), F.col(structure_key).alias("b")).na.drop().distinct()
-    hubs = pairs.groupBy("b").agg(F.min("a").alias("hub"))
+    pairs = df.select(F.col(id_key).alias("a"), F.col(structure_key).alias("b")).na.drop()
+    hubs = pairs.groupBy("b").agg(F.min("a").alias("hub"), F.max("a").alias("far")).filter("hub < far")
     links = pairs.join(hubs, "b").select(F.col("a").alias("u"), F.col("hub").alias("v"))
     found = components(links).withColumnsRenamed({"node": id_key, "component": group})
     named = df.join(found, id_key, "left").withColumn(group, F.coalesce(group, id_key))

@@ -32,11 +32,16 @@ def enrich(df: DataFrame, info: DataFrame, on: str, cols: Sequence[str]) -> Data
     return df.join(one, on)
 
 
+def text_key(text: str | Column) -> Column:
+    """128-bit digest of a long text, to join on instead of the text itself."""
+    return F.md5(text)
+
+
 def exclude_known(df: DataFrame, *known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is in no known table, and apart from them the rows without a key.
 
     SQL never matches NULL with NULL; rows without a structure are set aside
-    instead of passing as new.
+    instead of passing as new. Long texts are better compared by ``text_key``.
     """
     seen = reduce(lambda a, b: a.union(b), [k.select(key) for k in known]).distinct()
     return df.filter(F.col(key).isNotNull()).join(seen, key, "left_anti"), df.filter(F.col(key).isNull())

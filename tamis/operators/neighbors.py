@@ -224,7 +224,10 @@ def _join_above(a: DataFrame, b: DataFrame, threshold: float, n_words: int, orde
         rank[bit] = r
     rank_of = F.array(*[F.lit(r) for r in rank])
 
-    left = _with_prefix(a, "fp_a", rank_of, threshold, n_words).select(
+    # The join multiplies its rows, so they start out dealt over all tasks, even
+    # when the other side is small enough to be sent to them.
+    dealt = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id_a")
+    left = _with_prefix(dealt, "fp_a", rank_of, threshold, n_words).select(
         "id_a", "fp_a", F.col("__n").alias("n_a"), F.col("__prefix").alias("p_a"), F.col("__band").alias("band_a")
     )
     right = _with_prefix(b, "fp_b", rank_of, threshold, n_words).select(
@@ -255,8 +258,9 @@ def pairwise(
     if max_distance >= 1:
         raise ValueError("keep only pairs below a distance of 1")
     n_words = n_bits // WORD
-    left = copies(x.filter(popcount(fp, n_words) > 0), id_col, fp)
-    right = left if y is None else copies(y.filter(popcount(fp, n_words) > 0), id_col, fp)
+    single = lambda d: materialize(copies(d.filter(popcount(fp, n_words) > 0), id_col, fp), "prints")
+    left = single(x)
+    right = left if y is None else single(y)
     pairs = _join_above(
         left.select(F.col(id_col).alias("id_a"), F.col(fp).alias("fp_a")),
         right.select(F.col(id_col).alias("id_b"), F.col(fp).alias("fp_b")),

@@ -16,9 +16,8 @@ from tamis.operators.ranking import best_per
 
 def featurize(df: DataFrame, text: str, radius: int, n_bits: int) -> DataFrame:
     """Canonical text, hashed fingerprint positions and packed words of raw lines."""
-    key = canonical(text)
-    ones = hash_fp(F.split(key, " "), radius, n_bits)
-    return df.withColumn("canonical", key).withColumn("ones", ones)
+    keyed = df.withColumn("canonical", canonical(text))
+    return keyed.withColumn("ones", hash_fp(F.split("canonical", " "), radius, n_bits))
 
 
 def with_words(df: DataFrame, n_bits: int, ones: str = "ones", fp: str = "fp") -> DataFrame:

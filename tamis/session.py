@@ -55,3 +55,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal out a table that comes in fewer splits than there are cores.
+
+    For heavy work per row only. A large table has more splits than cores and is
+    left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
