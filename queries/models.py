@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import CANONICAL_SQL, COMPOUNDS_SQL, FOLDED_SQL, N_BITS, TANIMOTO_SQL, compounds, query, table
+from queries.base import COMPOUNDS_SQL, FOLDED_SQL, N_BITS, TANIMOTO_SQL, compounds, query, table
 from queries.scalar import hash_fp_sql
 from tamis.functions.bits import bits_to_vector
 from tamis.models import ensembles, rankers
@@ -141,12 +141,13 @@ def prospective_score(spark, sf):
 
 @query(
     "catalog_score_job",
-    f"""WITH w AS (SELECT doc_id, string_split({CANONICAL_SQL}, ' ') AS w FROM documents),
-          f AS (SELECT doc_id, {hash_fp_sql(1024, 1)} AS f FROM w),
-          r AS (SELECT * FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 1)),
-          s AS (SELECT a.doc_id, r.doc_id AS ref, len(list_intersect(a.f, r.f)) AS shared, len(a.f) + len(r.f) AS total FROM f a, r)
-        SELECT doc_id, round(max(shared * 1e0 / (total - shared)), 6) AS score,
-               arg_min(ref, (-(shared * 1e0 / (total - shared)), ref)) AS nearest_active_id FROM s GROUP BY doc_id""",
+    f"""WITH {hash_fp_sql(1024, 1)}, sizes AS (SELECT doc_id, count(*) AS n FROM ones GROUP BY doc_id),
+          actives AS (SELECT * FROM sizes WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 1)),
+          shared AS (SELECT a.doc_id, r.doc_id AS ref, count(*) AS n FROM ones a JOIN ones r ON a.bit = r.bit
+                     WHERE r.doc_id IN (SELECT doc_id FROM actives) GROUP BY ALL),
+          s AS (SELECT a.doc_id, r.doc_id AS ref, coalesce(c.n, 0) * 1e0 / (a.n + r.n - coalesce(c.n, 0)) AS sim
+                FROM sizes a CROSS JOIN actives r LEFT JOIN shared c ON c.doc_id = a.doc_id AND c.ref = r.doc_id)
+        SELECT doc_id, round(max(sim), 6) AS score, arg_min(ref, (-sim, ref)) AS nearest_active_id FROM s GROUP BY doc_id""",
 )
 def catalog_score_job(spark, sf):
     """Raw text to canonical text, fingerprint and similarity to the actives, in one pass."""

@@ -193,20 +193,23 @@ def strip_components(spark, sf):
 
 
 def hash_fp_sql(n_bits: int, radius: int) -> str:
-    """Positions of the ones of the hashed fingerprint of column w, a list of words."""
-    runs = ", ".join(
-        f"list_transform(range(1, greatest(len(w) - {k - 2}, 1)), lambda i: array_to_string(w[i:i + {k - 1}], ' '))"
+    """Ones of the hashed fingerprint of each document: rows doc_id, bit of table ones."""
+    run = lambda k: " || ' ' || ".join(["a", *[f"lead(a, {j}) OVER w" for j in range(1, k)]])
+    runs = " UNION ALL ".join(
+        f"SELECT doc_id, {run(k)} AS s FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)"
         for k in range(1, radius + 2)
     )
-    code = f"CAST(CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) % {n_bits} AS INTEGER)"
-    return f"list_sort(list_distinct(list_transform(flatten([{runs}]), lambda s: {code})))"
+    return f"""words AS (SELECT doc_id, string_split({CANONICAL_SQL}, ' ') AS w FROM documents),
+          tokens AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM words),
+          runs AS ({runs}),
+          ones AS (SELECT DISTINCT doc_id, CAST(CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) % {n_bits} AS INTEGER) AS bit
+                   FROM (SELECT DISTINCT doc_id, s FROM runs WHERE s IS NOT NULL))"""
 
 
 @query(
     "hashed_fingerprint",
-    f"""SELECT doc_id, len(f) AS n_ones, md5(array_to_string(f, ',')) AS digest FROM (
-          SELECT doc_id, {hash_fp_sql(1024, 2)} AS f FROM (
-            SELECT doc_id, string_split({CANONICAL_SQL}, ' ') AS w FROM documents))""",
+    f"""WITH {hash_fp_sql(1024, 2)}
+        SELECT doc_id, count(*) AS n_ones, md5(string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit)) AS digest FROM ones GROUP BY doc_id""",
 )
 def hashed_fingerprint(spark, sf):
     words = F.split(text.canonical("text"), " ")
