@@ -122,7 +122,7 @@ def positional_join(spark, sf):
 
 
 SETS_SQL = """CASE WHEN substr(md5(CAST(id AS VARCHAR)), 1, 1) < '8' THEN 'train'
-                  WHEN substr(md5(CAST(id AS VARCHAR)), 1, 1) < 'c' THEN 'ams' ELSE 'real' END"""
+                  WHEN substr(md5(CAST(id AS VARCHAR)), 1, 1) < 'c' THEN 'ordered' ELSE 'real' END"""
 
 
 def clustered(spark, sf):
@@ -132,7 +132,7 @@ def clustered(spark, sf):
         "id",
         F.substring("bits", 1, 6).alias("cluster"),
         F.col("active").alias("hit"),
-        F.when(first < "8", "train").when(first < "c", "ams").otherwise("real").alias("dataset"),
+        F.when(first < "8", "train").when(first < "c", "ordered").otherwise("real").alias("dataset"),
     )
 
 
@@ -150,14 +150,14 @@ def _flag_sql(name: str) -> str:
 @query(
     "cluster_flags",
     f"""WITH {CLUSTERED_SQL}, known AS (SELECT * FROM clustered WHERE dataset <> 'real')
-        SELECT r.id, r.cluster, {_flag_sql('train')}, {_flag_sql('ams')}
+        SELECT r.id, r.cluster, {_flag_sql('train')}, {_flag_sql('ordered')}
         FROM clustered r LEFT JOIN known c ON r.cluster = c.cluster WHERE r.dataset = 'real' GROUP BY r.id, r.cluster""",
 )
 def cluster_flags(spark, sf):
     rows = clustered(spark, sf)
     candidates = rows.filter("dataset = 'real'").select("id", "cluster")
     return joins.cluster_flags(
-        candidates, rows.filter("dataset <> 'real'"), "cluster", "dataset", "hit", ["train", "ams"]
+        candidates, rows.filter("dataset <> 'real'"), "cluster", "dataset", "hit", ["train", "ordered"]
     )
 
 
@@ -183,8 +183,8 @@ def nearest_active(spark, sf):
           FROM compounds a, compounds b WHERE a.cluster NOT IN (1, 2) AND b.cluster IN (1, 2))
         SELECT id, arg_min(ref, (-sim, ref)) FILTER (WHERE cluster = 1) AS nearest_train_id,
                round(1 - max(sim) FILTER (WHERE cluster = 1), 6) AS distance_train,
-               arg_min(ref, (-sim, ref)) FILTER (WHERE cluster = 2) AS nearest_ams_id,
-               round(1 - max(sim) FILTER (WHERE cluster = 2), 6) AS distance_ams
+               arg_min(ref, (-sim, ref)) FILTER (WHERE cluster = 2) AS nearest_ordered_id,
+               round(1 - max(sim) FILTER (WHERE cluster = 2), 6) AS distance_ordered
         FROM s GROUP BY id""",
 )
 def nearest_by_group(spark, sf):
@@ -192,16 +192,16 @@ def nearest_by_group(spark, sf):
     refs = df.filter("cluster IN (1, 2)").select(
         F.col("id").alias("ref_id"),
         F.col("fp").alias("ref_fp"),
-        F.when(F.col("cluster") == 1, "train").otherwise("ams").alias("dataset"),
+        F.when(F.col("cluster") == 1, "train").otherwise("ordered").alias("dataset"),
     )
     rows = df.filter("cluster NOT IN (1, 2)").select("id", "fp")
-    near = neighbors.nearest_per_group(rows, refs, ["train", "ams"], "dataset", "fp", "id", N_BITS)
+    near = neighbors.nearest_per_group(rows, refs, ["train", "ordered"], "dataset", "fp", "id", N_BITS)
     return near.select(
         "id",
         "nearest_train_id",
         F.round("distance_train", 6).alias("distance_train"),
-        "nearest_ams_id",
-        F.round("distance_ams", 6).alias("distance_ams"),
+        "nearest_ordered_id",
+        F.round("distance_ordered", 6).alias("distance_ordered"),
     )
 
 

@@ -18,7 +18,7 @@ from tamis.session import materialize
 # Reference fingerprints that may be sent to every task (25 MB at 1024 bits).
 REFERENCE_LIMIT = 200_000
 ROW_BLOCK, REFERENCE_BLOCK = 2048, 8192
-NEAREST_STEPS = (0.8, 0.6, 0.4, 0.2, 0.0)
+NEAREST_STEPS = (0.8, 0.6, 0.4, 0.2, 0.1, 0.0)
 
 
 def _unpack(words: pd.Series | list, n_words: int) -> np.ndarray:
@@ -138,10 +138,13 @@ def _nearest_by_joins(df: DataFrame, refs: DataFrame, fp: str, id_col: str, n_wo
         )
         found = best if found is None else found.unionByName(best)
         open_rows = materialize(open_rows.join(best, "id_a", "left_anti"), "open")
-    lowest = targets.agg(F.min("id_b").alias("i"))
+    # No common bit: all references are equally far, except that two empty
+    # fingerprints have no similarity at all.
+    lowest = refs.agg(F.min("ref_id"))
+    lowest_filled = targets.agg(F.min("id_b"))
     rest = open_rows.select("id_a", lowest.scalar().alias("__ref"), F.lit(0.0).alias("__sim"))
     blank = df.filter(popcount(fp, n_words) == 0).select(
-        F.col(id_col).alias("id_a"), lowest.scalar().alias("__ref"), F.lit(0.0).alias("__sim")
+        F.col(id_col).alias("id_a"), lowest_filled.scalar().alias("__ref"), F.lit(0.0).alias("__sim")
     )
     return found.unionByName(rest).unionByName(blank).withColumnRenamed("id_a", id_col)
 
@@ -313,14 +316,14 @@ def leader_clusters(
         sizes.join(around, sizes.id == around.u, "left").select(
             "id",
             F.struct(
-                (F.coalesce("n_near", F.lit(0)) + F.col("n_copies") - 1).alias("n"), (-F.col("id")).alias("i")
+                (1 - F.col("n_copies") - F.coalesce("n_near", F.lit(0))).alias("n"), F.col("id").alias("i")
             ).alias("p"),
         ),
         "order",
     )
-    # Edges point from the later to the earlier row of the order.
+    # Edges point from the later to the earlier row of the order, smallest first.
     named = both.join(ordered.toDF("u", "pu"), "u").join(ordered.toDF("v", "pv"), "v")
-    upward = materialize(named.filter("pv > pu").select("u", "v", "pv"), "upward")
+    upward = materialize(named.filter("pv < pu").select("u", "v", "pv"), "upward")
     edges, closed, led = upward, [], []
     for _ in range(max_rounds):
         if edges.isEmpty():
@@ -344,7 +347,7 @@ def leader_clusters(
     else:
         heads = ordered
     numbered = materialize(
-        positions(heads, [F.col("p").desc()], name="cluster_id").select(
+        positions(heads, ["p"], name="cluster_id").select(
             F.col("id").alias("v"), (F.col("cluster_id") - 1).alias("cluster_id")
         ),
         "heads",
@@ -375,7 +378,7 @@ def pick_diverse(df: DataFrame, fp: str, id_col: str, score: str, n_bits: int, n
     rows = materialize(df.select(id_col, score, fp), "candidates")
     first = rows.orderBy(F.col(score).desc(), F.col(id_col)).limit(1).collect()
     chosen = list(first)
-    better = F.struct(F.col("__mean"), F.col(score), (-F.col(id_col)).alias("i"))
+    order = F.struct((-F.col("__mean")).alias("m"), (-F.col(score)).alias("s"), F.col(id_col).alias("i"))
     while chosen and len(chosen) < n:
         picked = np.array([r[fp] for r in chosen], dtype=np.int64)
 
@@ -387,7 +390,7 @@ def pick_diverse(df: DataFrame, fp: str, id_col: str, score: str, n_bits: int, n
         left = rows.filter(~F.col(id_col).isin([r[id_col] for r in chosen]))
         best = (
             left.withColumn("__mean", mean_distance(F.col(fp)))
-            .agg(F.max_by(F.struct(id_col, score, fp), better).alias("best"))
+            .agg(F.min_by(F.struct(id_col, score, fp), order).alias("best"))
             .first()
             .best
         )

@@ -109,7 +109,7 @@ def hash_positions(
     seed: int | None = None,
     name: str = "position",
     size: str = "group_size",
-    digits: int = 3,
+    digits: int = 4,
 ) -> DataFrame:
     """Number the rows of each group in the order of a hash of their key.
 

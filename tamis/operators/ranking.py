@@ -15,6 +15,8 @@ from tamis.operators.order import positions
 
 # Above this a k-best list is ranked like a table instead of merged in one place.
 TOP_K_LIMIT = 1_000_000
+# Rows that may reach the one task that merges the tasks' best rows.
+MERGE_LIMIT = 20_000_000
 
 
 def best_first(score: str, id_col: str) -> list[Column]:
@@ -29,11 +31,11 @@ def rank_by(df: DataFrame, score: str, id_col: str, name: str = "rank", size: st
 def best_per(df: DataFrame, key: str, score: str, id_col: str) -> DataFrame:
     """Best row of each group, as a partial aggregate: no group is gathered."""
     rest = [c for c in df.columns if c != key]
-    order = F.struct(F.col(score).alias("s"), (-F.col(id_col)).alias("i"))
+    order = F.struct((-F.col(score)).alias("s"), F.col(id_col).alias("i"))
     return (
         df.filter(F.col(score).isNotNull())
         .groupBy(key)
-        .agg(F.max_by(F.struct(*rest), order).alias("__best"))
+        .agg(F.min_by(F.struct(*rest), order).alias("__best"))
         .select(key, "__best.*")
     )
 
@@ -67,11 +69,33 @@ def expand(df: DataFrame, count: str, name: str = "repeat") -> DataFrame:
     return df.filter(n > 0).withColumn(name, F.explode(F.sequence(F.lit(1), n)))
 
 
+def _above_cut(df: DataFrame, score: str, k: int) -> DataFrame:
+    """Rows that can be among the k best, for a table of many partitions.
+
+    Approximate quantiles propose cuts towards the top; counting decides, so the
+    highest cut that k rows reach is safe and no row among the k best is lost.
+    """
+    s = F.col(score).cast("double")
+    levels = [1.0 - 2.0**-j for j in range(1, 14)]
+    marks = df.agg(F.percentile_approx(s, levels, 10_000).alias("m")).first().m
+    if not marks:
+        return df
+    reached = df.agg(*[F.count_if(s >= m).alias(f"m{i}") for i, m in enumerate(marks)]).first()
+    safe = [m for i, m in enumerate(marks) if reached[i] >= k]
+    return df.filter(s >= max(safe)) if safe else df
+
+
 def top_k(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
-    """k best rows: each task keeps its own k before the merge."""
+    """k best rows: each task keeps its own k before one task merges them.
+
+    Where that merge would be large (k rows from each of many tasks), the table
+    is cut near the k-th score first; where k itself is, it is ranked as a table.
+    """
     scored = df.filter(F.col(score).isNotNull())
     if k > TOP_K_LIMIT:
         return rank_by(scored, score, id_col, "__rank").filter(F.col("__rank") <= k).drop("__rank")
+    if k * scored.rdd.getNumPartitions() > MERGE_LIMIT:
+        scored = _above_cut(scored, score, k)
     return scored.orderBy(*best_first(score, id_col)).limit(k)
 
 

@@ -1,6 +1,6 @@
 """Folds, rotations and holdouts.
 
-Shuffling is the order of a hash of the id: repeatable, and computed in 4096
+Shuffling is the order of a hash of the id: repeatable, and computed in 65536
 equal hash ranges per class, so the class that holds nearly all rows is never
 sorted by one task.
 """

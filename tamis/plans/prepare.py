@@ -18,13 +18,13 @@ def master_table(
 
     ``raw`` has the raw screen schema; ``alert`` is 1 for a structure that raised one.
     """
-    rows = clean_readings(raw, "inhibition", "cdd_smiles", lower)
-    unique_on = unique_on or ["smssf_id", "plate_name", "plate_well", "run_date", "inhibition"]
+    rows = clean_readings(raw, "inhibition", "structure", lower)
+    unique_on = unique_on or ["sample_id", "plate_name", "plate_well", "run_date", "inhibition"]
     bad = violations_of_unique(rows, unique_on).take(1)
     if bad:
         raise AssertionError(f"readings repeat, for example {bad[0]}")
-    rows = flag_retest(rows.withColumn("canonical", canonical("cdd_smiles")), "plate_name")
-    named = group_identities(rows, "smssf_id", "canonical", unique_on)
+    rows = flag_retest(rows.withColumn("canonical", canonical("structure")), "plate_name")
+    named = group_identities(rows, "sample_id", "canonical", unique_on)
     return label_activity(named, "molecule_id", "inhibition", "is_retest", alert, threshold)
 
 
@@ -36,7 +36,7 @@ def training_table(master: DataFrame, k: int = 10) -> DataFrame:
         "molecule_id",
         "duplicate_id",
         "inhibition",
-        {"smssf_ids": "smssf_id", "library_ids": "library_id"},
+        {"sample_ids": "sample_id", "library_ids": "library_id"},
         ["canonical", "activity", "primary_filter", "retest_filter", "alert_filter"],
         "inhibition_primary_median",
     )

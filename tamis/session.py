@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}  # by application
 
 
 def get_spark(app: str = "tamis", **conf: object) -> SparkSession:
@@ -29,15 +29,29 @@ def work_folder(spark: SparkSession) -> str:
 
     Only a local session without the setting gets a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/tamis-{spark.sparkContext.applicationId}"
     app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tamis-")
-    return _LOCAL_FOLDERS[app]
+    if app not in _FOLDERS:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        _FOLDERS[app] = f"{(named or tempfile.mkdtemp()).rstrip('/')}/tamis-{app}"
+        path, files = _hadoop(spark, _FOLDERS[app])
+        files.deleteOnExit(path)
+    return _FOLDERS[app]
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables now; its end removes them anyway.
+
+    Results computed from them must have been written before.
+    """
+    path, files = _hadoop(spark, work_folder(spark))
+    files.delete(path, True)
 
 
 def work_path(spark: SparkSession, name: str) -> str:

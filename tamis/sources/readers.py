@@ -28,13 +28,16 @@ def read_merged(
     cols: Sequence[str] | None = None,
     sep: str = ",",
     keep_empty: bool = False,
+    check_header: bool = True,
 ) -> DataFrame:
     """Many files of one header as one table; gzip is recognised by name.
 
-    With ``keep_empty`` an empty cell is the empty string, not NULL.
+    With ``keep_empty`` an empty cell is the empty string, not NULL. A header
+    that differs from the schema is an error, unless ``check_header`` is off and
+    the schema names the columns by their place.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.csv(paths, schema=schema, header=True, sep=sep, enforceSchema=False)
+    df = spark.read.csv(paths, schema=schema, header=True, sep=sep, enforceSchema=not check_header)
     if cols is not None:
         df = df.select(*cols)
     return empty_strings(df) if keep_empty else df

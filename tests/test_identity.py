@@ -61,13 +61,13 @@ def test_known_rows_and_rows_without_key(spark):
 
 def test_cluster_flags(spark):
     clusters = spark.createDataFrame(
-        [(1, "train", 0), (1, "train", 1), (2, "ams", 0), (3, "train", 0)], "c int, d string, h int"
+        [(1, "train", 0), (1, "train", 1), (2, "ordered", 0), (3, "train", 0)], "c int, d string, h int"
     )
     cand = spark.createDataFrame([(10, 1), (11, 2), (12, 9)], "i int, c int")
-    out = {r.i: r for r in joins.cluster_flags(cand, clusters, "c", "d", "h", ["train", "ams"]).collect()}
-    assert (out[10].in_train, out[10].active_in_train, out[10].in_ams) == (1, 1, 0)
-    assert (out[11].in_train, out[11].in_ams, out[11].active_in_ams) == (0, 1, 0)
-    assert (out[12].in_train, out[12].in_ams) == (0, 0)
+    out = {r.i: r for r in joins.cluster_flags(cand, clusters, "c", "d", "h", ["train", "ordered"]).collect()}
+    assert (out[10].in_train, out[10].active_in_train, out[10].in_ordered) == (1, 1, 0)
+    assert (out[11].in_train, out[11].in_ordered, out[11].active_in_ordered) == (0, 1, 0)
+    assert (out[12].in_train, out[12].in_ordered) == (0, 0)
 
 
 def test_zip_rows_reports_misaligned(spark):

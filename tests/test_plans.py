@@ -6,8 +6,8 @@ from tamis.plans import prepare, screen
 from tamis.sources import schemas
 
 
-def reading(smssf, structure, plate, well, value, lib="L1"):
-    return (smssf, structure, "b", lib, plate, well, "2018", value)
+def reading(sample, structure, plate, well, value, lib="L1"):
+    return (sample, structure, "b", lib, plate, well, "2018", value)
 
 
 def test_raw_readings_to_training_rows(spark):
@@ -22,7 +22,7 @@ def test_raw_readings_to_training_rows(spark):
     ]
     raw = spark.createDataFrame(rows, schemas.RAW_SCREEN)
     master = prepare.master_table(raw, F.col("canonical").contains("@").cast("int"))
-    got = {(r.smssf_id, r.plate_name): (r.molecule_id, r.activity) for r in master.collect()}
+    got = {(r.sample_id, r.plate_name): (r.molecule_id, r.activity) for r in master.collect()}
     assert got[("a", "P1")] == ("a", 1) == got[("b", "CP1")]
     assert got[("c", "P1")] == ("c", 0) and got[("d", "P1")] == ("d", 0) and ("e", "P1") not in got
     training = {r.molecule_id: r for r in prepare.training_table(master).collect()}

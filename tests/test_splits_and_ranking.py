@@ -99,3 +99,17 @@ def test_coverage(spark):
     out = {r.model: r for r in ranking.coverage(df, ["a", "b"], "y", "id", 1).collect()}
     assert (out["a"].actives, out["a"].union_minus_model, out["a"].vote_minus_model) == (1, 1, 0)
     assert (out["b"].union_minus_model, out["b"].model_minus_vote) == (1, 1)
+
+
+def test_cut_before_a_large_merge(rows, monkeypatch):
+    plain = ranking.top_k(rows, "s", "id", 30).collect()
+    cut = ranking._above_cut(rows, "s", 30)
+    assert 30 <= cut.count() < 500
+    monkeypatch.setattr(ranking, "MERGE_LIMIT", 1)
+    assert ranking.top_k(rows, "s", "id", 30).collect() == plain
+    assert len(ranking.top_k(rows, "s", "id", 600).collect()) == 500
+
+
+def test_ids_may_be_text(spark):
+    df = spark.createDataFrame([("b", "x", 1.0), ("a", "x", 1.0), ("c", "y", 2.0)], "id string, k string, s double")
+    assert sorted(r.id for r in ranking.best_per(df, "k", "s", "id").collect()) == ["a", "c"]
