@@ -6,6 +6,7 @@ Fingerprints are arrays of 64-bit words (``tamis.functions.bits``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -323,29 +324,25 @@ def leader_clusters(
     )
     # Edges point from the later to the earlier row of the order, smallest first.
     named = both.join(ordered.toDF("u", "pu"), "u").join(ordered.toDF("v", "pv"), "v")
-    upward = materialize(named.filter("pv < pu").select("u", "v", "pv"), "upward")
-    edges, closed, led = upward, [], []
+    upward = materialize(named.filter("pv < pu").select("u", "v"), "upward")
+    edges, closed = upward, []
     for _ in range(max_rounds):
         if edges.isEmpty():
             break
         blocked = edges.select(F.col("u").alias("v")).distinct()
-        winners = materialize(edges.select("v").distinct().join(blocked, "v", "left_anti"), "leaders")
-        losers = materialize(edges.join(winners, "v", "left_semi").select("u").distinct(), "closed")
-        led.append(winners)
-        closed.append(losers)
+        winners = edges.select("v").distinct().join(blocked, "v", "left_anti")
+        losers = edges.join(winners, "v", "left_semi").select("u").distinct()
         gone = losers.union(winners.select(F.col("v").alias("u")))
-        edges = materialize(
-            edges.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti"), "upward"
-        )
+        still = edges.join(gone, "u", "left_anti").join(gone.withColumnRenamed("u", "v"), "v", "left_anti")
+        # One table per round: the edges left, and the rows closed as edges to nowhere.
+        state = materialize(still.select("u", "v").unionByName(losers, allowMissingColumns=True), "round")
+        closed.append(state.filter("v IS NULL").select(F.col("u").alias("id")))
+        edges = state.filter("v IS NOT NULL")
     else:
         raise RuntimeError("clusters did not settle")
+    heads = ordered
     if closed:
-        members = closed[0]
-        for more in closed[1:]:
-            members = members.union(more)
-        heads = ordered.join(members.withColumnRenamed("u", "id"), "id", "left_anti")
-    else:
-        heads = ordered
+        heads = ordered.join(reduce(lambda a, b: a.union(b), closed), "id", "left_anti")
     numbered = materialize(
         positions(heads, ["p"], name="cluster_id").select(
             F.col("id").alias("v"), (F.col("cluster_id") - 1).alias("cluster_id")

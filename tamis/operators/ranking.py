@@ -69,34 +69,44 @@ def expand(df: DataFrame, count: str, name: str = "repeat") -> DataFrame:
     return df.filter(n > 0).withColumn(name, F.explode(F.sequence(F.lit(1), n)))
 
 
-def _above_cut(df: DataFrame, score: str, k: int) -> DataFrame:
-    """Rows that can be among the k best, for a table of many partitions.
+def _above_cut(df: DataFrame, score: str, k: int) -> tuple[DataFrame, int | None]:
+    """Rows that can be among the k best, and how many they are (None: unknown).
 
     Approximate quantiles propose cuts towards the top; counting decides, so the
     highest cut that k rows reach is safe and no row among the k best is lost.
+    Repeated until few rows are left or equal scores allow no higher cut; only
+    the score is read.
     """
     s = F.col(score).cast("double")
     levels = [1.0 - 2.0**-j for j in range(1, 14)]
-    marks = df.agg(F.percentile_approx(s, levels, 10_000).alias("m")).first().m
-    if not marks:
-        return df
-    reached = df.agg(*[F.count_if(s >= m).alias(f"m{i}") for i, m in enumerate(marks)]).first()
-    safe = [m for i, m in enumerate(marks) if reached[i] >= k]
-    return df.filter(s >= max(safe)) if safe else df
+    rows, cut, left = df, None, None
+    while left is None or left > MERGE_LIMIT:
+        marks = rows.agg(F.percentile_approx(s, levels, 10_000).alias("m")).first().m or []
+        if not marks:
+            break
+        reached = rows.agg(*[F.count_if(s >= m).alias(f"m{i}") for i, m in enumerate(marks)]).first()
+        safe = [(m, n) for m, n in zip(marks, reached) if n >= k]
+        if not safe or max(safe)[0] == cut:
+            break
+        cut, left = max(safe)
+        rows = df.filter(s >= cut)
+    return rows, left
 
 
 def top_k(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
     """k best rows: each task keeps its own k before one task merges them.
 
     Where that merge would be large (k rows from each of many tasks), the table
-    is cut near the k-th score first; where k itself is, it is ranked as a table.
+    is cut near the k-th score first; where k or the ties at the cut are too
+    many for one task, it is ranked as a table.
     """
-    scored = df.filter(F.col(score).isNotNull())
-    if k > TOP_K_LIMIT:
-        return rank_by(scored, score, id_col, "__rank").filter(F.col("__rank") <= k).drop("__rank")
-    if k * scored.rdd.getNumPartitions() > MERGE_LIMIT:
-        scored = _above_cut(scored, score, k)
-    return scored.orderBy(*best_first(score, id_col)).limit(k)
+    rows, left = df.filter(F.col(score).isNotNull()), None
+    if k <= TOP_K_LIMIT and k * rows.rdd.getNumPartitions() > MERGE_LIMIT:
+        rows, left = _above_cut(rows, score, k)
+        left = MERGE_LIMIT + 1 if left is None else left
+    if k > TOP_K_LIMIT or (left or 0) > MERGE_LIMIT:
+        return rank_by(rows, score, id_col, "__rank").filter(F.col("__rank") <= k).drop("__rank")
+    return rows.orderBy(*best_first(score, id_col)).limit(k)
 
 
 def top_k_with_payload(

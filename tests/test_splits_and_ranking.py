@@ -101,13 +101,17 @@ def test_coverage(spark):
     assert (out["b"].union_minus_model, out["b"].model_minus_vote) == (1, 1)
 
 
-def test_cut_before_a_large_merge(rows, monkeypatch):
-    plain = ranking.top_k(rows, "s", "id", 30).collect()
-    cut = ranking._above_cut(rows, "s", 30)
-    assert 30 <= cut.count() < 500
-    monkeypatch.setattr(ranking, "MERGE_LIMIT", 1)
-    assert ranking.top_k(rows, "s", "id", 30).collect() == plain
-    assert len(ranking.top_k(rows, "s", "id", 600).collect()) == 500
+def test_cut_before_a_large_merge(spark, rows, monkeypatch):
+    key = lambda df: sorted(r.id for r in df.collect())
+    plain, everything = key(ranking.top_k(rows, "s", "id", 30)), key(ranking.top_k(rows, "s", "id", 600))
+    assert len(everything) == 500
+    monkeypatch.setattr(ranking, "MERGE_LIMIT", 60)
+    cut, left = ranking._above_cut(rows, "s", 30)
+    assert 30 <= cut.count() == left <= 60
+    assert key(ranking.top_k(rows.repartition(9), "s", "id", 30)) == plain
+    assert key(ranking.top_k(rows.repartition(9), "s", "id", 600)) == everything
+    ties = spark.range(300).withColumn("s", F.lit(1.0)).repartition(9)  # no cut helps
+    assert key(ranking.top_k(ties, "s", "id", 20)) == list(range(20))
 
 
 def test_ids_may_be_text(spark):
