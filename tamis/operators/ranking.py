@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tamis.operators.order import positions
+from tamis.session import estimated_splits
 
 
 # Above this a k-best list is ranked like a table instead of merged in one place.
@@ -101,7 +102,7 @@ def top_k(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
     many for one task, it is ranked as a table.
     """
     rows, left = df.filter(F.col(score).isNotNull()), None
-    if k <= TOP_K_LIMIT and k * rows.rdd.getNumPartitions() > MERGE_LIMIT:
+    if k <= TOP_K_LIMIT and k * estimated_splits(rows) > MERGE_LIMIT:
         rows, left = _above_cut(rows, score, k)
         left = MERGE_LIMIT + 1 if left is None else left
     if k > TOP_K_LIMIT or (left or 0) > MERGE_LIMIT:

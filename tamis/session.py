@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes, by default
+
 _FOLDERS: dict[str, str] = {}  # by application
 
 
@@ -71,11 +73,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_splits(df: DataFrame) -> int:
+    """Splits that a scan of the planner's estimated size would have. Nothing is run."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(1, int(str(size)) // SPLIT_BYTES)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal out a table that comes in fewer splits than there are cores.
+    """Deal out a table that is read in fewer splits than there are cores.
 
     For heavy work per row only. A large table has more splits than cores and is
     left as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if estimated_splits(df) < cores else df
