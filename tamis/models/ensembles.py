@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from tamis.models.rankers import SCORE, FittedRanker
 from tamis.operators.clean import class_weights
 from tamis.operators.joins import max_vote
+from tamis.operators.order import running_totals
 
 
 def base_scores(df: DataFrame, models: Mapping[str, object]) -> DataFrame:
@@ -47,13 +48,24 @@ class Stacking:
         return self.second.score(self.features(df)).drop("__stack")
 
 
-def vote(df: DataFrame, models: Mapping[str, object]) -> DataFrame:
-    """Score is the row maximum of the base scores."""
-    return base_scores(df, models).withColumn(SCORE, max_vote(list(models)))
+def percent_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Each score as its percent rank, 0 for the lowest and 1 for the highest; ties share the lowest.
+
+    Puts probabilities and regression outputs on one scale. Equal scores are
+    counted first, so what is sorted and joined back has one row per score.
+    """
+    for c in cols:
+        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"))
+        run = running_totals(counts, [c], {"__upto": "__n"}, totals=True)
+        below = (F.col("__upto") - F.col("__n")).cast("double")
+        share = F.when(F.col("__upto_total") > 1, below / (F.col("__upto_total") - 1)).otherwise(0.0)
+        df = df.join(run.select(c, share.alias("__share")), c, "left").withColumn(c, F.col("__share")).drop("__share")
+    return df
 
 
-def scaled(df: DataFrame, cols: list[str], low_high: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Base scores on one scale, for a vote over unlike outputs."""
-    return df.withColumns(
-        {c: (F.col(c) - low_high[c][0]) / (low_high[c][1] - low_high[c][0]) for c in cols}
-    )
+def vote(df: DataFrame, models: Mapping[str, object], scale: bool = False) -> DataFrame:
+    """Score is the row maximum of the base scores, as they are or as percent ranks."""
+    scores = base_scores(df, models)
+    if scale:
+        scores = percent_ranks(scores, list(models))
+    return scores.withColumn(SCORE, max_vote(list(models)))

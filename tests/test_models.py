@@ -86,3 +86,9 @@ def test_cross_validation_table(spark, rows):
         rows, {"linear": rankers.RankerLinear}, {"linear": {"n_estimators": [3], "reg_lambda": [0.1, 1.0]}}, [0], "id", "label", use_val=True
     )
     assert {(r.setting, r.split) for r in out.collect()} == {(i, s) for i in (0, 1) for s in ("train", "val", "test")}
+
+
+def test_percent_ranks_of_unlike_scores(spark):
+    df = spark.createDataFrame([(1, 0.1, 90.0), (2, 0.1, 10.0), (3, 0.9, 50.0), (4, 0.5, None)], "id long, a double, b double")
+    out = {r.id: (r.a, r.b) for r in ensembles.percent_ranks(df, ["a", "b"]).collect()}
+    assert out == {1: (0.0, 1.0), 2: (0.0, 0.0), 3: (1.0, 0.5), 4: (pytest.approx(2 / 3), None)}
