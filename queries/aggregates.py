@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from queries.base import (
-    COMPOUNDS_SQL, FOLDED_SQL, HIT_SQL, ORDERED_SQL, READINGS_SQL, TIER_SQL,
+    FOLDED_SQL, HIT_SQL, ORDERED_SQL, READINGS_SQL, TIER_SQL,
     compounds, order_like, query, readings, table,
 )
 from queries.joins import CLUSTERED_SQL, clustered

@@ -120,8 +120,6 @@ def evaluation_report(spark, sf):
 )
 def metric_parity(spark, sf):
     """The report recomputed by the single-metric operators."""
-    from functools import reduce
-
     df = ranked(spark, sf).withColumn("split", F.expr(SPLIT))
     again = metrics.roc_auc(df, "score", "label", ["split"]).join(
         metrics.avg_precision(df, "score", "label", ["split"]), "split"
@@ -130,7 +128,7 @@ def metric_parity(spark, sf):
     out = metrics.diff_metrics(
         again.toDF("split", "roc", "precision"), recorded, ["split"], ["roc", "precision"]
     )
-    return reduce(lambda d, c: d.withColumn(c, F.round(c, 6)), ["diff_roc", "diff_precision"], out)
+    return out.withColumns({c: F.round(c, 6) for c in ("diff_roc", "diff_precision")})
 
 
 # Splits.

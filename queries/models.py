@@ -1,8 +1,9 @@
 """Rankers, ensembles, cross-validation and catalog scoring."""
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import functions as F
 
-from queries.base import COMPOUNDS_SQL, FOLDED_SQL, N_BITS, TANIMOTO_SQL, compounds, query, table
+from queries.base import FOLDED_SQL, N_BITS, TANIMOTO_SQL, compounds, query, table
 from queries.scalar import hash_fp_sql
 from tamis.functions.bits import bits_to_vector
 from tamis.models import ensembles, rankers
@@ -94,8 +95,6 @@ def mlp_classifier(spark, sf):
 @query("select_iteration")
 def select_iteration(spark, sf):
     """Validation metric of every prefix and the prefix kept."""
-    from pyspark.ml.classification import GBTClassifier
-
     rows = cv_split(training(spark, sf), 0)
     model = GBTClassifier(maxIter=8, maxDepth=3, seed=0).fit(rows.filter("split = 'train'"))
     values = materialize(rankers.iteration_metrics(model, rows.filter("split = 'val'"), "label"), "iterations")

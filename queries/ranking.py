@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from queries.aggregates import METRICS_SQL, metric_records
 from queries.base import RANKED_SQL, SCORES_SQL, query, ranked, table, two_scores
 from tamis.operators import clean, ranking
+from tamis.operators.joins import join_scores, max_vote
 from tamis.sources.readers import concat_tables
 
 
@@ -244,8 +245,6 @@ def random_sample(spark, sf):
     f"WITH {SCORES_SQL} SELECT id, score_a, score_b FROM two_scores",
 )
 def score_pair_table(spark, sf):
-    from tamis.operators.joins import join_scores
-
     scores = two_scores(spark, sf)
     joined = join_scores(scores.select("id", "score_a"), scores.select("id", "score_b"), "id")
     return joined.orderBy(F.col("score_b").desc(), "id")
@@ -256,7 +255,5 @@ def score_pair_table(spark, sf):
     f"WITH {SCORES_SQL} SELECT id, greatest(score_a / 1000, score_b) AS score FROM two_scores",
 )
 def vote(spark, sf):
-    from tamis.operators.joins import max_vote
-
     scores = two_scores(spark, sf).withColumn("score_a", F.col("score_a") / 1000)
     return scores.select("id", max_vote(["score_a", "score_b"]).alias("score"))

@@ -9,7 +9,7 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
 )
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from tamis.models.rankers import FittedRanker, PrefixRanker, SimilarityModel
 

@@ -89,3 +89,9 @@ def test_mapping_and_suffix(spark):
     assert sorted(r.k for r in joins.compare_maps(a, b, "k", "v").collect()) == [2, 3]
     assert joins.join_suffix(a, b, "k", "k").columns == ["k", "v", "v_y"]
     assert joins.append_unmatched(a, b.select("k", F.lit("n").alias("n")), "k", a.filter("k > 1")).count() == 4
+
+
+def test_nothing_shared(spark):
+    df = spark.createDataFrame([("a", "s1"), ("b", "s2")], "id string, s string")
+    out = {(r.molecule_id, r.duplicate_id) for r in group_identities(df, "id", "s", ["s"]).collect()}
+    assert out == {("a", 0), ("b", 0)}

@@ -154,3 +154,10 @@ def test_leader_assignment_and_groups(spark):
     near = neighbors.nearest_per_group(df.select("id", "fp"), refs, ["x", "y"], "g", "fp", "id", N_BITS)
     row = near.filter("id = 0").first()
     assert row.distance_x == 0.0 and row.nearest_x_id == 0 and row.distance_y >= 0
+
+
+def test_far_apart_rows_lead_themselves(spark):
+    df = frame(spark, [format(7 << (4 * i), f"0{N_BITS}b") for i in range(6)])
+    out = neighbors.leader_clusters(df, "fp", "id", N_BITS, 0.3).collect()
+    assert all(r.leader_id == r.id for r in out) and {r.cluster_id for r in out} == set(range(6))
+    assert neighbors.pick_diverse(df.withColumn("score", F.col("id") * 1.0), "fp", "id", "score", N_BITS, 1).first().id == 5
