@@ -66,7 +66,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", na
         return {name: [encode_text(held[0], t.decode("utf-8", "replace")) for t in chunk.column(body).to_pylist()]}
 
     rows = docs.select(*keep, utf8(F.col(text_col)).alias(body))
-    return arrow_map(rows, each, f"`{name}` array<int>", body, keep)
+    return arrow_map(rows, each, f"`{name}` array<int>", body, keep, chunk_bytes=1 << 20)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", name: str = "bytes") -> DataFrame:

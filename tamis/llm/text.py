@@ -55,11 +55,16 @@ def in_chunks(batches: Iterable[pa.RecordBatch], column: str, chunk_bytes: int =
 
 
 def arrow_map(
-    df: DataFrame, each: Callable[[pa.RecordBatch], dict], fields: str, chunk_on: str, keep: Iterable[str] = ()
+    df: DataFrame,
+    each: Callable[[pa.RecordBatch], dict],
+    fields: str,
+    chunk_on: str,
+    keep: Iterable[str] = (),
+    chunk_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Per chunk of rows, the columns ``keep`` as they are and what ``each`` makes of the chunk.
 
-    ``chunk_on`` is a binary column; ``each`` returns an Arrow array or a list
+    ``chunk_on`` is a binary column; ``each`` returns an array or a list
     per name in ``fields``.
     """
     keep = list(keep)
@@ -70,10 +75,10 @@ def arrow_map(
     def run(batches):
         import pyarrow.compute  # noqa: F401  loaded in the task
 
-        for chunk in in_chunks(batches, chunk_on):
+        for chunk in in_chunks(batches, chunk_on, chunk_bytes):
             made = each(chunk)
             arrays = [chunk.column(k) for k in keep]
-            arrays += [v if isinstance(v := made[n], (pa.Array, pa.ChunkedArray)) else pa.array(v, t) for n, t in kinds.items()]
+            arrays += [v if isinstance(v := made[n], pa.Array) else pa.array(v, t) for n, t in kinds.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds])
 
     return df.mapInArrow(run, schema)
