@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamis.llm import bpe, exact_dedup, html_text, langid, lm, mixing, quality, simhash, token_counts
+from tamis.llm import bpe, exact_dedup, html_text, langid, lm, mixing, quality, simhash, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,6 +92,11 @@ def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed(table(spark, sf, "documents"))
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.kept_words(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", token_counts.n_bytes(F.col("text")).alias("n_bytes"))
@@ -137,10 +142,10 @@ WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM t),
 windows AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS body FROM starts),
 later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, s) > 1),
-gone AS (SELECT DISTINCT doc_id, s + k AS at FROM later, range(20) AS r(k)),
-each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM t),
-rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY at) AS body, count(*) AS n
-  FROM each ANTI JOIN gone USING (doc_id, at) GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, s + k AS spot FROM later, range(20) AS r(k)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM t),
+rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY spot) AS body, count(*) AS n
+  FROM each ANTI JOIN gone USING (doc_id, spot) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(rest.n, 0) AS n_removed,
   sha256(coalesce(rest.body, '')) AS kept_sha256
 FROM t LEFT JOIN rest USING (doc_id)
