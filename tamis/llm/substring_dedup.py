@@ -210,7 +210,8 @@ def find_pieces(docs: DataFrame, width: int) -> DataFrame:
     """Pieces of all texts, folded per task: repeats and askers decided, one row per context left to compare.
 
     ``kind`` is 0 for a piece to compare, and for one whose context has other
-    words too ``_ASK`` with ``n`` 0.
+    words too ``_ASK`` with ``n`` 0. What is decided needs no context any more
+    and is dealt out evenly instead.
     """
 
     def run(batches):
@@ -221,7 +222,8 @@ def find_pieces(docs: DataFrame, width: int) -> DataFrame:
             held.clear()
             repeat, ask, head = _fold_pieces(context, whole, doc, at, np.zeros(len(doc), bool))
             kind = np.where(repeat, _DUP, np.where(ask, _ASK, 0))
-            yield _batch(_PIECE, context, whole, doc, at, n, kind)
+            deal = np.where(kind > 0, mix(doc.view(np.uint64) * _MUL[0] + at.view(np.uint64)), context)
+            yield _batch(_PIECE, deal, whole, doc, at, n, kind)
             mark = head & ask  # tells the others that the context has several
             yield _batch(_PIECE, context[mark], whole[mark], doc[mark], at[mark], 0 * n[mark], np.full(mark.sum(), _ASK))
 
