@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tamis.llm.text import arrow_map, in_chunks, utf8
+from tamis.llm.text import arrow_map, byte_strings, in_chunks, split_words, utf8
 from tamis.session import materialize
 
 WINDOW = 20
@@ -45,22 +45,16 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts in one row, with two hashes each and hashes of any span."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: pa.Array):
         import xxhash
 
-        index: dict[bytes, int] = {}
-        numbers: list[int] = []
-        sizes = []
-        for text in texts:
-            words = text.split()
-            sizes.append(len(words))
-            numbers += [index.setdefault(w, len(index)) for w in words]
-        at = np.array(numbers, np.int64)
-        self.sizes = np.array(sizes, np.int64)
+        words, self.owner = split_words(texts)
+        coded = words.dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), byte_strings(coded.dictionary)
+        self.sizes = np.bincount(self.owner, minlength=len(texts))
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
-        hashes = np.array([(xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w, 2)) for w in index], np.uint64).reshape(-1, 2)
+        hashes = np.array([(xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w, 2)) for w in distinct], np.uint64).reshape(-1, 2)
         self.names = hashes[:, 0][at] if len(at) else np.zeros(0, np.uint64)
         self._sums, self._back = [], []
         for family in (0, 1):
@@ -228,7 +222,7 @@ def find_pieces(docs: DataFrame, width: int) -> DataFrame:
             yield _batch(_PIECE, context[mark], whole[mark], doc[mark], at[mark], 0 * n[mark], np.full(mark.sum(), _ASK))
 
         for chunk in in_chunks(batches, "body"):
-            words = Words(chunk.column("body").to_pylist())
+            words = Words(chunk.column("body"))
             begin, end, context, whole = pieces(words, width)
             if len(begin):
                 own = words.owner[begin]
@@ -281,7 +275,7 @@ def find_windows(asked: DataFrame, width: int) -> DataFrame:
             yield _batch(_WINDOWS, one[order], two[order], doc[order], at[order], np.ones(len(one), np.int64), kind)
 
         for chunk in in_chunks(batches, "body"):
-            words = Words(chunk.column("body").to_pylist())
+            words = Words(chunk.column("body"))
             spans = chunk.column("spans")
             counts = pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = spans.flatten()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -54,6 +55,24 @@ def in_chunks(batches: Iterable[pa.RecordBatch], column: str, chunk_bytes: int =
             yield batch.slice(start)
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words of a binary array of texts, one after the other, and each word's text."""
+    import pyarrow.compute as pc
+
+    texts = texts.view(pa.string())  # the kernels look at ASCII bytes only
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    full = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+
+
+def byte_strings(array: pa.Array) -> list[bytes]:
+    """The values of a string or binary array without nulls."""
+    ends = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].tolist()
+    data = array.buffers()[2].to_pybytes() if len(array) and array.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def arrow_map(
     df: DataFrame,
     each: Callable[[pa.RecordBatch], dict],
