@@ -32,6 +32,7 @@ WINDOW = 20
 ROUNDS = 3
 SHORT = 6  # words of context below which a window stands for itself
 COPY_BITS = 40  # texts that share an id are told apart above these bits of a position
+FILTER_BITS = 24  # of the filter that spares other documents' texts a shuffle; bounds its broadcast
 HELD = 1 << 21  # pieces that a task folds at once
 _MUL = [np.uint64(m) for m in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F)]  # fixed odd multipliers (XXH64)
 _DUP, _ASK = 1, 2
@@ -341,11 +342,30 @@ def repeated_spans(rows: DataFrame, width: int = WINDOW) -> DataFrame:
         return found.groupBy("doc", copy.alias("copy")).agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     first = materialize(compare_pieces(find_pieces(rows, width)), "pieces")
-    asked = rows.select("doc", "copy", "body").join(per_text(first.filter(F.col("kind") == _ASK)), ["doc", "copy"])
+    asks = first.filter(F.col("kind") == _ASK)
+    may, _ = split_by(rows.select("doc", "copy", "body"), touched(asks))
+    asked = may.join(per_text(asks), ["doc", "copy"])
     second = materialize(compare_windows(find_windows(asked, width)), "windows")
     return per_text(first.filter(F.col("kind") == _DUP).unionByName(second))
 
 
+def touched(found: DataFrame) -> DataFrame:
+    """Bits of the documents in ``found``, by hash: at most ``2**(FILTER_BITS - 6)`` rows of 64."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+    block, bit = F.shiftright(place, 6).alias("block"), place.bitwiseAND(F.lit(63)).cast("int")
+    marks = found.select(block, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit"))
+    return materialize(marks.groupBy("block").agg(F.bit_or("bit").alias("bits")), "touched")
+
+
+def split_by(rows: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose document may be among those that made ``blocks``, and the rows that cannot be."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << FILTER_BITS))
+    marked = rows.withColumns({"block": F.shiftright(place, 6), "bit": place.bitwiseAND(F.lit(63)).cast("int")})
+    marked = marked.join(F.broadcast(blocks), "block", "left")
+    hit = F.coalesce(F.bit_get("bits", F.col("bit")) == 1, F.lit(False))
+    return tuple(marked.filter(c).select(*rows.columns) for c in (hit, ~hit))
+
+
 def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_words, n_removed, kept_sha256``; see ``remove_repeats``."""
     kept = remove_repeats(docs.select(id_col, text_col), id_col, text_col, width)
@@ -365,7 +385,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _keyed(docs.select(id_col, text_col), id_col, text_col)
     spans = repeated_spans(rows, width)
-    joined = rows.select(id_col, "doc", "copy", "body").join(spans, ["doc", "copy"], "left")
+    may, others = split_by(rows.select(id_col, "doc", "copy", "body"), touched(spans))
+    joined = may.join(spans, ["doc", "copy"], "left").unionByName(others, allowMissingColumns=True)
 
     def each(chunk: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
