@@ -1,8 +1,8 @@
 """Token counts by a lookup in two tiers, without moving a pre-token.
 
-A first pass over all documents counts pre-tokens inside each task and keeps the
-task's most frequent ones; their merged counts give a table of the ``table_size``
-most frequent pre-tokens with their lengths in tokens. The table is bounded by
+A first pass over all documents counts words inside each task and keeps the
+task's most frequent ones; their merged counts, split into pre-tokens, give a
+table of the ``table_size`` most frequent with their lengths in tokens. The table is bounded by
 that parameter and goes to every task. The second pass looks pre-tokens up in
 it; a miss is encoded once and kept in the task's cache, which starts anew when
 it is full. Both tiers only save work: every length is what the library gives.
@@ -15,11 +15,11 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.llm.text import arrow_map, named, utf8
+from tamis.llm.text import arrow_map, in_chunks, named, split_words, utf8
 
 TABLE_SIZE = 1 << 15
 CACHE_SIZE = 1 << 18  # pre-tokens of a task's second tier
-LONGEST = 64  # characters of a pre-token that is kept in either tier
+LONGEST = 64  # bytes of a word, or characters of a pre-token, that is kept in either tier
 
 
 class Splitter:
@@ -46,30 +46,35 @@ class Splitter:
 
 
 def frequent_lengths(docs: DataFrame, path: str, pattern: str, text_col: str, table_size: int = TABLE_SIZE) -> dict[str, int]:
-    """Lengths in tokens of the corpus' most frequent pre-tokens, ``table_size`` at most.
+    """Lengths in tokens of frequent pre-tokens of the corpus, ``table_size`` at most.
 
-    Counts cover all documents. What leaves a task are its own ``table_size``
-    most frequent pre-tokens with their counts, not the pre-tokens of its texts.
+    The words of all documents are counted, which is cheaper than splitting them
+    into pre-tokens and finds the same ones: a word with the space before it is
+    split once. What leaves a task are its own most frequent words with their
+    counts, ``table_size`` at most, not the pre-tokens of its texts.
     """
 
     def run(batches):
-        splitter, seen = Splitter(path, pattern), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(splitter(text.decode("utf-8", "replace"))[0])
-                if len(seen) > 32 * table_size:  # the rare half gives way to what comes
-                    seen = Counter(dict(seen.most_common(16 * table_size)))
-        top = [(t, n) for t, n in seen.most_common(table_size) if n > 1 and len(t) <= LONGEST]
-        tokens, counts = zip(*top) if top else ((), ())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], names=["pre_token", "n"]
-        )
-
-    found = docs.select(utf8(F.col(text_col)).alias("body")).mapInArrow(run, "pre_token string, n long")
-    merged = found.groupBy("pre_token").agg(F.sum("n").alias("n"))
-    top = merged.orderBy(F.desc("n"), "pre_token").limit(table_size).collect()
-    splitter = Splitter(path, pattern)
-    return {r.pre_token: splitter.length(r.pre_token) for r in top}
+        held: list[pa.Table] = []
+
+        def fold() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for chunk in in_chunks(batches, "body"):
+            found = split_words(chunk.column("body"))[0].view(pa.binary()).value_counts()
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+            if sum(t.num_rows for t in held) > 64 * table_size:
+                held[:] = [fold().sort_by([("n", "descending")]).slice(0, 16 * table_size)]
+        if held:
+            yield from fold().sort_by([("n", "descending")]).slice(0, table_size).to_batches()
+
+    found = docs.select(utf8(F.col(text_col)).alias("body")).mapInArrow(run, "word binary, n long")
+    frequent = found.filter(F.octet_length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    splitter, seen = Splitter(path, pattern), Counter()
+    for r in frequent.orderBy(F.desc("n"), "word").limit(table_size).collect():
+        for token in splitter(" " + bytes(r.word).decode("utf-8", "replace"))[0]:
+            seen[token] += r.n
+    return {token: splitter.length(token) for token, _ in seen.most_common(table_size)}
 
 
 def count_tokens(
