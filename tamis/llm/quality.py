@@ -101,7 +101,7 @@ def text_rules(text: Column, n: Column, symbols: Column, dup_lines: Column, char
     lines = F.size(F.split(text, "\n"))
     return [
         Rule("symbols", 10 * symbols > n),
-        Rule("copied_lines", (dup_lines >= 2) & (100 * dup_lines > 30 * lines)),
+        Rule("copied_lines", (dup_lines >= 3) & (100 * dup_lines > 30 * lines)),
         Rule("word_length", (chars < 2 * n) | (chars > 20 * n)),
         Rule("shouting", 4 * F.regexp_count(text, F.lit("[!?]")) > n),
         Rule("few_letters", 2 * F.regexp_count(text, F.lit(r"[\p{L}\p{M}]")) < chars),

@@ -130,7 +130,7 @@ m AS (SELECT doc_id, text, len(w)::BIGINT AS n_words, length(array_to_string(w,
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > n_words
-    OR (n_dup_lines >= 2 AND 100 * n_dup_lines > 30 * len(string_split(text, chr(10))))
+    OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * len(string_split(text, chr(10))))
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words
     OR 4 * len(regexp_extract_all(text, '[!?]')) > n_words
     OR 2 * len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]')) < word_chars) AS kept
