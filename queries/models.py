@@ -122,7 +122,7 @@ def cv_run(spark, sf):
         "forest": {"n_estimators": [5, 10], "max_depth": [4]},
         "linear": {"n_estimators": [20], "reg_lambda": [0.1]},
     }
-    return run_cv(training(spark, sf), makers, grids, [0, 1], "id", "label", (0.1,), use_val=False)
+    return run_cv(training(spark, sf), makers, grids, list(range(6)), "id", "label", (0.1,), use_val=False)
 
 
 @query(

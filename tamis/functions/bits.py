@@ -85,9 +85,9 @@ def recode_bits(df: DataFrame, bits: str, mapping: DataFrame, out: str = "recode
     ``mapping`` has one row per position: ``position, zero, one``. It is as long
     as a fingerprint, checked here, and travels to the rows as two arrays.
     """
-    rows = mapping.select("position", "zero", "one").orderBy("position").limit(1 << 16).collect()
-    if [r.position for r in rows] != list(range(len(rows))) or len(rows) == 1 << 16:
-        raise ValueError("mapping needs one row per position, 0..n-1, below 65536")
+    rows = mapping.select("position", "zero", "one").orderBy("position").collect()
+    if [r.position for r in rows] != list(range(len(rows))):
+        raise ValueError("mapping needs one row per position, 0..n-1")
     tables = {0: [r.zero for r in rows], 1: [r.one for r in rows]}
     zero, one = (F.array(*[F.lit(float(x)) for x in tables[v]]) for v in (0, 1))
     values = F.transform(

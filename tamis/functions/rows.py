@@ -15,6 +15,12 @@ def _cols(columns: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
+def number(column: str | Column) -> Column:
+    """The column with NaN as NULL: NaN is no reading, no score and no vote."""
+    c = _cols([column])[0]
+    return F.when(~F.isnan(c.cast("double")), c)
+
+
 def row_sum(columns: Sequence[str | Column]) -> Column:
     """Sum that takes a missing value as 0."""
     return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in _cols(columns)])

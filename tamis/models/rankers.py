@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -18,12 +17,13 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tamis.operators.clean import class_weights, sample_weights
 from tamis.operators.metrics import avg_precision, roc_auc
 from tamis.operators.neighbors import nearest
+from tamis.session import materialize
 
 FEATURES, LABEL, SCORE = "features", "label", "score"
 
@@ -107,6 +107,7 @@ class FittedRanker:
         self.model.write().overwrite().save(path)
 
 
+TREES_AT_ONCE = 64  # trees of a boosted model that one plan applies side by side
 _FOREST = ("n_estimators", "max_features", "min_samples_leaf", "max_depth", "weight", "seed")
 _BOOST = ("n_estimators", "max_depth", "learning_rate", "subsample", "weight", "seed", "patience", "metric")
 
@@ -160,20 +161,39 @@ class PrefixRanker:
     n_trees: int
     features: str = FEATURES
 
-    def margins(self, df: DataFrame) -> DataFrame:
-        """Add one column per tree; the trees run in the JVM, side by side."""
-        for i, tree in enumerate(self.model.trees[: self.n_trees]):
-            leaf = tree.copy()
-            leaf.setPredictionCol(f"__t{i}")
-            leaf.setFeaturesCol(self.features)
-            df = leaf.transform(df)
+    def steps(self, df: DataFrame, name: str = "__steps") -> DataFrame:
+        """Add an array with each tree's weighted output.
+
+        The trees run in the JVM, side by side; after every ``TREES_AT_ONCE`` the
+        rows are written, so that the plan does not grow with the trees.
+        """
+        df = df.withColumn(name, F.array().cast("array<double>"))
+        weights, trees = list(self.model.treeWeights), self.model.trees
+        for start in range(0, self.n_trees, TREES_AT_ONCE):
+            some = range(start, min(self.n_trees, start + TREES_AT_ONCE))
+            for i in some:
+                tree = trees[i].copy()
+                tree.setPredictionCol(f"__t{i}")
+                tree.setFeaturesCol(self.features)
+                df = tree.transform(df)
+            more = F.array(*[F.col(f"__t{i}") * weights[i] for i in some])
+            df = df.withColumn(name, F.concat(name, more)).drop(*[f"__t{i}" for i in some])
+            if some.stop < self.n_trees:
+                df = materialize(df, "margins")
         return df
 
     def score(self, df: DataFrame) -> DataFrame:
-        weights = self.model.treeWeights
-        total = reduce(lambda a, b: a + b, [F.col(f"__t{i}") * weights[i] for i in range(self.n_trees)])
-        trees = [f"__t{i}" for i in range(self.n_trees)]
-        return self.margins(df).withColumn(SCORE, total).drop(*trees)
+        """The margin: one model of the first trees, built and applied in the JVM."""
+        spark = df.sparkSession
+        gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+        java, n = self.model._java_obj, self.n_trees
+        trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+        weights = gateway.new_array(jvm.double, n)
+        for i, (tree, weight) in enumerate(zip(java.trees()[:n], self.model.treeWeights[:n], strict=True)):
+            trees[i], weights[i] = tree, float(weight)
+        first = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{java.uid()}_{n}", trees, weights)
+        model = GBTRegressionModel(first)
+        return model.setFeaturesCol(self.features).setPredictionCol(SCORE).transform(df)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
@@ -186,8 +206,7 @@ def iteration_metrics(model, val: DataFrame, label: str, metric: str = "precisio
     and ranked per prefix.
     """
     weights = list(model.treeWeights)
-    wide = PrefixRanker(model, len(weights), features).margins(val.select(features, label))
-    table = wide.select(label, F.array(*[F.col(f"__t{i}") * w for i, w in enumerate(weights)]).alias("__steps"))
+    table = PrefixRanker(model, len(weights), features).steps(val.select(features, label)).select(label, "__steps")
     start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
     running = F.aggregate(
         "__steps",

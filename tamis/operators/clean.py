@@ -146,7 +146,7 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_weights(df: DataFrame, label: str, mode: str = "weighted_sample", name: str = "class_weight") -> DataFrame:
-    """Weight 1 for class 0 and n0/n1 for class 1; or 0.5 each with ``no_weight``."""
+    """Weight 1 for class 0 and n0/n1 for class 1, none for other labels; or 0.5 each with ``no_weight``."""
     if mode == "no_weight":
         return df.withColumn(name, F.lit(0.5))
     if mode != "weighted_sample":
@@ -154,7 +154,7 @@ def class_weights(df: DataFrame, label: str, mode: str = "weighted_sample", name
     ratio = df.agg(
         (F.count_if(F.col(label) == 0) / F.nullif(F.count_if(F.col(label) == 1), F.lit(0))).alias("ratio")
     )
-    return df.withColumn(name, F.when(F.col(label) == 0, 1.0).otherwise(ratio.scalar()))
+    return df.withColumn(name, F.when(F.col(label) == 0, 1.0).when(F.col(label) == 1, ratio.scalar()))
 
 
 def sample_weights(df: DataFrame, label: str, mode: str = "weighted_sample", name: str = "sample_weight") -> DataFrame:

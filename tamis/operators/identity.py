@@ -41,18 +41,17 @@ def _mark(edges: DataFrame) -> tuple:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge: ``node, component``."""
     edges = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     mark = _mark(edges)
-    for _ in range(max_rounds):
+    while True:
         edges = materialize(_star(_star(edges, large=True), large=False), "edges")
         after = _mark(edges)
         if after == mark:
             roots = edges.select(F.col("v").alias("u"), "v").distinct()
             return edges.union(roots).distinct().withColumnsRenamed({"u": "node", "v": "component"})
         mark = after
-    raise RuntimeError("components did not settle")
 
 
 def group_identities(
@@ -68,10 +67,20 @@ def group_identities(
     The molecule is named by its smallest id key. Ids and structures are the two
     sides of a graph; ids are linked through the smallest id of each structure,
     so a structure with a million ids gives a million links, not their square.
+    A row without an id belongs to the molecule of its structure; if no row with
+    that structure has an id, the structure is a molecule without a name. A row
+    with neither is a molecule of its own.
     """
     pairs = df.select(F.col(id_key).alias("a"), F.col(structure_key).alias("b")).na.drop()
-    hubs = pairs.groupBy("b").agg(F.min("a").alias("hub"), F.max("a").alias("far")).filter("hub < far")
-    links = pairs.join(hubs, "b").select(F.col("a").alias("u"), F.col("hub").alias("v"))
-    found = components(links).withColumnsRenamed({"node": id_key, "component": group})
-    named = df.join(found, id_key, "left").withColumn(group, F.coalesce(group, id_key))
-    return positions(named, order, [group], duplicate).withColumn(duplicate, F.col(duplicate) - 1)
+    hubs = pairs.groupBy("b").agg(F.min("a").alias("hub"), F.max("a").alias("far"))
+    links = pairs.join(hubs.filter("hub < far"), "b").select(F.col("a").alias("u"), F.col("hub").alias("v"))
+    found = components(links)
+    known = df.filter(F.col(id_key).isNotNull()).withColumn("__key", F.col(id_key))
+    nameless = df.filter(F.col(id_key).isNull())
+    through = nameless.join(hubs.select("b", F.col("hub").alias("__key")), nameless[structure_key] == hubs["b"], "left")
+    keyed = known.unionByName(through.select(*[nameless[c] for c in df.columns], "__key"))
+    named = keyed.join(found, keyed["__key"] == found["node"], "left").withColumn(group, F.coalesce("component", "__key"))
+    alone = F.struct(F.col(structure_key), F.when(F.col(structure_key).isNull(), F.monotonically_increasing_id()))
+    named = named.withColumn("__alone", F.when(F.col(group).isNull(), F.to_json(alone)))
+    numbered = positions(named.drop("__key", "node", "component"), order, [group, "__alone"], duplicate)
+    return numbered.withColumn(duplicate, F.col(duplicate) - 1).drop("__alone")

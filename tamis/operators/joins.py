@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.functions.rows import number
 from tamis.operators.order import positions
 
 
@@ -57,8 +58,8 @@ def exclusion_report(df: DataFrame, *known: DataFrame, key: str) -> DataFrame:
 
 
 def exclude_shared(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Rows of ``a`` whose key does not occur in ``b``."""
-    return a.join(b.select(key).distinct(), key, "left_anti")
+    """Rows of ``a`` whose key does not occur in ``b``; rows without a key are not new."""
+    return a.filter(F.col(key).isNotNull()).join(b.select(key).distinct(), key, "left_anti")
 
 
 def leaders(df: DataFrame, id_col: str, leader: str) -> DataFrame:
@@ -139,5 +140,6 @@ def join_scores(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 
 
 def max_vote(cols: Sequence[str]) -> Column:
-    """Row maximum of base predictions, on their own scales."""
-    return F.greatest(*[F.col(c) for c in cols]) if len(cols) > 1 else F.col(cols[0])
+    """Row maximum of base predictions, on their own scales; NaN is no vote."""
+    votes = [number(c) for c in cols]
+    return F.greatest(*votes) if len(votes) > 1 else votes[0]

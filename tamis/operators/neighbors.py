@@ -291,19 +291,23 @@ def extend_pairs(old: DataFrame, new: DataFrame, fp: str, id_col: str, n_bits: i
 
 
 def leader_clusters(
-    df: DataFrame, fp: str, id_col: str, n_bits: int, max_distance: float, max_rounds: int = 1000
+    df: DataFrame, fp: str, id_col: str, n_bits: int, max_distance: float
 ) -> DataFrame:
     """Taylor-Butina clusters: ``id, leader_id, cluster_id``.
 
     Order: most neighbours first, then smallest id. In rounds every open row that
     comes first among its open neighbours becomes a leader and closes them, which
     gives the leaders of the sequential rule; afterwards each row joins the first
-    of its neighbouring leaders. Copies of a fingerprint act as one node.
+    of its neighbouring leaders. Copies of a fingerprint act as one node. A row
+    without a fingerprint has no neighbours and leads itself.
     """
     n_words = n_bits // WORD
-    nodes = materialize(copies(df, id_col, fp).select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), "n_copies"), "nodes")
+    has = df.filter(F.col(fp).isNotNull())
+    bare = df.filter(F.col(fp).isNull()).select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.lit(1).cast("long").alias("n_copies"))
+    folded = copies(has, id_col, fp).select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), "n_copies")
+    nodes = materialize(folded.unionByName(bare), "nodes")
     pairs = materialize(
-        pairwise(nodes.withColumnsRenamed({"id": id_col, "fp": fp}), None, fp, id_col, n_bits, max_distance).select(
+        pairwise(nodes.filter("fp IS NOT NULL").withColumnsRenamed({"id": id_col, "fp": fp}), None, fp, id_col, n_bits, max_distance).select(
             "id_a", "id_b"
         ),
         "pairs",
@@ -326,9 +330,7 @@ def leader_clusters(
     named = both.join(ordered.toDF("u", "pu"), "u").join(ordered.toDF("v", "pv"), "v")
     upward = materialize(named.filter("pv < pu").select("u", "v"), "upward")
     edges, closed = upward, []
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         blocked = edges.select(F.col("u").alias("v")).distinct()
         winners = edges.select("v").distinct().join(blocked, "v", "left_anti")
         losers = edges.join(winners, "v", "left_semi").select("u").distinct()
@@ -338,8 +340,6 @@ def leader_clusters(
         state = materialize(still.select("u", "v").unionByName(losers, allowMissingColumns=True), "round")
         closed.append(state.filter("v IS NULL").select(F.col("u").alias("id")))
         edges = state.filter("v IS NOT NULL")
-    else:
-        raise RuntimeError("clusters did not settle")
     heads = ordered
     if closed:
         heads = ordered.join(reduce(lambda a, b: a.union(b), closed), "id", "left_anti")
@@ -358,8 +358,10 @@ def leader_clusters(
     # A head has no earlier leader beside it; leaders close all their neighbours.
     own = numbered.select(F.col("v").alias("id"), F.col("v").alias("leader_id"), "cluster_id")
     assigned = joined.join(own.select("id"), "id", "left_anti").unionByName(own)
-    by_print = nodes.join(assigned, "id").select(F.col("fp").alias(fp), "leader_id", "cluster_id")
-    return df.select(id_col, fp).join(by_print, fp).select(id_col, "leader_id", "cluster_id")
+    placed = nodes.join(assigned, "id").select("id", "fp", "leader_id", "cluster_id")
+    by_print = placed.filter("fp IS NOT NULL").drop("id").withColumnRenamed("fp", fp)
+    alone = placed.filter("fp IS NULL").select(F.col("id").alias(id_col), "leader_id", "cluster_id")
+    return has.select(id_col, fp).join(by_print, fp).select(id_col, "leader_id", "cluster_id").unionByName(alone)
 
 
 # Diverse picks.

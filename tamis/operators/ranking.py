@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tamis.functions.rows import number
 from tamis.operators.order import positions
 from tamis.session import estimated_splits
 
@@ -21,7 +22,8 @@ MERGE_LIMIT = 20_000_000
 
 
 def best_first(score: str, id_col: str) -> list[Column]:
-    return [F.col(score).desc(), F.col(id_col).asc()]
+    """Best score first; rows without a score, NaN included, come last."""
+    return [number(score).desc_nulls_last(), F.col(id_col).asc()]
 
 
 def rank_by(df: DataFrame, score: str, id_col: str, name: str = "rank", size: str | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def best_per(df: DataFrame, key: str, score: str, id_col: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     order = F.struct((-F.col(score)).alias("s"), F.col(id_col).alias("i"))
     return (
-        df.filter(F.col(score).isNotNull())
+        df.filter(number(score).isNotNull())
         .groupBy(key)
         .agg(F.min_by(F.struct(*rest), order).alias("__best"))
         .select(key, "__best.*")
@@ -101,7 +103,7 @@ def top_k(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
     is cut near the k-th score first; where k or the ties at the cut are too
     many for one task, it is ranked as a table.
     """
-    rows, left = df.filter(F.col(score).isNotNull()), None
+    rows, left = df.filter(number(score).isNotNull()), None
     if k <= TOP_K_LIMIT and k * estimated_splits(rows) > MERGE_LIMIT:
         rows, left = _above_cut(rows, score, k)
         left = MERGE_LIMIT + 1 if left is None else left
@@ -175,7 +177,7 @@ def first_ranks(df: DataFrame, score: str, id_col: str, key: str, upto: int | No
         w = W.orderBy(*best_first(score, id_col))
         ranked = top_k(df, score, id_col, upto).withColumn("rank", F.row_number().over(w))
     else:
-        ranked = rank_by(df.filter(F.col(score).isNotNull()), score, id_col)
+        ranked = rank_by(df.filter(number(score).isNotNull()), score, id_col)
     return ranked.groupBy(key).agg(F.min("rank").alias("rank"))
 
 

@@ -11,9 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.operators.order import hash_positions, part_of
-
-GROUP_LIMIT = 1_000_000  # groups whose counts may visit the driver
+from tamis.operators.order import hash_positions, part_of, running_totals
 
 
 def stratified_folds(
@@ -26,37 +24,26 @@ def stratified_folds(
     )
 
 
-def _fold_plan(counts: list[tuple[object, int]], k: int) -> list[tuple[object, int, int]]:
-    """(group, part, fold): part 0 goes to the fold with the fewest actives so far."""
-    actives, plan = [0] * k, []
-    for group, n in counts:
-        order = sorted(range(k), key=lambda f: (actives[f], f))
-        for part, fold in enumerate(order):
-            plan.append((group, part, fold))
-            actives[fold] += n // k + (1 if part < n % k else 0)
-    return plan
-
-
 def library_folds(
     df: DataFrame, id_col: str, group: str, label: str, k: int = 10, seed: int | None = None, name: str = "fold_id"
 ) -> DataFrame:
     """Stratified inside each library; larger parts go to the folds with fewest actives so far.
 
-    Only one count per library visits the driver, because each library's choice
-    depends on the ones before it.
+    Folds differ by one active at most, so the fewest are found by going round:
+    a library starts at the fold after the last one that got an extra active,
+    which a running total over the libraries gives. Rows without a library are
+    one library, the first.
     """
-    rows = (
-        df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n")).orderBy(group).limit(GROUP_LIMIT + 1).collect()
-    )
-    if len(rows) > GROUP_LIMIT:
-        raise ValueError("too many groups for a sequential fold plan")
-    field = df.schema[group].dataType.simpleString()
-    plan = df.sparkSession.createDataFrame(
-        _fold_plan([(r[0], r.n) for r in rows], k), f"`{group}` {field}, `__part` int, `{name}` int"
-    )
+    counts = df.groupBy(F.col(group).alias("__library")).agg(F.count_if(F.col(label) == 1).alias("__n"))
+    upto = running_totals(counts.withColumn("__extra", F.col("__n") % k), ["__library"], {"__upto": "__extra"})
+    starts = upto.select("__library", (F.col("__upto") - F.col("__extra")).alias("__start"))
     placed = hash_positions(df, id_col, [group, label], seed, "__position", "__size")
-    parts = placed.withColumn("__part", part_of(F.col("__position"), F.col("__size"), k))
-    return parts.join(F.broadcast(plan), [group, "__part"]).drop("__part", "__position", "__size")
+    part = part_of(F.col("__position"), F.col("__size"), k)
+    return (
+        placed.join(starts, placed[group].eqNullSafe(starts["__library"]))
+        .withColumn(name, ((part + F.col("__start")) % k).cast("int"))
+        .select(*df.columns, name)
+    )
 
 
 def multi_label_folds(

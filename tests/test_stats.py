@@ -57,7 +57,7 @@ def test_simulated_test_matches_the_exact_one(spark):
 
 
 def test_hill_fit_recovers_the_curve(spark):
-    doses = [66, 33, 16.5, 8.25, 4.125, 2.0625, 1.03125, 0.515625]
+    doses = [90, 45, 30, 12, 6, 3, 1.2, 0.6]
     rows = [
         (c, float(d), float(stats.hill(np.array(d), np.array(m), np.array(h), 0.0, 180.0)))
         for c, m, h in (("a", 8.0, 1.5), ("b", 3.0, 0.75))
