@@ -41,6 +41,28 @@ def csv_gzip_io(spark, sf):
     return readers.read_screen(spark, path, df.schema)
 
 
+@query("csv_text_io", "SELECT doc_id, text, source, n_chars FROM documents")
+def csv_text_io(spark, sf):
+    """Texts with quotes, separators and line breaks."""
+    path = work_path(spark, "csv_text")
+    df = table(spark, sf, "documents").drop("lang")
+    writers.write_table(df, path)
+    return readers.read_screen(spark, path, df.schema)
+
+
+@query(
+    "scored_tsv_io",
+    """SELECT d.text AS old_smiles, d.lang AS smiles, CAST(d.doc_id AS VARCHAR) AS id, CAST(l.quality AS DOUBLE) AS score
+       FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def scored_tsv_io(spark, sf):
+    path = work_path(spark, "scored_tsv")
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    id_, score = F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("double").alias("score")
+    writers.write_scored(rows.select(F.col("text").alias("old_smiles"), F.col("lang").alias("smiles"), id_, score), path)
+    return readers.read_scored(spark, path)
+
+
 @query(
     "smi_lines",
     r"""SELECT f[1] AS structure, f[2] AS id FROM (

@@ -38,13 +38,17 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return both / either
 
 
-def _best_of(x: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Highest similarity per row and the first reference that has it (-1: none)."""
+def _best_of(x: np.ndarray, packed: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest similarity per row and the first reference that has it (-1: none).
+
+    References stay packed; one block of them at a time is unpacked.
+    """
     best, at = np.full(len(x), -1.0), np.full(len(x), -1, dtype=np.int64)
-    for lo in range(0, len(x), ROW_BLOCK):
-        rows = slice(lo, lo + ROW_BLOCK)
-        for start in range(0, len(refs), REFERENCE_BLOCK):
-            sims = np.nan_to_num(_similarity(x[rows], refs[start : start + REFERENCE_BLOCK]), nan=-1.0)
+    for start in range(0, len(packed), REFERENCE_BLOCK):
+        refs = _unpack(list(packed[start : start + REFERENCE_BLOCK]), n_words)
+        for lo in range(0, len(x), ROW_BLOCK):
+            rows = slice(lo, lo + ROW_BLOCK)
+            sims = np.nan_to_num(_similarity(x[rows], refs), nan=-1.0)
             first = sims.argmax(1)
             top = sims[np.arange(len(sims)), first]
             better = top > best[rows]
@@ -96,9 +100,8 @@ def nearest(
         @F.pandas_udf(schema)
         def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             ids, words = sent.value
-            matrix = _unpack(list(words), n_words)
             for batch in batches:
-                best, at = _best_of(_unpack(batch, n_words), matrix)
+                best, at = _best_of(_unpack(batch, n_words), words, n_words)
                 hit = at >= 0
                 yield pd.DataFrame(
                     {

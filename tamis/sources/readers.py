@@ -8,6 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
+from tamis.sources.schemas import PROSPECTIVE_SCORES
+
+# A quote inside a quoted cell is doubled; an empty cell is NULL, a quoted empty one is
+# the empty text (no cell can hold the null character that stands for "no value").
+CSV_READ = {"quote": '"', "escape": '"', "nullValue": "\0", "emptyValue": ""}
+
 MISSING = -1.0  # a log or a line that is absent
 
 # What a run writes, and how the value follows it.
@@ -29,15 +35,24 @@ def read_merged(
     sep: str = ",",
     keep_empty: bool = False,
     check_header: bool = True,
+    header: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Many files of one header as one table; gzip is recognised by name.
 
+    Cells may hold quotes, separators and line breaks. Files known to have no
+    line breaks in cells can be read with ``multi_line`` off, which lets Spark
+    split large ones.
+
     With ``keep_empty`` an empty cell is the empty string, not NULL. A header
     that differs from the schema is an error, unless ``check_header`` is off and
     the schema names the columns by their place.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.csv(paths, schema=schema, header=True, sep=sep, enforceSchema=not check_header)
+    check = header and check_header
+    df = spark.read.options(**CSV_READ).csv(
+        paths, schema=schema, header=header, sep=sep, enforceSchema=not check, multiLine=multi_line
+    )
     if cols is not None:
         df = df.select(*cols)
     return empty_strings(df) if keep_empty else df
@@ -51,6 +66,11 @@ def read_tsv(spark: SparkSession, path: str, schema: StructType | str, keep_empt
     return read_merged(spark, path, schema, sep="\t", keep_empty=keep_empty)
 
 
+def read_scored(spark: SparkSession, path: str | Sequence[str], schema: StructType | str = PROSPECTIVE_SCORES) -> DataFrame:
+    """Scored rows as ``write_scored`` leaves them: tab-separated, no header, columns by place."""
+    return read_merged(spark, path, schema, sep="\t", header=False)
+
+
 def empty_strings(df: DataFrame) -> DataFrame:
     """NULL text to the empty text, other types untouched."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]

@@ -80,3 +80,19 @@ def test_parts_and_export(spark, tmp_path):
 def test_schemas_parse(spark):
     for name in ("RAW_SCREEN", "MASTER", "TRAINING", "CATALOG_PART", "ORDER_RESULTS", "CLUSTERS", "COSTS", "DOSE_RESPONSE", "ALERT_RULES", "PROSPECTIVE_SCORES"):
         assert spark.createDataFrame([], getattr(schemas, name)).columns
+
+
+def test_cells_with_quotes_breaks_and_blanks(spark, tmp_path):
+    import pandas as pd
+
+    rows = [(1, 'say "x", y'), (2, "two\nlines"), (3, ""), (4, None), (5, " blanks "), (6, "back\\slash\\"), (7, '"')]
+    df = spark.createDataFrame(rows, "id long, text string")
+    path = str(tmp_path / "ours")
+    writers.write_table(df, path)
+    back = readers.read_merged(spark, path, df.schema)
+    assert sorted(map(tuple, back.collect())) == rows
+    seen = pd.concat(pd.read_csv(f, keep_default_na=False) for f in (tmp_path / "ours").glob("part-*.csv.gz"))
+    assert sorted(zip(seen["id"], seen["text"])) == [(i, t or "") for i, t in rows]
+    pd.DataFrame(rows, columns=["id", "text"]).to_csv(tmp_path / "theirs.csv", index=False)
+    theirs = readers.read_merged(spark, str(tmp_path / "theirs.csv"), df.schema)
+    assert sorted((r.id, r.text or "") for r in theirs.collect()) == [(i, t or "") for i, t in rows]
