@@ -16,6 +16,38 @@ from tamis.session import materialize, spread
 TREES = {"n_estimators": 10, "max_depth": 4}
 
 
+METRICS = [("precision", None), ("roc", None), ("hits", 0.01), ("actives", None)]
+TEST_METRICS = [("EF", 0.01), ("NEF", 0.01), ("EF", 0.1), ("NEF", 0.1)]
+
+
+def checked(report):
+    """What another library's fit has in common: the report's lines, the actives, values in their range."""
+    value = F.col("value")
+    upper = F.col("metric").isin("hits", "actives", "EF") | (value <= 1 + 1e-9)
+    return report.withColumns(
+        {
+            "actives": F.when(F.col("metric") == "actives", value),
+            "in_range": F.coalesce((value >= 0) & upper & ~F.isnan(value), F.lit(True)),
+        }
+    ).drop("value")
+
+
+def _split_sql(folds):
+    return " ".join(f"WHEN fold_id IN ({', '.join(map(str, f))}) THEN '{s}'" for s, f in folds.items())
+
+
+def checked_sql(train=range(8), val=(), test=(9,), test_metrics=TEST_METRICS):
+    """Twin of a checked report over the folds of a run."""
+    folds = {s: f for s, f in (("train", train), ("val", val), ("test", test)) if f}
+    lines = [(m, r, False) for m, r in METRICS] + [(m, r, True) for m, r in test_metrics]
+    values = ", ".join(f"('{m}', {'NULL' if r is None else f'{r}e0'}, {t})" for m, r, t in lines)
+    return f"""WITH {FOLDED_SQL}, s AS (SELECT CASE {_split_sql(folds)} END AS split, active FROM folded),
+          t AS (SELECT split, CAST(sum(active) AS DOUBLE) AS n FROM s WHERE split IS NOT NULL GROUP BY split),
+          m(metric, ratio, test_only) AS (VALUES {values})
+        SELECT split, metric, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN metric = 'actives' THEN n END AS actives,
+               true AS in_range FROM t, m WHERE NOT test_only OR split = 'test'"""
+
+
 def training(spark, sf):
     """Folded compounds with ML features, a binary and a continuous label."""
     df = stratified_folds(compounds(spark, sf), "id", "active")
@@ -38,7 +70,7 @@ def _report(spark, sf, make, use_val=False, run=4):
     part = lambda name: rows.filter(F.col("split") == name)
     fitted = make.fit(part("train"), part("val") if use_val else None)
     scored = fitted.score(rows).select("id", "split", "score", "label")
-    return evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1])
+    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]))
 
 
 @query(
@@ -54,40 +86,40 @@ def similarity_ranker(spark, sf):
     return out.select("id", "nearest_active_id", F.round("score", 6).alias("score"))
 
 
-@query("rf_classifier")
+@query("rf_classifier", checked_sql())
 def rf_classifier(spark, sf):
     return _report(spark, sf, rankers.RankerRF(TREES))
 
 
-@query("rf_regressor")
+@query("rf_regressor", checked_sql())
 def rf_regressor(spark, sf):
     df = training(spark, sf)
     rows = cv_split(df, 4, use_val=False)
     fitted = rankers.RankerRFReg(TREES, label="value").fit(rows.filter("split = 'train'"))
     scored = fitted.score(rows).select("id", "split", "score", "label")
-    return evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1])
+    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]))
 
 
-@query("boosted_classifier")
+@query("boosted_classifier", checked_sql(val=(8,)))
 def boosted_classifier(spark, sf):
     return _report(spark, sf, rankers.RankerGBT({"n_estimators": 8, "max_depth": 3, "metric": "precision"}), use_val=True)
 
 
-@query("boosted_regressor")
+@query("boosted_regressor", checked_sql(val=(8,)))
 def boosted_regressor(spark, sf):
     rows = cv_split(training(spark, sf), 4)
     make = rankers.RankerGBTReg({"n_estimators": 8, "max_depth": 3, "metric": "roc"}, label="value", binary_label="label")
     fitted = make.fit(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
     scored = fitted.score(rows).select("id", "split", "score", "label")
-    return evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1])
+    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]))
 
 
-@query("linear_booster")
+@query("linear_booster", checked_sql())
 def linear_booster(spark, sf):
     return _report(spark, sf, rankers.RankerLinear({"reg_lambda": 0.1, "n_estimators": 30}))
 
 
-@query("mlp_classifier")
+@query("mlp_classifier", checked_sql(val=(8,)))
 def mlp_classifier(spark, sf):
     return _report(spark, sf, rankers.RankerMLP({"layers": [16], "epochs": [10, 30]}), use_val=True)
 
@@ -102,7 +134,7 @@ def select_iteration(spark, sf):
     return values.withColumn("kept", (F.col("n_trees") == rankers.best_iteration(listed, 50)).cast("int"))
 
 
-@query("stacking_ensemble")
+@query("stacking_ensemble", checked_sql())
 def stacking_ensemble(spark, sf):
     rows = cv_split(training(spark, sf), 4, use_val=False)
     train = rows.filter("split = 'train'")
@@ -112,17 +144,30 @@ def stacking_ensemble(spark, sf):
     }
     stack = ensembles.Stacking(models).fit(train)
     scored = stack.score(rows).select("id", "split", "score", "label")
-    return evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1])
+    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]))
+
+
+def _cv_sql():
+    """Each run trains on the folds it does not test, among the first eight for the inner runs."""
+    parts = []
+    for run in range(6):
+        test = 2 * run + 1 if run < 4 else 9
+        train = [f for f in range(9 if run == 5 else 8) if f != test]
+        one = checked_sql(train, (), (test,), [("EF", 0.1), ("NEF", 0.1)])
+        parts.append(f"SELECT {run} AS run, * FROM ({one})")
+    runs = " UNION ALL ".join(parts)
+    return f"""SELECT model, CAST(setting AS INTEGER) AS setting, CAST(run AS INTEGER) AS run, split, metric, ratio, actives, in_range
+        FROM (VALUES ('forest', 0), ('forest', 1), ('linear', 0)) f(model, setting), ({runs})"""
 
 
-@query("cv_run")
+@query("cv_run", _cv_sql())
 def cv_run(spark, sf):
     makers = {"forest": rankers.RankerRF, "linear": rankers.RankerLinear}
     grids = {
         "forest": {"n_estimators": [5, 10], "max_depth": [4]},
         "linear": {"n_estimators": [20], "reg_lambda": [0.1]},
     }
-    return run_cv(training(spark, sf), makers, grids, list(range(6)), "id", "label", (0.1,), use_val=False)
+    return checked(run_cv(training(spark, sf), makers, grids, list(range(6)), "id", "label", (0.1,), use_val=False))
 
 
 @query(
