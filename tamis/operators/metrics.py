@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.operators.clean import SENTINEL
 from tamis.operators.order import running_totals
-from tamis.operators.ranking import best_first, rank_by
+from tamis.operators.ranking import best_first, rank_by, top_k
 
 
 def measured(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -68,11 +68,10 @@ def avg_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
 
 def hits_at_n(df: DataFrame, score: str, label: str, id_col: str, n: int) -> DataFrame:
     """Actives among the n best; asking for more rows than there are fails."""
-    ranked = rank_by(measured(df, score, label), score, id_col)
-    enough = F.count("*") >= n
-    return ranked.agg(
+    best = top_k(measured(df, score, label), score, id_col, n)
+    return best.agg(
         F.lit(n).cast("long").alias("n"),
-        F.when(enough, F.sum(F.when(F.col("rank") <= n, F.col(label)).otherwise(0)))
+        F.when(F.count("*") >= n, F.coalesce(F.sum(label), F.lit(0)))
         .otherwise(F.raise_error(F.lit("n exceeds the number of rows")).cast("long"))
         .alias("hits"),
     )
