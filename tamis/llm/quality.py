@@ -118,10 +118,10 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000)
     """``rules`` by rejections per second on a sample; ties keep the given order.
 
     The sample is the first ``sample_rows`` rows Spark finds, a bound that only
-    the order of the rules depends on. Each rule runs twice, because the first
-    run compiles it.
+    the order of the rules depends on; Spark reads as many splits as that takes.
+    Each rule runs twice, because the first run compiles it.
     """
-    sample = materialize(docs.limit(sample_rows), "sample")
+    sample = materialize(docs.sparkSession.createDataFrame(docs.take(sample_rows), docs.schema), "sample")
     worth = []
     for rule in rules:
         for _ in range(2):
