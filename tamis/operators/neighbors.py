@@ -10,16 +10,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tamis.functions.bits import WORD, popcount, tanimoto
+from tamis.functions.rows import number
+from tamis.functions.text import once
 from tamis.operators.order import positions
-from tamis.session import materialize
+from tamis.session import materialize, work_path
 
-# Reference fingerprints that may be sent to every task (25 MB at 1024 bits).
-REFERENCE_LIMIT = 200_000
+# Bytes of packed reference fingerprints that are with a task at a time.
+GROUP_BYTES = 24 << 20
 ROW_BLOCK, REFERENCE_BLOCK = 2048, 8192
-NEAREST_STEPS = (0.8, 0.6, 0.4, 0.2, 0.1, 0.0)
+# Picks whose distances may wait as expressions before the running sums are written.
+PICKS_HELD = 16
 
 
 def _unpack(words: pd.Series | list, n_words: int) -> np.ndarray:
@@ -38,29 +43,63 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return both / either
 
 
-def _best_of(x: np.ndarray, packed: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Highest similarity per row and the first reference that has it (-1: none).
+def arranged(rows: pa.Table, n_words: int) -> tuple:
+    """A group of references by popcount as plain arrays: ids, words, rank of each id, and its blocks.
 
-    References stay packed; one block of them at a time is unpacked.
+    A block is ``REFERENCE_BLOCK`` references of like popcount, in id order, given
+    by its start and its least and greatest popcount.
     """
-    best, at = np.full(len(x), -1.0), np.full(len(x), -1, dtype=np.int64)
-    for start in range(0, len(packed), REFERENCE_BLOCK):
-        refs = _unpack(list(packed[start : start + REFERENCE_BLOCK]), n_words)
-        for lo in range(0, len(x), ROW_BLOCK):
-            rows = slice(lo, lo + ROW_BLOCK)
+    ids = rows["ref_id"].to_pylist()
+    words = rows["ref_fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_words)
+    ones = rows["ones"].to_numpy()
+    rank = np.empty(len(ids), np.int64)
+    rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+    starts = range(0, len(ids), REFERENCE_BLOCK)
+    blocks = [(s, int(ones[s]), int(ones[min(s + REFERENCE_BLOCK, len(ids)) - 1])) for s in starts]
+    order = np.lexsort((rank, np.arange(len(ids)) // REFERENCE_BLOCK))
+    return [ids[i] for i in order], words[order], rank[order], blocks
+
+
+def _best_of(x: np.ndarray, least: np.ndarray, group: tuple, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the highest similarity in the group that is at least ``least``, and where (-1: none).
+
+    Blocks are unpacked one at a time, those of like popcount first; a row
+    skips a block whose popcounts allow no similarity as high as its best.
+    """
+    _, words, rank, blocks = group
+    best, at, ones = least.copy(), np.full(len(x), -1, dtype=np.int64), x.sum(1)
+    middle = np.median(ones) if len(x) else 0.0
+    for start, low, high in sorted(blocks, key=lambda b: max(b[1] - middle, middle - b[2])):
+        most = np.minimum(np.minimum(ones / max(low, 1), 1.0), high / np.maximum(ones, 1.0))
+        needed = np.flatnonzero(most + 1e-6 >= best)
+        if not len(needed):
+            continue
+        refs = _unpack(list(words[start : start + REFERENCE_BLOCK]), n_words)
+        for lo in range(0, len(needed), ROW_BLOCK):
+            rows = needed[lo : lo + ROW_BLOCK]
             sims = np.nan_to_num(_similarity(x[rows], refs), nan=-1.0)
             first = sims.argmax(1)
-            top = sims[np.arange(len(sims)), first]
-            better = top > best[rows]
+            top = sims[np.arange(len(rows)), first]
+            tie = (at[rows] < 0) | (rank[start + first] < rank[at[rows]])
+            better = (top >= 0) & ((top > best[rows]) | (top == best[rows]) & tie)
             best[rows] = np.where(better, top, best[rows])
             at[rows] = np.where(better, start + first, at[rows])
     return best, at
 
 
-def _bounded(refs: DataFrame, limit: int) -> list | None:
-    """Reference rows in id order, or None when there are too many to send."""
-    rows = refs.orderBy("ref_id").limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def _reference_groups(refs: DataFrame, n_words: int, group_bytes: int) -> Iterator[tuple]:
+    """All references with a fingerprint, ``group_bytes`` at a time, by popcount and id."""
+    per = max(1, group_bytes // (8 * n_words))
+    filled = refs.filter("ref_id IS NOT NULL AND ref_fp IS NOT NULL")
+    placed = positions(filled.withColumn("ones", popcount("ref_fp", n_words)), ["ones", "ref_id"], name="at")
+    path = work_path(refs.sparkSession, "references")
+    grouped = placed.withColumn("part", F.floor((F.col("at") - 1) / F.lit(per)).cast("int")).drop("at")
+    grouped.write.partitionBy("part").parquet(path)
+    schema = T.StructType([*refs.schema, T.StructField("ones", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    parts = refs.sparkSession.read.schema(schema).parquet(path)
+    for part in range(parts.select("part").distinct().count()):
+        group = parts.filter(F.col("part") == part).select("ref_id", "ref_fp", "ones")
+        yield arranged(group.toArrow().sort_by([("ones", "ascending"), ("ref_id", "ascending")]), n_words)
 
 
 def nearest(
@@ -72,85 +111,57 @@ def nearest(
     ref_id: str = "ref_id",
     ref_fp: str = "ref_fp",
     out: str = "nearest",
-    limit: int = REFERENCE_LIMIT,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Most similar reference of each row (ties: smallest id) and its similarity.
 
-    A reference set of checked size is sent to the tasks, which compare blocks of
-    rows with blocks of references; the table is read once and not shuffled.
-    A larger set is searched by similarity joins of falling threshold.
+    The references pass in groups of ``group_bytes``, by popcount: a group is
+    sent to the tasks, which compare blocks of rows with blocks of references and
+    keep each row's best so far, which later blocks must reach. Rows are not
+    shuffled; between groups they are written with their best, so pass the
+    columns that are needed. References without an id or a fingerprint are none.
     """
     n_words = n_bits // WORD
     slim = refs.select(F.col(ref_id).alias("ref_id"), F.col(ref_fp).alias("ref_fp"))
-    rows = _bounded(slim, limit)
-    if rows is None:
-        found = _nearest_by_joins(df.select(id_col, fp), slim, fp, id_col, n_words)
-        return df.join(found, id_col, "left").withColumnsRenamed(
-            {"__ref": f"{out}_id", "__sim": f"{out}_similarity"}
-        )
-    schema = f"id {slim.schema['ref_id'].dataType.simpleString()}, similarity double"
-    if not rows:
-        empty = F.lit(None).cast(f"struct<id:{slim.schema['ref_id'].dataType.simpleString()},similarity:double>")
-        best = empty
-    else:
-        sent = df.sparkSession.sparkContext.broadcast(
-            ([r.ref_id for r in rows], np.array([r.ref_fp for r in rows], dtype=np.int64))
-        )
-
-        @F.pandas_udf(schema)
-        def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            ids, words = sent.value
-            for batch in batches:
-                best, at = _best_of(_unpack(batch, n_words), words, n_words)
-                hit = at >= 0
-                yield pd.DataFrame(
-                    {
-                        "id": [ids[i] if ok else None for i, ok in zip(at, hit)],
-                        "similarity": np.where(hit, best, np.nan),
-                    }
-                )
-
-        best = search(F.col(fp))
-    sim = F.col("__best.similarity")
-    return (
-        df.withColumn("__best", best)
-        .withColumns(
-            {f"{out}_id": F.col("__best.id"), f"{out}_similarity": F.when(~F.isnan(sim), sim)}
+    kind = f"id {slim.schema['ref_id'].dataType.simpleString()}, similarity double"
+    rows = df.withColumn("__best", F.lit(None).cast(f"struct<{kind.replace(' ', ':')}>".replace(",:", ",")))
+    last = None
+    for group in _reference_groups(slim, n_words, group_bytes):
+        if last is not None:  # the rows so far stand in a table; the group before is no longer needed
+            rows = materialize(rows, "nearest")
+            last.destroy()
+        last = df.sparkSession.sparkContext.broadcast(group)
+        rows = rows.withColumn("__best", _better(F.col("__best"), _searching(last, kind, n_words)(F.col(fp), F.col("__best.similarity"))))
+    return rows.withColumns({f"{out}_id": F.col("__best.id"), f"{out}_similarity": F.col("__best.similarity")}).drop("__best")
+
+
+def _searching(sent: Broadcast, kind: str, n_words: int):
+    @F.pandas_udf(kind)
+    def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        group = sent.value
+        for words, least in batches:
+            best, at = _best_of(_unpack(words, n_words), least.fillna(-1.0).to_numpy(dtype=float), group, n_words)
+            hit = at >= 0
+            yield pd.DataFrame(
+                {
+                    "id": [group[0][i] if ok else None for i, ok in zip(at, hit)],
+                    "similarity": np.where(hit, best, np.nan),
+                }
+            )
+
+    return search
+
+
+def _better(old: Column, new: Column) -> Column:
+    """Of two (id, similarity) the more similar, on a tie the smaller id; a missing one loses."""
+
+    def pick(found: Column) -> Column:
+        loses = (old["similarity"] > found["similarity"]) | (
+            (old["similarity"] == found["similarity"]) & (old["id"] < found["id"])
         )
-        .drop("__best")
-    )
+        return F.when(found["id"].isNull() | F.coalesce(loses, F.lit(False)), old).otherwise(found)
 
-
-def _nearest_by_joins(df: DataFrame, refs: DataFrame, fp: str, id_col: str, n_words: int) -> DataFrame:
-    """A row with a reference at or above a threshold has its best among them,
-    so only rows still without one go on to the next, lower threshold."""
-    open_rows = df.select(F.col(id_col).alias("id_a"), F.col(fp).alias("fp_a")).filter(
-        popcount("fp_a", n_words) > 0
-    )
-    targets = refs.select(F.col("ref_id").alias("id_b"), F.col("ref_fp").alias("fp_b")).filter(
-        popcount("fp_b", n_words) > 0
-    )
-    found = None
-    for step in NEAREST_STEPS:
-        pairs = _join_above(open_rows, targets, step, n_words)
-        best = materialize(
-            pairs.groupBy("id_a").agg(
-                F.min_by("id_b", F.struct((-F.col("similarity")).alias("s"), F.col("id_b"))).alias("__ref"),
-                F.max("similarity").alias("__sim"),
-            ),
-            "nearest",
-        )
-        found = best if found is None else found.unionByName(best)
-        open_rows = materialize(open_rows.join(best, "id_a", "left_anti"), "open")
-    # No common bit: all references are equally far, except that two empty
-    # fingerprints have no similarity at all.
-    lowest = refs.agg(F.min("ref_id"))
-    lowest_filled = targets.agg(F.min("id_b"))
-    rest = open_rows.select("id_a", lowest.scalar().alias("__ref"), F.lit(0.0).alias("__sim"))
-    blank = df.filter(popcount(fp, n_words) == 0).select(
-        F.col(id_col).alias("id_a"), lowest_filled.scalar().alias("__ref"), F.lit(0.0).alias("__sim")
-    )
-    return found.unionByName(rest).unionByName(blank).withColumnRenamed("id_a", id_col)
+    return once(new, pick)
 
 
 def nearest_per_group(
@@ -283,6 +294,21 @@ def pairwise(
     )
 
 
+def best_above(
+    df: DataFrame, refs: DataFrame, fp: str, id_col: str, n_bits: int, least: float, ref_id: str = "ref_id", ref_fp: str = "ref_fp"
+) -> DataFrame:
+    """``id_col, nearest_id`` of the rows with a reference of similarity ``least`` or more (ties: smallest id).
+
+    By a similarity join in native word arithmetic, so without Python.
+    """
+    n_words = n_bits // WORD
+    a = df.select(F.col(id_col).alias("id_a"), F.col(fp).alias("fp_a")).filter(popcount("fp_a", n_words) > 0)
+    b = refs.select(F.col(ref_id).alias("id_b"), F.col(ref_fp).alias("fp_b")).filter(popcount("fp_b", n_words) > 0)
+    order = F.struct((-F.col("similarity")).alias("s"), F.col("id_b"))
+    best = _join_above(a, b, least, n_words).groupBy("id_a").agg(F.min_by("id_b", order).alias("nearest_id"))
+    return best.withColumnRenamed("id_a", id_col)
+
+
 def extend_pairs(old: DataFrame, new: DataFrame, fp: str, id_col: str, n_bits: int, max_distance: float) -> DataFrame:
     """Only the pairs that new rows add: old x new and new x new."""
     between = pairwise(old, new, fp, id_col, n_bits, max_distance)
@@ -373,35 +399,32 @@ def leader_clusters(
 def pick_diverse(df: DataFrame, fp: str, id_col: str, score: str, n_bits: int, n: int) -> DataFrame:
     """Best row first, then n - 1 times the row with the largest mean distance to those chosen.
 
-    Ties go to the better rank. Each round is one scan that keeps the best row per
-    task; only the n chosen fingerprints travel.
+    Ties go to the better rank. Each row carries the sum of its distances to the
+    picks so far; a round adds the distance to the newest and keeps the best row
+    per task. A missing fingerprint has no ones, a row without a score comes last.
     """
     n_words = n_bits // WORD
-    rows = materialize(df.select(id_col, score, fp), "candidates")
-    first = rows.orderBy(F.col(score).desc(), F.col(id_col)).limit(1).collect()
-    chosen = list(first)
-    order = F.struct((-F.col("__mean")).alias("m"), (-F.col(score)).alias("s"), F.col(id_col).alias("i"))
-    while chosen and len(chosen) < n:
-        picked = np.array([r[fp] for r in chosen], dtype=np.int64)
-
-        @F.pandas_udf("double")
-        def mean_distance(words: pd.Series) -> pd.Series:
-            sims = _similarity(_unpack(words, n_words), _unpack(list(picked), n_words))
-            return pd.Series(np.round((1.0 - np.nan_to_num(sims, nan=1.0)).mean(1), 12))
-
-        left = rows.filter(~F.col(id_col).isin([r[id_col] for r in chosen]))
-        best = (
-            left.withColumn("__mean", mean_distance(F.col(fp)))
-            .agg(F.min_by(F.struct(id_col, score, fp), order).alias("best"))
-            .first()
-            .best
-        )
+    blank = F.array(*[F.lit(0).cast("long")] * n_words)
+    late = F.coalesce(-number(score).cast("double"), F.lit(float("inf")))
+    rows = materialize(
+        df.filter(F.col(id_col).isNotNull()).select(
+            F.col(id_col).alias("id"), late.alias("late"), F.coalesce(fp, blank).alias("fp"), F.lit(0.0).alias("sum")
+        ),
+        "candidates",
+    )
+    order = F.struct((-F.round("mean", 12)).alias("m"), "late", F.col("id").alias("i"))
+    chosen, total = [], F.col("sum")
+    while len(chosen) < n:
+        left = rows.filter(~F.col("id").isin([r.id for r in chosen])) if chosen else rows
+        mean = total / F.lit(float(max(len(chosen), 1)))
+        best = left.withColumn("mean", mean).agg(F.min_by(F.struct("id", "fp"), order).alias("best")).first().best
         if best is None:
             break
         chosen.append(best)
-    spark = df.sparkSession
+        newest = F.array(*[F.lit(w).cast("long") for w in best.fp])
+        total = total + (1.0 - F.coalesce(tanimoto(F.col("fp"), newest, n_words), F.lit(1.0)))
+        if len(chosen) % PICKS_HELD == 0:
+            rows, total = materialize(rows.withColumn("sum", total), "candidates"), F.col("sum")
     kind = df.schema[id_col].dataType.simpleString()
-    picks = spark.createDataFrame(
-        [(r[id_col], i) for i, r in enumerate(chosen)], f"`{id_col}` {kind}, pick_order int"
-    )
-    return df.join(F.broadcast(picks), id_col)
+    picks = df.sparkSession.createDataFrame([(r.id, i) for i, r in enumerate(chosen)], f"`{id_col}` {kind}, pick_order int")
+    return df.join(F.broadcast(picks), id_col)  # n rows

@@ -8,17 +8,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.functions.rows import number
 from tamis.operators.order import positions
-from tamis.session import estimated_splits
 
 
-# Above this a k-best list is ranked like a table instead of merged in one place.
-TOP_K_LIMIT = 1_000_000
-# Rows that may reach the one task that merges the tasks' best rows.
-MERGE_LIMIT = 20_000_000
+# Rows from which another round of cutting would cost more than ordering them.
+FEW = 1 << 20
 
 
 def best_first(score: str, id_col: str) -> list[Column]:
@@ -72,44 +69,48 @@ def expand(df: DataFrame, count: str, name: str = "repeat") -> DataFrame:
     return df.filter(n > 0).withColumn(name, F.explode(F.sequence(F.lit(1), n)))
 
 
-def _above_cut(df: DataFrame, score: str, k: int) -> tuple[DataFrame, int | None]:
-    """Rows that can be among the k best, and how many they are (None: unknown).
+def _cut(rows: DataFrame, value: Column, k: int) -> float | None:
+    """A value that at least ``k`` rows reach, as high as it can be told; None where no cut helps.
 
-    Approximate quantiles propose cuts towards the top; counting decides, so the
-    highest cut that k rows reach is safe and no row among the k best is lost.
-    Repeated until few rows are left or equal scores allow no higher cut; only
-    the score is read.
+    Approximate quantiles propose cuts towards the top; counting decides, so no
+    row among the k best is below. Repeated on the rows above until they are few
+    or equal values allow no higher cut. Only the value is read.
     """
-    s = F.col(score).cast("double")
     levels = [1.0 - 2.0**-j for j in range(1, 14)]
-    rows, cut, left = df, None, None
-    while left is None or left > MERGE_LIMIT:
-        marks = rows.agg(F.percentile_approx(s, levels, 10_000).alias("m")).first().m or []
+    cut = None
+    while True:
+        above = rows if cut is None else rows.filter(value >= cut)
+        marks = above.agg(F.percentile_approx(value, levels, 10_000).alias("m")).first().m or []
         if not marks:
-            break
-        reached = rows.agg(*[F.count_if(s >= m).alias(f"m{i}") for i, m in enumerate(marks)]).first()
+            return cut
+        reached = above.agg(*[F.count_if(value >= m).alias(f"m{i}") for i, m in enumerate(marks)]).first()
         safe = [(m, n) for m, n in zip(marks, reached) if n >= k]
         if not safe or max(safe)[0] == cut:
-            break
+            return cut
         cut, left = max(safe)
-        rows = df.filter(s >= cut)
-    return rows, left
+        if left <= FEW:
+            return cut
 
 
-def top_k(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
-    """k best rows: each task keeps its own k before one task merges them.
+def _best(rows: DataFrame, value: Column, order: Sequence[Column], k: int, name: str) -> DataFrame:
+    """The first ``k`` rows in ``order``, ranked; ``value`` falls or stays along the order.
 
-    Where that merge would be large (k rows from each of many tasks), the table
-    is cut near the k-th score first; where k or the ties at the cut are too
-    many for one task, it is ranked as a table.
+    What can be among them is cut out first and ranked like any table, so
+    neither a large k nor ties bring the rows into one task.
     """
-    rows, left = df.filter(number(score).isNotNull()), None
-    if k <= TOP_K_LIMIT and k * estimated_splits(rows) > MERGE_LIMIT:
-        rows, left = _above_cut(rows, score, k)
-        left = MERGE_LIMIT + 1 if left is None else left
-    if k > TOP_K_LIMIT or (left or 0) > MERGE_LIMIT:
-        return rank_by(rows, score, id_col, "__rank").filter(F.col("__rank") <= k).drop("__rank")
-    return rows.orderBy(*best_first(score, id_col)).limit(k)
+    cut = _cut(rows, value, k)
+    near = rows if cut is None else rows.filter(value >= cut)
+    return positions(near, order, name=name).filter(F.col(name) <= k)
+
+
+def _scored_best(df: DataFrame, score: str, id_col: str, k: int, name: str) -> DataFrame:
+    rows = df.filter(number(score).isNotNull())
+    return _best(rows, F.col(score).cast("double"), best_first(score, id_col), k, name)
+
+
+def top_k(df: DataFrame, score: str, id_col: str, k: int) -> DataFrame:
+    """k best rows, best first."""
+    return _scored_best(df, score, id_col, k, "__rank").orderBy("__rank").drop("__rank")
 
 
 def top_k_with_payload(
@@ -117,10 +118,10 @@ def top_k_with_payload(
 ) -> DataFrame:
     """k best with wide columns, joined only after the cut, so they never are sorted.
 
-    Up to ``TOP_K_LIMIT`` rows are broadcast; the payload is scanned once.
+    The list's size is known when it is joined; adaptive execution sends it to
+    the tasks if it is small.
     """
-    best = top_k(scores, score, id_col, k)
-    return payload.join(F.broadcast(best) if k <= TOP_K_LIMIT else best, id_col)
+    return payload.join(_scored_best(scores, score, id_col, k, "__rank").drop("__rank"), id_col)
 
 
 def top_fraction(df: DataFrame, score: str, id_col: str, ratio: float) -> DataFrame:
@@ -130,9 +131,9 @@ def top_fraction(df: DataFrame, score: str, id_col: str, ratio: float) -> DataFr
 
 
 def top_models(df: DataFrame, model: str, id_col: str, metric: str, k: int) -> DataFrame:
-    """k best entries per model; Spark trims each task to k per model before the shuffle."""
-    w = W.partitionBy(model).orderBy(F.col(metric).desc_nulls_last(), F.col(id_col))
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """k best entries per model with their rank; a model with many entries spreads over tasks."""
+    placed = positions(df, [F.col(metric).desc_nulls_last(), F.col(id_col)], [model], "rank")
+    return placed.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("int"))
 
 
 def take_n(recipes: DataFrame, model: str, n: DataFrame, items: str, count: str) -> DataFrame:
@@ -149,9 +150,10 @@ def take_n(recipes: DataFrame, model: str, n: DataFrame, items: str, count: str)
 
 def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
     """n rows by the smallest hash of (id, seed): uniform and repeatable."""
-    mark = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
-    return df.withColumn("__mark", mark).orderBy("__mark", id_col).limit(n).drop("__mark")
-
+    mark = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    first = -F.conv(F.substring(mark, 1, 13), 16, 10).cast("double")  # 52 bits, exact in a double
+    drawn = _best(df, first, [mark, F.col(id_col)], n, "__rank")
+    return drawn.orderBy("__rank").drop("__rank")
 
 
 def _counts_at(df: DataFrame, rank: str, ks: Sequence[int]) -> DataFrame:
@@ -171,13 +173,12 @@ def _counts_at(df: DataFrame, rank: str, ks: Sequence[int]) -> DataFrame:
 def first_ranks(df: DataFrame, score: str, id_col: str, key: str, upto: int | None = None) -> DataFrame:
     """Best rank of every key; a key repeated in the list counts once.
 
-    With ``upto`` only that many best rows are ranked (each task trims first).
+    With ``upto`` only that many best rows are ranked.
     """
-    if upto is not None and upto <= TOP_K_LIMIT:
-        w = W.orderBy(*best_first(score, id_col))
-        ranked = top_k(df, score, id_col, upto).withColumn("rank", F.row_number().over(w))
-    else:
+    if upto is None:
         ranked = rank_by(df.filter(number(score).isNotNull()), score, id_col)
+    else:
+        ranked = _scored_best(df, score, id_col, upto, "rank")
     return ranked.groupBy(key).agg(F.min("rank").alias("rank"))
 
 

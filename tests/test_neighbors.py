@@ -51,13 +51,14 @@ def test_ones_match_the_string(spark):
     assert [r[0] for r in got] == [[i for i, c in enumerate(x) if c == "1"] for x in s]
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_nearest_by_both_paths(spark, limit):
+@pytest.mark.parametrize("group_bytes", [1 << 20, 80, 1])
+def test_nearest_in_one_group_or_many(spark, group_bytes, monkeypatch):
+    monkeypatch.setattr(neighbors, "REFERENCE_BLOCK", 3)
     rows, refs = prints(60, 2), prints(25, 9)
     ref = frame(spark, refs, 100).select(F.col("id").alias("ref_id"), F.col("fp").alias("ref_fp"))
     out = {
         r.id: (r.nearest_id, r.nearest_similarity)
-        for r in neighbors.nearest(frame(spark, rows), ref, "fp", "id", N_BITS, limit=limit).collect()
+        for r in neighbors.nearest(frame(spark, rows), ref, "fp", "id", N_BITS, group_bytes=group_bytes).collect()
     }
     for i, s in enumerate(rows):
         sims = [(sim(s, t), -(100 + j)) for j, t in enumerate(refs) if sim(s, t) is not None]

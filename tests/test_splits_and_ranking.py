@@ -72,13 +72,15 @@ def test_best_per_and_top_models(rows):
         assert part["id"].tolist() == p[p["lib"] == lib]["id"].head(5).tolist()
 
 
-def test_large_k_is_ranked_instead_of_merged(rows, monkeypatch):
-    small = [r.id for r in ranking.top_k(rows, "s", "id", 50).collect()]
-    overlap = ranking.overlap_at_k(rows.withColumn("t", -F.col("s")), "s", "t", "id", "id", [50, 400]).collect()
-    monkeypatch.setattr(ranking, "TOP_K_LIMIT", 10)
-    assert sorted(r.id for r in ranking.top_k(rows, "s", "id", 50).collect()) == sorted(small)
-    again = ranking.overlap_at_k(rows.withColumn("t", -F.col("s")), "s", "t", "id", "id", [50, 400]).collect()
-    assert overlap == again
+@pytest.mark.parametrize("few", [1 << 20, 10])
+def test_top_k_of_any_size(rows, monkeypatch, few):
+    monkeypatch.setattr(ranking, "FEW", few)
+    p = rows.toPandas().sort_values(["s", "id"], ascending=[False, True])["id"].tolist()
+    for k in (1, 50, 400, 600):
+        assert [r.id for r in ranking.top_k(rows, "s", "id", k).collect()] == p[:k]
+    t = rows.toPandas().assign(t=lambda x: -x["s"]).sort_values(["t", "id"], ascending=[False, True])["id"].tolist()
+    both = ranking.overlap_at_k(rows.withColumn("t", -F.col("s")), "s", "t", "id", "id", [50, 400]).collect()
+    assert {r.k: r.n_shared for r in both} == {k: len(set(p[:k]) & set(t[:k])) for k in (50, 400)}
 
 
 def test_a_key_repeated_in_a_list_counts_once(spark):
@@ -101,18 +103,12 @@ def test_coverage(spark):
     assert (out["b"].union_minus_model, out["b"].model_minus_vote) == (1, 1)
 
 
-def test_cut_before_a_large_merge(spark, rows, monkeypatch):
-    key = lambda df: sorted(r.id for r in df.collect())
-    plain, everything = key(ranking.top_k(rows, "s", "id", 30)), key(ranking.top_k(rows, "s", "id", 600))
-    assert len(everything) == 500
-    monkeypatch.setattr(ranking, "MERGE_LIMIT", 60)
-    monkeypatch.setattr(ranking, "estimated_splits", lambda df: 9)
-    cut, left = ranking._above_cut(rows, "s", 30)
-    assert 30 <= cut.count() == left <= 60
-    assert key(ranking.top_k(rows, "s", "id", 30)) == plain
-    assert key(ranking.top_k(rows, "s", "id", 600)) == everything
+def test_cut_keeps_the_best(spark, rows):
+    value = F.col("s").cast("double")
+    assert 30 <= rows.filter(value >= ranking._cut(rows, value, 30)).count() <= 60
+    assert ranking._cut(rows, value, 600) is None
     ties = spark.range(300).withColumn("s", F.lit(1.0))  # no cut helps
-    assert key(ranking.top_k(ties, "s", "id", 20)) == list(range(20))
+    assert [r.id for r in ranking.top_k(ties, "s", "id", 20).collect()] == list(range(20))
 
 
 def test_ids_may_be_text(spark):
