@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -114,14 +115,28 @@ def rules_of(text: Column) -> list[Rule]:
     return base_rules(n, n_repeat_words(words(text))) + text_rules(text, n, n_symbols(text), n_dup_lines(text), word_chars(text))
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000) -> list[Rule]:
+def first_rows(docs: DataFrame, rows: int, most_bytes: int) -> DataFrame:
+    """The first rows Spark finds, ``rows`` at most, as far as their texts fit into ``most_bytes``.
+
+    Their sizes are looked at before any text is fetched.
+    """
+    texts = [F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("long") for c, kind in docs.dtypes if kind in ("string", "binary")]
+    sizes = docs.select(sum(texts, F.lit(0).cast("long")).alias("bytes")).take(rows)
+    fit = sum(total <= most_bytes for total in accumulate(r.bytes for r in sizes))
+    return docs.sparkSession.createDataFrame(docs.take(fit), docs.schema)
+
+
+def order_rules(
+    docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000, sample_bytes: int = 32 << 20
+) -> list[Rule]:
     """``rules`` by rejections per second on a sample; ties keep the given order.
 
-    The sample is the first ``sample_rows`` rows Spark finds, a bound that only
-    the order of the rules depends on; Spark reads as many splits as that takes.
-    Each rule runs twice, because the first run compiles it.
+    The sample is the first ``sample_rows`` rows Spark finds, fewer if their
+    texts exceed ``sample_bytes``: bounds that only the order of the rules
+    depends on. Spark reads as many splits as that takes. Each rule runs twice,
+    because the first run compiles it.
     """
-    sample = materialize(docs.sparkSession.createDataFrame(docs.take(sample_rows), docs.schema), "sample")
+    sample = materialize(first_rows(docs, sample_rows, sample_bytes), "sample")
     worth = []
     for rule in rules:
         for _ in range(2):

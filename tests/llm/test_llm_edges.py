@@ -56,6 +56,17 @@ def test_quality_counts(spark):
     assert all(tuple(r)[2:] == counts(r.text) for r in got.collect())
 
 
+def test_sample_is_bounded_in_rows_and_bytes(spark):
+    df = docs(spark).select("doc_id", "text").coalesce(1)
+    before = sum(len((r[1] or "").encode()) for r in ROWS[:5])
+    assert quality.first_rows(df, 3, 1 << 20).count() == 3
+    assert quality.first_rows(df, 100, before).count() == 5  # the long text comes sixth
+    assert quality.first_rows(df, 100, len(LONG) * 2).count() == len(ROWS)
+    assert quality.first_rows(df, 100, -1).isEmpty() and quality.first_rows(df.limit(0), 100, 9).isEmpty()
+    rules = quality.rules_of(F.col("text"))
+    assert {r.name for r in quality.order_rules(df, rules, sample_bytes=-1)} == {r.name for r in rules}
+
+
 def test_cascade_does_not_depend_on_order(spark):
     df = docs(spark)
     rules = quality.rules_of(F.col("text"))
