@@ -12,13 +12,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.functions.bits import WORD, popcount, tanimoto
 from tamis.functions.rows import number
 from tamis.functions.text import once
-from tamis.operators.order import positions
-from tamis.session import materialize, work_path
+from tamis.operators.order import SLOT_BITS, positions
+from tamis.session import materialize
 
 # Bytes of packed reference fingerprints that are with a task at a time.
 GROUP_BYTES = 24 << 20
@@ -90,18 +90,35 @@ def _best_of(x: np.ndarray, least: np.ndarray, group: tuple, n_words: int) -> tu
 def _reference_groups(refs: DataFrame, n_words: int, group_bytes: int) -> Iterator[tuple]:
     """All references with a fingerprint, ``group_bytes`` at a time, by popcount and id."""
     per = max(1, group_bytes // (8 * n_words))
-    filled = refs.filter("ref_id IS NOT NULL AND ref_fp IS NOT NULL")
-    placed = positions(filled.withColumn("ones", popcount("ref_fp", n_words)), ["ones", "ref_id"], name="at")
-    path = work_path(refs.sparkSession, "references")
-    grouped = placed.withColumn("part", F.floor((F.col("at") - 1) / F.lit(per)).cast("int")).drop("at")
-    grouped.write.partitionBy("part").parquet(path)
-    schema = T.StructType([*refs.schema, T.StructField("ones", T.IntegerType()), T.StructField("part", T.IntegerType())])
-    parts = refs.sparkSession.read.schema(schema).parquet(path)
-    for part in range(parts.select("part").distinct().count()):
-        group = parts.filter(F.col("part") == part).select("ref_id", "ref_fp", "ones")
+    filled = refs.filter("ref_id IS NOT NULL AND ref_fp IS NOT NULL").withColumn("ones", popcount("ref_fp", n_words))
+    placed = materialize(
+        filled.repartitionByRange("ones", "ref_id")
+        .sortWithinPartitions("ones", "ref_id")
+        .withColumn("at", F.monotonically_increasing_id()),
+        "references",
+    )
+    ranges = placed.groupBy(F.shiftright("at", SLOT_BITS).alias("slot")).agg(F.count("*").alias("n")).collect()
+    for first, last in _spans(sorted((r.slot, r.n) for r in ranges), per):  # one row per range partition
+        group = placed.filter(F.col("at").between(first, last)).select("ref_id", "ref_fp", "ones")
         yield arranged(group.toArrow().sort_by([("ones", "ascending"), ("ref_id", "ascending")]), n_words)
 
 
+def _spans(counts: list[tuple[int, int]], per: int) -> Iterator[tuple[int, int]]:
+    """First and last row number of each run of ``per`` rows, over partitions of so many rows."""
+    first, held = None, 0
+    for slot, n in counts:
+        base, at = slot << SLOT_BITS, 0
+        while at < n:
+            first = base + at if first is None else first
+            took = min(per - held, n - at)
+            at, held = at + took, held + took
+            if held == per:
+                yield first, base + at - 1
+                first, held = None, 0
+    if held:
+        yield first, base + at - 1
+
+
 def nearest(
     df: DataFrame,
     refs: DataFrame,

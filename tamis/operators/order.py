@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tamis.session import materialize
 
-_SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row below
+SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row below
 
 
 def _columns(items: Sequence[str | Column]) -> list[Column]:
@@ -37,7 +37,7 @@ def running_totals(
     group = F.struct(*partition_by) if partition_by else F.struct(F.lit(0).alias("all"))
     keys = [*map(F.col, partition_by), *_columns(order_by)]
     ins = [(F.col(m) if isinstance(m, str) else m).alias(f"__in_{n}") for n, m in measures.items()]
-    slot = F.shiftright("__row", _SLOT_BITS)
+    slot = F.shiftright("__row", SLOT_BITS)
     rows = materialize(
         df.select("*", *ins)
         .repartitionByRange(*keys)
@@ -86,7 +86,7 @@ def positions(
         .sortWithinPartitions(*keys)
         .withColumn("__row", F.monotonically_increasing_id()),
         "ordered",
-    ).withColumn("__slot", F.shiftright("__row", _SLOT_BITS))
+    ).withColumn("__slot", F.shiftright("__row", SLOT_BITS))
     counts = rows.groupBy("__slot").agg(F.count("*").alias("__n"))
     before = W.orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
     shifts = counts.select(  # one row per range partition
@@ -94,7 +94,7 @@ def positions(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"),
         F.sum("__n").over(W.partitionBy()).alias("__total"),
     )
-    inside = F.col("__row").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
+    inside = F.col("__row").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
     return rows.join(F.broadcast(shifts), "__slot").select(
         *df.columns,
         (inside + F.col("__shift") + 1).alias(name),

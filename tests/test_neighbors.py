@@ -69,6 +69,15 @@ def test_nearest_in_one_group_or_many(spark, group_bytes, monkeypatch):
         assert out[i][0] == -best[1] and out[i][1] == pytest.approx(best[0])
 
 
+def test_spans_cover_every_row_once():
+    counts = [(0, 5), (2, 1), (3, 7)]
+    numbers = [(slot << neighbors.SLOT_BITS) + i for slot, n in counts for i in range(n)]
+    for per in (1, 2, 4, 13, 50):
+        got = [[x for x in numbers if lo <= x <= hi] for lo, hi in neighbors._spans(counts, per)]
+        assert got == [numbers[i : i + per] for i in range(0, len(numbers), per)]
+    assert list(neighbors._spans([], 3)) == []
+
+
 def test_nearest_without_references(spark):
     none = frame(spark, prints(9, 1)).filter("id < 0").select(F.col("id").alias("ref_id"), F.col("fp").alias("ref_fp"))
     row = neighbors.nearest(frame(spark, prints(9, 1)), none, "fp", "id", N_BITS).first()
