@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.functions.rows import number
 from tamis.operators.order import positions
+from tamis.session import materialize
 
 
 # Rows from which another round of cutting would cost more than ordering them.
@@ -188,9 +189,11 @@ def overlap_at_k(
     """Distinct keys shared by two rankers' k best, for each k.
 
     Both lists are ranked once to the largest k; a key is shared at k when its
-    worse rank is at most k.
+    worse rank is at most k. The scores are read several times, so they are
+    written first.
     """
-    a, b = (first_ranks(df, s, id_col, key, max(ks)) for s in (score_a, score_b))
+    scores = materialize(df.select(*dict.fromkeys((id_col, key, score_a, score_b))), "scores")
+    a, b = (first_ranks(scores, s, id_col, key, max(ks)) for s in (score_a, score_b))
     both = a.join(b.withColumnRenamed("rank", "__other"), key)
     return _counts_at(both.withColumn("rank", F.greatest("rank", "__other")), "rank", ks)
 
@@ -206,7 +209,8 @@ def coverage(df: DataFrame, scores: Sequence[str], label: str, id_col: str, k: i
 
     Also the actives it alone adds over the max vote.
     """
-    votes = df.withColumn("max_vote", F.greatest(*[F.col(s) for s in scores]))
+    narrow = df.select(id_col, label, *scores)
+    votes = materialize(narrow.withColumn("max_vote", F.greatest(*[F.col(s) for s in scores])), "votes")
     lists = []
     for s in (*scores, "max_vote"):
         best = top_k(votes.select(id_col, label, s), s, id_col, k).filter(F.col(label) == 1)
