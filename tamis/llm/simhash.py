@@ -230,8 +230,13 @@ def near_groups(
     )
 
 
+def kept_ids(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The smallest id of each group, once, in a column of its own name."""
+    groups = near_groups(docs, id_col, **options)
+    return groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group, the one with the smallest id, all columns unchanged."""
-    groups = near_groups(docs, id_col, **options)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
+    kept = kept_ids(docs, id_col, **options)
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")

@@ -1,0 +1,168 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose, the shingles decide.
+
+Every text has ``BANDS`` keys of ``ROWS`` minima each; two texts whose shingle
+sets have similarity s share a key with probability 1 - (1 - s^6)^24: 0.9993 at
+0.8, above 0.99999 from 0.86 on. Texts that share a key are compared by the
+shingles themselves. A key's texts are not compared all with all: they meet the
+least text of each of the key's slots, the larger of two near copies leaves, the
+least texts have met all others and leave the key, and the slots double each
+round. Two texts that share a key and both stay have therefore been compared,
+and a group of near copies costs one comparison a text.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tamis.llm.lm import hashes_of, mix
+from tamis.llm.text import arrow_map, byte_strings, named, split_words, utf8
+from tamis.session import materialize
+
+BANDS, ROWS = 24, 6
+CHUNK = 1 << 20  # bytes of text that a task works on at once
+_A = np.uint64(0xC2B2AE3D27D4EB4F)  # fixed odd multiplier (XXH64)
+
+
+def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of ``width`` words, A-Z lower-cased, and each run's text.
+
+    A text with fewer words is one run, one without words has none.
+    """
+    words, owner = split_words(texts, lower=True)
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    coded = words.dictionary_encode()
+    h = hashes_of(byte_strings(coded.dictionary))[coded.indices.to_numpy()]
+    size = np.bincount(owner, minlength=len(texts))
+    place = np.arange(len(h)) - (np.cumsum(size) - size)[owner]
+    span = np.minimum(size, width)[owner]
+    key = mix(h)
+    out = key.copy()
+    for n in range(2, width + 1):
+        key = mix(np.concatenate((key[:1], key[:-1])) * _A + h)
+        out = np.where(span == n, key, out)
+    full = place >= span - 1
+    return out[full], owner[full]
+
+
+def band_keys(texts: pa.Array, width: int) -> pa.Array:
+    """Per text the keys of its bands, null for a text without words."""
+    found, owner = shingles(texts, width)
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    some, starts = np.unique(owner, return_index=True)
+    if len(some):
+        odd = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+        for band in range(BANDS):
+            key = np.full(len(some), band + 1, np.uint64)
+            for by in odd[band * ROWS : (band + 1) * ROWS]:
+                key = mix(key * _A + np.minimum.reduceat(found * by, starts))
+            keys[some, band] = key
+    none = np.ones(len(texts), bool)
+    none[some] = False
+    ends = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
+    return pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)), mask=pa.array(none))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> pa.Array:
+    """Per text its distinct shingles."""
+    found, owner = shingles(texts, width)
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    found, owner = found[new], owner[new]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(texts))))).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(found.view(np.int64)))
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    common = F.size(F.array_intersect(a, b)).cast("long")
+    return 100 * common >= percent * (F.size(a) + F.size(b) - common)
+
+
+def similar_texts(
+    docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, among: DataFrame | None
+) -> tuple[DataFrame, DataFrame]:
+    """``id, text_key`` of all rows (those with an id in ``among``), and the ``text_key`` of the texts that go."""
+    text = utf8(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("body"), F.md5(text).alias("text_key"))
+
+    def bands(chunk) -> dict:
+        return {"bands": band_keys(chunk.column("body"), width)}
+
+    prints = materialize(arrow_map(rows, bands, "bands array<bigint>", "body", ["id", "text_key"], CHUNK), "bands")
+    if among is not None:
+        prints = prints.join(among, prints["id"].eqNullSafe(among[among.columns[0]]), "left_semi")
+    least = prints.filter("bands is not null").groupBy("text_key").agg(F.min("id").alias("least"), F.any_value("bands").alias("bands"))
+    nodes = materialize(least.select(F.monotonically_increasing_id().alias("node"), "text_key", "least", "bands"), "nodes")
+    dealt = nodes.select(F.explode("bands").alias("band"), "node")
+    shared = dealt.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    held = materialize(dealt.join(shared, "band"), "shared")
+    wanted = materialize(
+        nodes.select("node", "text_key", "least").join(held.select("node").distinct(), "node", "left_semi"), "wanted"
+    )
+    names = wanted.select("node", F.col("text_key").alias("key"), "least")
+    texts = rows.join(names, (rows["text_key"] == names["key"]) & rows["id"].eqNullSafe(names["least"]))
+
+    def sets(chunk) -> dict:
+        return {"runs": shingle_sets(chunk.column("body"), width)}
+
+    runs = arrow_map(texts.select("node", "body"), sets, "runs array<bigint>", "body", ["node"], CHUNK)
+    runs = materialize(runs, "runs")
+    # Rows without an id come last, as min() has it; nodes break ties.
+    rank = F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("node"), F.col("size"))
+    sizes = runs.select("node", F.size("runs").alias("size"))
+    held = held.join(wanted.select("node", "least").join(sizes, "node").distinct(), "node")
+    held = materialize(held.select("band", rank.alias("of")), "held")
+    gone, slots = [], 1
+    while True:
+        slot = F.pmod(F.xxhash64("of.node"), F.lit(slots))
+        heads = held.groupBy("band", slot.alias("slot")).agg(F.min("of").alias("head"), F.count("*").alias("n"))
+        heads = materialize(heads, "heads")
+        busy = heads.groupBy("band").agg(F.sum("n").alias("n")).filter("n > 1").select("band")
+        heads = materialize(heads.join(busy, "band").select("band", "head"), "busy")
+        if heads.isEmpty():
+            break
+        met = held.join(heads, "band").filter("of.node <> head.node")
+        near = 100 * F.least("of.size", "head.size") >= percent * F.greatest("of.size", "head.size")
+        both = [F.least("of", "head").alias("low"), F.greatest("of", "head").alias("high")]
+        pairs = met.filter(near).select(*both).select(F.col("low.node").alias("low"), F.col("high.node").alias("high")).distinct()
+        lows = runs.select(F.col("node").alias("low"), F.col("runs").alias("low_runs"))
+        highs = runs.select(F.col("node").alias("high"), F.col("runs").alias("high_runs"))
+        alike = pairs.join(highs, "high").join(lows, "low").filter(_alike(F.col("low_runs"), F.col("high_runs"), percent))
+        leave = materialize(alike.select(F.col("high").alias("node")).distinct(), "leave")
+        gone.append(leave)
+        left = held.join(busy, "band", "left_semi").withColumn("node", F.col("of.node")).join(leave, "node", "left_anti")
+        led = heads.select("band", F.col("head.node").alias("node"))
+        held = materialize(left.join(led, ["band", "node"], "left_anti").select("band", "of"), "held")
+        slots *= 2
+    out = reduce(DataFrame.union, gone, nodes.select("node").limit(0))
+    return prints.select("id", "text_key"), wanted.join(out, "node", "left_semi").select("text_key")
+
+
+def drop_similar(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    among: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of ``docs`` left when near copies go, all columns unchanged.
+
+    Near copies are texts whose sets of ``width``-word shingles have a Jaccard
+    similarity of ``percent`` or more. A text goes if it is a near copy of one
+    with a smaller id, so that of no two that share a band both stay; a chain of
+    near copies leads from each that goes to one that stays. Equal texts are one
+    text with their smallest id, and only rows with that id stay. A text without
+    words is a near copy of none but its equals. With ``among``, a table of one
+    column, only rows with an id in it are looked at and stay.
+    """
+    rows, gone = similar_texts(docs, id_col, text_col, width, percent, among)
+    least = rows.groupBy("text_key").agg(F.min("id").alias("kept")).join(gone, "text_key", "left_anti")
+    kept = materialize(least.select("kept").distinct(), "kept").withColumnRenamed("kept", named(docs, "kept"))
+    return docs.join(kept, docs[id_col].eqNullSafe(kept[kept.columns[0]]), "left_semi")

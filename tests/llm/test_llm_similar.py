@@ -1,0 +1,88 @@
+"""The near-duplicate stage of the pipeline against five-word Jaccard in plain Python."""
+
+import random
+
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from test_llm_edges import brute_fingerprint
+
+from tamis.llm import similar
+
+
+def runs(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 0
+
+
+def changed(rng, text, share):
+    w = text.split()
+    for i in rng.sample(range(len(w)), max(1, int(share * len(w)))):
+        w[i] = f"w{rng.random()}"
+    return " ".join(w)
+
+
+def test_stage_leaves_no_near_copies(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    base = [r.text for r in docs if 60 <= len((r.text or "").split()) <= 1000][:200]
+    rows, pairs = [(i, t) for i, t in enumerate(base)], []
+    for i, t in enumerate(base):
+        for share in (0.005, 0.01, 0.02):
+            rows.append((len(rows), changed(rng, t, share)))
+            pairs.append((i, len(rows) - 1))
+    text = {i: runs(t) for i, t in rows}
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    kept = {r.doc_id for r in got.collect()}
+    found = {0.8: [], 0.9: [], 0.95: []}
+    for a, b in pairs:
+        s = jaccard(text[a], text[b])
+        if s >= 0.8:
+            found[max(k for k in found if k <= s)].append(b not in kept)
+    print({k: (len(v), sum(v) / len(v)) for k, v in found.items()})
+    assert all(sum(v) >= 0.99 * len(v) > 0 for v in found.values())
+
+
+def test_drop_similar_edges(spark):
+    many = " ".join(f"word{i}" for i in range(100))
+    tail = [f"{many} tail{i}" for i in range(40)]  # near copies of one another
+    far = " ".join(f"word{i}" if i < 60 else f"far{i}" for i in range(100))
+    rows = [*((i + 10, t) for i, t in enumerate(tail)), (3, far), (4, far.upper()), (4, "a b"), (None, many), (5, None), (6, " "), (1, "a B c"), (2, "a b c")]
+    got = similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.select("doc_id").distinct().collect()) == [1, 3, 4, 5, 6, 10]
+    assert similar.drop_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_slots_find_pairs_among_others(spark):
+    """Texts that share bands but are no near copies do not hide a pair that is one."""
+    head = " ".join(f"h{i}" for i in range(75))
+    rows = [(i, head + " " + " ".join(f"t{i}_{k}" for k in range(25))) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[::3]]
+    sets = {i: runs(t) for i, t in rows}
+    got = {r.doc_id for r in similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i for i in sets if not any(j < i and jaccard(sets[i], sets[j]) >= 0.8 for j in sets)}
+    assert got == want == set(range(60))
+
+
+def test_stage_on_given_documents(spark):
+    """What stays and goes of the given documents, by brute force over all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(F.length("text") > 0)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    sets, prints = {i: runs(t) for i, t in text.items()}, {i: brute_fingerprint(t) for i, t in text.items()}
+
+    def linked(a, b):
+        return (prints[a] ^ prints[b]).bit_count() <= 4 or jaccard(sets[a], sets[b]) >= 0.8
+
+    ids = sorted(text)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if linked(a, b)]
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert not [p for p in pairs if set(p) <= got]
+    reached, before = set(got), -1
+    while len(reached) > before:
+        before = len(reached)
+        reached |= {x for p in pairs if reached & set(p) for x in p}
+    assert reached == set(ids) and len(got) < len(ids)
