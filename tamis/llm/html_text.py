@@ -5,7 +5,9 @@ adjusted by the share of them that is linked: text in links weighs the less,
 the more of the page it makes up. Every node's children's densities are summed;
 the node with the largest sum marks the main content, and the least density on
 its path to the body is the threshold that a subtree must reach. The chosen
-subtree is then read block by block without what is no article text.
+subtree is then read block by block without what is no article text. The body is
+such a subtree like any other: sections and the first heading that lie in it side
+by side are read together, without children that are mostly links.
 
 After Sun, Song and Liao, DOM Based Content Extraction via Text Density (2011).
 """
@@ -228,6 +230,10 @@ def _blocks(node: Node) -> Iterator[str]:
         yield text
 
 
+def _mostly_links(node: Node) -> bool:
+    return node.name != "h1" and 2 * node.link_chars > node.chars
+
+
 def main_text(source: str) -> str:
     """The article of a page, blocks joined by line breaks; empty if there is none."""
     root = parse(source)
@@ -251,13 +257,17 @@ def main_text(source: str) -> str:
             break
         node = parents[id(node)]
     threshold = min(n.density for n in path)
+    title = next((n for n, _ in order if n.name == "h1" and id(n) in inside), None)
     chosen = best
     for node in path[1:]:  # the article that holds the densest node, not the node alone
-        if node is body:
-            break
-        others = sum(c.chars for c in node.items if isinstance(c, Node) and not c.off and c.density >= threshold)
+        parts = [c for c in node.items if isinstance(c, Node) and not c.off and not (node is body and _mostly_links(c))]
+        others = sum(c.chars for c in parts if c.density >= threshold or c is title)
         if node.name in ("article", "main") or others > chosen.chars:
             chosen = node
+    if chosen is body and best is not body:
+        for c in body.items:
+            if isinstance(c, Node) and c.name in BLOCK and _mostly_links(c):
+                c.off = True
     return "\n".join(_blocks(chosen))
 
 
