@@ -37,20 +37,24 @@ NOT_TEXT = frozenset(
     """aside button canvas datalist dialog footer form head header iframe input menu nav noembed noframes noscript
     object option script select style svg template textarea title video audio""".split()
 )
-# Words of class, id and role names that mark what is no article text.
+# Names of class, id and role that mark what is no article text, and words that say only which or where.
 _OFF = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies
     consent copyright disqus dropdown footer header masthead menu nav navbar navigation newsletter notice popup promo
     promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget
     contentinfo complementary search alert disclaimer modal overlay pagination pager""".split()
 )
+_WHERE = frozenset(
+    """area bar bottom box block button buttons center column container form global group inner item items left links
+    list main mobile outer page post primary right secondary section site slot sticky text top unit wrap wrapper""".split()
+)
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*))>",
     re.S,
 )
-_ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[\s_:-]+")
+_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PARTS = re.compile(r"[_:-]+")
 _NEVER_OFF = frozenset("html body main article".split())
 _SPACE = re.compile(r"\s+")
 # An open element of the first kind ends where one of the second begins.
@@ -69,17 +73,23 @@ _SCOPE = frozenset("ul ol dl table html body article section div td th blockquot
 
 
 class Node:
-    __slots__ = ("name", "off", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "off", "marked", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, name: str, off: bool = False):
-        self.name, self.off = name, off
+    def __init__(self, name: str, off: bool = False, marked: bool = False):
+        self.name, self.off, self.marked = name, off, marked  # off by its kind or role; marked by class or id
         self.items: list[Node | str] = []
 
 
-def _marked_off(rest: str) -> bool:
-    return any(
-        word in _OFF for m in _ATTR.finditer(rest) for word in _WORDS.split((m[1] or m[2] or m[3] or "").lower())
-    )
+def _off_name(name: str) -> bool:
+    """Whether a whole name says so: ``ad``, ``site-footer``, ``ad-728``; not ``with-sidebar`` or ``entry-header``."""
+    parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+    return any(p in _OFF for p in parts) and all(p in _OFF or p in _WHERE for p in parts)
+
+
+def _marked_off(rest: str) -> set[str]:
+    """Those of ``class``, ``id`` and ``role`` that mark an element as no article text."""
+    found = ((m[1].lower(), (m[2] or m[3] or m[4] or "").lower().split()) for m in _ATTR.finditer(rest))
+    return {kind for kind, names in found if any(map(_off_name, names))}
 
 
 class _Open:
@@ -150,8 +160,8 @@ def parse(source: str) -> Node:
             tree.end_paragraph()
         tree.end_siblings(name)
         rest = m["rest"]
-        off = name in NOT_TEXT or "=" in rest and name not in _NEVER_OFF and _marked_off(rest)
-        node = Node(name, off)
+        marks = _marked_off(rest) if "=" in rest and name not in _NEVER_OFF else ()
+        node = Node(name, name in NOT_TEXT or "role" in marks, bool(marks))
         tree.nodes[-1].items.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
@@ -190,6 +200,25 @@ def _measure(root: Node) -> list[tuple[Node, Node | None]]:
     return order
 
 
+def _leave_out(order: list[tuple[Node, Node | None]]) -> None:
+    """Marked nodes are off, but those with most of the page's unlinked text, its heading, a main or its article."""
+    marked = [n for n, _ in order if n.marked and not n.off]
+    if not marked:
+        return
+    root, parents = order[0][0], {id(n): p for n, p in order}
+    holders = [n for n, _ in order if n.name == "main"]
+    holders += [n for n, _ in order if n.name == "h1"][:1]
+    articles = [n for n, _ in order if n.name == "article"]
+    holders += [max(articles, key=lambda n: n.chars - n.link_chars)] if articles else []
+    held: set[int] = set()
+    for node in holders:
+        while node is not None and id(node) not in held:
+            held.add(id(node))
+            node = parents[id(node)]
+    for n in marked:
+        n.off = id(n) not in held and 2 * (n.chars - n.link_chars) <= root.chars - root.link_chars
+
+
 def _densities(order: list[tuple[Node, Node | None]], body: Node) -> None:
     body_share = body.link_chars / body.chars if body.chars else 0.0
     for node, _ in order:
@@ -238,6 +267,7 @@ def main_text(source: str) -> str:
     """The article of a page, blocks joined by line breaks; empty if there is none."""
     root = parse(source)
     order = _measure(root)
+    _leave_out(order)
     parents = {id(n): p for n, p in order}
     body = next((n for n, _ in order if n.name == "body"), root)
     _densities(order, body)

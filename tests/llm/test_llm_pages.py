@@ -23,3 +23,38 @@ def test_heading_beside_the_text():
 def test_sections_and_heading_in_body():
     page = f"<body>{MENU}<h1>Title</h1><section>{''.join(P[:3])}</section><section>{''.join(P[3:])}</section>{MENU}</body>"
     assert main_text(page).split("\n") == ["Title", *TEXT]
+
+
+@pytest.mark.parametrize(
+    "layout",
+    [
+        'class="content with-sidebar"',
+        'class="has-banner"',
+        'class="layout-no-sidebar"',
+        'class="post social-share-enabled"',
+        'id="search-result-article"',
+        'class="sidebar"',
+    ],
+)
+@pytest.mark.parametrize("kind", ["div", "section"])
+def test_layout_classes_of_wrappers(layout, kind):
+    page = f'<body><div class="nav-menu">menu</div><{kind} {layout}><h1>Title</h1>{"".join(P)}</{kind}><div class="footer">foot</div></body>'
+    assert main_text(page).split("\n") == ["Title", *TEXT]
+
+
+def test_layout_classes_of_parts():
+    parts = "".join(f'<div class="post social-share-enabled">{p}</div>' for p in P)
+    assert main_text(f"<body><div>{parts}</div></body>").split("\n") == TEXT
+
+
+def test_heading_in_an_entry_header():
+    for name in ("entry-header", "post-header", "header"):
+        page = f'<body><article><div class="{name}"><h1>Title</h1></div>{"".join(P)}</article></body>'
+        assert main_text(page).split("\n") == ["Title", *TEXT]
+
+
+def test_marked_parts_still_go():
+    off = ["ad", "site-footer", "ad-728", "sidebar-left", "comment-list", "related", "nav-menu", "x share"]
+    parts = "".join(f'{p}<div class="{c}"><p>Out {c} of it.</p></div>' for p, c in zip(P, off)) + '<div role="search">find</div>'
+    comments = f'<div id="comments"><article>{P[0]}</article></div>'
+    assert main_text(f"<body><article><h1>T</h1>{parts}</article>{comments}</body>").split("\n") == ["T", *TEXT]
