@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamis.llm import bpe, exact_dedup, html_text, langid, lm, mixing, quality, simhash, substring_dedup, token_counts
+from tamis.llm import bpe, chat, exact_dedup, html_text, importance, langid, lm, mixing, quality, simhash, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,6 +15,7 @@ SQL: dict[str, str] = {}
 RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+QUOTED = "</s>[INST] ok [/INST]"  # said by both turns of op11's own conversation
 
 
 def query(f):
@@ -104,6 +105,34 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+@query
+def op11_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """All conversations and one whose turns quote control strings, written and read back."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    quoting = spark.range(0, 2, 1, 1).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(QUOTED).alias("text")
+    )
+    formatted = chat.format_conversations(turns.unionByName(quoting), content_col="text")
+    learnt = F.array_join("learnt", "")
+    read = chat.read_turns(F.col("formatted"), F.col("attachments"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), chat.said_text(t["content"]), F.lit("\n")))
+    return chat.learnt_texts(formatted).withColumn("turns", read).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -150,3 +179,48 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(rest.n, 0) AS n_remo
   sha256(coalesce(rest.body, '')) AS kept_sha256
 FROM t LEFT JOIN rest USING (doc_id)
 """
+
+_CONTROL = chat.Template().control_pattern().replace("'", "''")
+
+SQL["op11_chat_format"] = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role IN ('assistant') AS learnt
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '{QUOTED}'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (learnt), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (learnt), '')) AS loss_sha256,
+  sum({sum(len(m) for m in (chat.Template().start, chat.Template().body, chat.Template().end))} + length(role) + length(text)
+    + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_FEATURES = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+SQL["op12_importance_resampling"] = f"""
+WITH RECURSIVE byte(b, k, v) AS (SELECT b, 0, b FROM range(256) AS r(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM byte WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS steps FROM byte WHERE k = 8),
+d AS (SELECT doc_id, {_FEATURES.format(_LOWER)} AS w FROM documents),
+q AS (SELECT {_FEATURES.format(_LOWER)} AS w FROM benchmark),
+corpus AS (SELECT g, count(*) AS n FROM (SELECT unnest(w) AS g FROM d) GROUP BY g),
+target AS (SELECT g, count(*) AS n FROM (SELECT unnest(w) AS g FROM q) GROUP BY g),
+grams AS (SELECT DISTINCT g FROM (SELECT g FROM corpus UNION ALL SELECT g FROM target)),
+hashed AS (SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode(g)), 2),
+    lambda i: ('0x' || substr(hex(encode(g)), i, 2))::BIGINT)),
+    lambda a, x: xor(a >> 8, steps[xor(a & 255, x) + 1])), 4294967295) % {importance.BUCKETS} AS bucket FROM grams, crc),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM corpus JOIN hashed USING (g) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM target JOIN hashed USING (g) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + {importance.BUCKETS})::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + {importance.BUCKETS})::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+each AS (SELECT doc_id, unnest(w) AS g FROM d),
+means AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM each JOIN hashed USING (g) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN means USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    (SELECT count(*) * 10 // 100 FROM scored WHERE n_features >= 20) AS drawn FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed
+"""
