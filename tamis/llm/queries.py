@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tamis.llm import bpe, chat, exact_dedup, html_text, importance, langid, lm, mixing, quality, simhash, substring_dedup, token_counts
+from tamis.llm import bpe, chat, exact_dedup, html_text, importance, langid, lm, mixing, phrases, quality, simhash, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,6 +133,11 @@ def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.best_phrases(table(spark, sf, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -224,3 +229,23 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY s
     (SELECT count(*) * 10 // 100 FROM scored WHERE n_features >= 20) AS drawn FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed
 """
+
+SQL["op13_collocations"] = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, range(1, 6) AS r(k)) GROUP BY ALL),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM grams WHERE k > 1 AND f >= 100),
+inner_ AS (SELECT DISTINCT lang, array_to_string(w[i : j], ' ') AS phrase, a
+  FROM (SELECT lang, w, a, k, i, unnest(range(i + 1, k + 1)) AS j FROM (SELECT lang, w, a, k, unnest(range(1, k)) AS i FROM c)) WHERE j - i + 1 < k),
+free AS (SELECT c.* FROM c ANTI JOIN inner_ AS o ON c.lang = o.lang AND c.phrase = o.phrase AND o.a >= c.a),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(w[1 : cut], ' ') AS one, array_to_string(w[cut + 1 : k], ' ') AS two
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM free)),
+scored AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score, cut
+  FROM cuts AS c JOIN grams AS x ON c.lang = x.lang AND c.one = x.phrase JOIN grams AS y ON c.lang = y.lang AND c.two = y.phrase
+  JOIN totals AS t ON c.lang = t.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest QUALIFY rank <= 2000
+"""
