@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from operator import itemgetter
 from zlib import crc32
 
@@ -24,7 +25,23 @@ from tamis.operators.order import positions
 from tamis.session import materialize
 
 BUCKETS = 10_000
-MOST_KNOWN = 1 << 18  # n-grams whose bucket a task remembers
+MOST_KNOWN = 1 << 17  # n-grams that a task counts or remembers before it starts anew
+LONGEST = 64  # bytes of an n-gram that is remembered
+
+
+class Buckets(dict):
+    """Bucket of each n-gram, remembered up to a bound."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __missing__(self, gram: bytes) -> int:
+        found = crc32(gram) % self.buckets
+        if len(gram) <= LONGEST:
+            if len(self) >= MOST_KNOWN:
+                self.clear()
+            self[gram] = found
+        return found
 
 
 class Scanner:
@@ -33,49 +50,50 @@ class Scanner:
     def __init__(self, order: int, buckets: int):
         import regex
 
-        self.buckets, self.known = buckets, {}
-        self.apart = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-        self.runs = [regex.compile(rb"(?<![^ ])[^ ]+(?: [^ ]+){%d}(?![^ ])" % n) for n in range(order)]
-
-    def spans(self, raw: bytes, n: int):
-        """All runs of ``n`` words of a text that ``joined`` has brought into shape."""
-        return map(itemgetter(0), self.runs[n - 1].finditer(raw, overlapped=True))
+        self.bucket = Buckets(buckets)
+        apart = [c for c in range(128) if not (chr(c).isdigit() or chr(c).isalpha())]
+        self.shown = bytes(32 if c in apart else c for c in range(256)).lower()
+        self.gaps = regex.compile(rb" {2,}")
+        word = rb"[^ ]++"
+        self.runs = [regex.compile(rb"(?<![^ ])" + b" ".join([word] * n) + rb"(?![^ ])") for n in range(1, order + 1)]
 
     def joined(self, raw: bytes) -> bytes:
         """Words in lower case with one space between them."""
-        return self.apart.sub(b" ", raw.lower()).strip(b" ")
-
-    def bucket(self, gram: bytes) -> int:
-        found = self.known.get(gram)
-        if found is None:
-            found = crc32(gram) % self.buckets
-            if len(gram) <= 64:
-                if len(self.known) >= MOST_KNOWN:
-                    self.known.clear()
-                self.known[gram] = found
-        return found
+        return self.gaps.sub(b" ", raw.translate(self.shown)).strip(b" ")
+
+    def spans(self, body: bytes, n: int) -> Iterator[bytes]:
+        """All runs of ``n`` words of a text that ``joined`` has brought into shape."""
+        return map(itemgetter(0), self.runs[n - 1].finditer(body, overlapped=True))
 
     def counts(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         """Buckets with their counts, each n-gram apart, and the number of words."""
-        body = self.joined(raw)
-        found, words = Counter(), 0
+        body, found, words = self.joined(raw), Counter(), 0
         for n in range(1, len(self.runs) + 1):
             found.update(self.spans(body, n))
-            if n == 1:
-                words = found.total()
+            words = words or found.total()
         size = len(found)
-        return np.fromiter(map(self.bucket, found), np.int64, size), np.fromiter(found.values(), np.int64, size), words
+        return np.fromiter(map(self.bucket.__getitem__, found), np.int64, size), np.fromiter(found.values(), np.int64, size), words
 
 
 def bucket_counts(texts: DataFrame, text_col: str, order: int = 1, buckets: int = BUCKETS) -> np.ndarray:
     """How often each bucket occurs in all texts. A row per bucket and task is shuffled."""
 
     def run(batches):
-        scanner, total = Scanner(order, buckets), np.zeros(buckets, np.int64)
+        scanner, total, found = Scanner(order, buckets), np.zeros(buckets, np.int64), Counter()
+
+        def fold():
+            for gram, n in found.items():
+                total[scanner.bucket[gram]] += n
+            found.clear()
+
         for chunk in in_chunks(batches, "body"):
             for raw in chunk.column("body").to_pylist():
-                at, n, _ = scanner.counts(raw)
-                np.add.at(total, at, n)
+                body = scanner.joined(raw)
+                for n in range(1, order + 1):
+                    found.update(scanner.spans(body, n))
+                if len(found) > MOST_KNOWN:
+                    fold()
+        fold()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
