@@ -12,8 +12,7 @@ from tamis.llm.exact_dedup import drop_exact_copies
 from tamis.llm.mixing import take_mix
 from tamis.llm.quality import keep_quality
 from tamis.llm.queries import bpe_digests
-from tamis.llm.similar import drop_similar
-from tamis.llm.simhash import kept_ids
+from tamis.llm.simhash import drop_near_copies
 from tamis.session import work_path
 
 
@@ -28,12 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id.
-
-    Near copies have fingerprints within 4 bits (op7's), or sets of five-word
-    shingles with a Jaccard similarity of 0.8 or more.
-    """
-    return drop_similar(docs, among=kept_ids(docs))
+    """Of each group of texts linked by fingerprints within 4 bits, the document with the smallest id."""
+    return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
