@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.llm.sieve import marks, split
 from tamis.llm.text import lower_ascii
 
 
@@ -61,7 +62,36 @@ def exact_groups(
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged."""
-    kept = exact_groups(docs, id_col, text_col, **options).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+def drop_exact_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "smallest",
+    normalise: Callable[[Column], Column] = lower_ascii,
+    digest: Callable[[Column], Column] = F.md5,
+) -> DataFrame:
+    """One row of each group of equal texts, all columns unchanged: that with the ``smallest`` or ``largest`` id.
+
+    Rows without an id stay only where no row of the group has one; of rows with
+    equal ids the least (greatest) text as it stands stays, of rows equal in
+    that too any one. A null text equals the empty one. Only rows whose hash
+    occurs twice or more are moved, and their bytes decide; an empty table stays
+    empty.
+    """
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"keep is {keep!r}, neither smallest nor largest")
+
+    def body(text: Column) -> Column:
+        return normalise(F.coalesce(text, F.lit("")))
+
+    key = F.xxhash64(digest(body(F.col(text_col))))
+    twice = docs.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    may, others = split(docs, key, marks(twice))
+    own_id, own_text = F.col("row")[id_col], F.col("row")[text_col]
+    if keep == "smallest":
+        pick = F.min_by("row", F.struct(own_id.isNull(), own_id, own_text))
+    else:
+        pick = F.max_by("row", F.struct(own_id.isNotNull(), own_id, own_text))
+    rows = may.select("row", body(own_text).alias("body"))
+    kept = rows.groupBy(digest(F.col("body")).alias("hash"), "body").agg(pick.alias("row"))
+    return kept.select("row.*").unionByName(others.select("row.*"))

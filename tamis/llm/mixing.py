@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.llm.text import n_words
+from tamis.llm.text import n_words, named
 from tamis.operators.order import positions
 from tamis.session import materialize
 
+ALIKE = 64  # rows with the same id and size that one node may hold beside others
 FAN_IN = 4096  # documents of a bucket, and fractions joined by a node of the tree
 
 
@@ -119,31 +120,40 @@ def mixed(
     share: float = 1.5,
     most: int = 2,
     seed: int = 7,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: ``id_col, size, source_size, target, copies, taken``.
+    """One row per row of ``docs``: ``id_col, size, source_size, target, copies, taken``, and the columns ``keep``.
 
     ``size`` counts words, ``copies`` is 0 to ``most``, ``taken`` is their
     product. The words a source takes miss its target by less than its largest
     document. Documents without words take none. Null sources are one source, a
     null id is an id like others, repeated rows are rounded one by one, an empty
-    table gives an empty table. Draws come from hashes of the ids, so reruns
-    agree.
+    table gives an empty table. Draws come from hashes of ids and sizes, so
+    reruns agree; rows that more than ``ALIKE`` others equal in both are dealt
+    out by their place as well, and may swap their decisions.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    own = [F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)]
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *own)
     sized = materialize(sized, "sizes")
+    alike = sized.groupBy("id", "size").agg(F.count("*").alias("n")).filter(F.col("n") > ALIKE)
+    alike = alike.select(F.col("id").alias("alike_id"), F.col("size").alias("alike_size"), F.lit(1).cast("long").alias("alike"))
+    placed = sized.withColumn("place", F.monotonically_increasing_id())
+    same = F.col("id").eqNullSafe(F.col("alike_id")) & (F.col("size") == F.col("alike_size"))
+    salt = F.coalesce(F.col("alike") * F.col("place"), F.lit(0).cast("long"))
+    sized = placed.join(alike, same, "left").select("id", "source", "size", salt.alias("salt"), *[f"keep_{i}" for i in range(len(keep))])
     targets = source_targets(sized, weights, share, float(most))
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(F.least(due, F.lit(float(most))))
     nodes = F.ceil(F.col("n_docs") / FAN_IN)
     rows = (
         sized.join(targets, sized["source"].eqNullSafe(targets["source"]))
-        .select("id", sized["source"], "size", "source_size", "target", due.alias("due"), whole.alias("whole"), nodes.alias("nodes"))
+        .select("id", sized["source"], "size", "salt", *[f"keep_{i}" for i in range(len(keep))], "source_size", "target", due.alias("due"), whole.alias("whole"), nodes.alias("nodes"))
         .withColumns(
             {
                 "part": F.when(F.col("size") > 0, F.col("due") - F.col("whole")).otherwise(F.lit(0.0)),
-                "draw": _uniform("draw", F.lit(seed), F.col("id"), F.col("size")),
-                "coin": _uniform("coin", F.lit(seed), F.col("id"), F.col("size")),
-                "node": F.floor(_uniform("node", F.lit(seed), F.col("id"), F.col("size")) * F.col("nodes")),
+                "draw": _uniform("draw", F.lit(seed), F.col("id"), F.col("size"), F.col("salt")),
+                "coin": _uniform("coin", F.lit(seed), F.col("id"), F.col("size"), F.col("salt")),
+                "node": F.floor(_uniform("node", F.lit(seed), F.col("id"), F.col("size"), F.col("salt")) * F.col("nodes")),
             }
         )
         .drop("due")
@@ -164,16 +174,25 @@ def mixed(
         )
     copies = (F.col("whole") + F.col("part")).cast("long")
     return done.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
+        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
     )
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as its copies say, all columns unchanged.
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 2, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as its own copies say, all columns unchanged.
 
-    Rows that share an id share the largest of their decisions.
+    Rows that share an id are decided one by one. The rows are written once with
+    a number; decisions come back as bits, 64 rows in one.
     """
-    copies = mixed(docs, id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    rows = docs.join(copies, docs[id_col].eqNullSafe(copies["__id"])).filter("__copies > 0")
-    times = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))
-    return rows.select(*[docs[c] for c in docs.columns], times.alias("__time")).drop("__time")
+    row = named(docs, "row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    sizes = rows.select(*[F.col(c).alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"), (row, "row"))])
+    decided = mixed(sizes, "id", most=most, keep=["row"], **options)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("row").bitwiseAND(F.lit(63)).cast("int"))
+    bits = [F.bit_or(F.when(F.col("copies") >= k, one).otherwise(F.lit(0).cast("long"))).alias(f"bits_{k}") for k in range(1, most + 1)]
+    decided = materialize(decided.filter("copies > 0").groupBy(F.shiftright("row", 6).alias("block")).agg(*bits), "decided")
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(row).alias("row"))
+    joined = packed.withColumn("block", F.shiftright("row", 6)).join(decided, "block")
+    times = sum(F.bit_get(f"bits_{k}", F.col("row").bitwiseAND(F.lit(63)).cast("int")).cast("int") for k in range(1, most + 1))
+    return joined.select("doc", F.explode(F.array_repeat(F.lit(0), times)).alias("time")).select("doc.*")

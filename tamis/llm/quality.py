@@ -109,10 +109,22 @@ def text_rules(text: Column, n: Column, symbols: Column, dup_lines: Column, char
     ]
 
 
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
 def rules_of(text: Column) -> list[Rule]:
-    """All rules from the text alone; each computes what it needs when it is reached."""
+    """All rules from the text alone; each computes what it needs when it is reached.
+
+    In scripts that put no spaces between words every character counts as a
+    word; they are only counted where the words between spaces would reject.
+    """
     n = n_words(text)
-    return base_rules(n, n_repeat_words(words(text))) + text_rules(text, n, n_symbols(text), n_dup_lines(text), word_chars(text))
+    more = n + F.regexp_count(text, F.lit(_UNSPACED))
+
+    def rules(n: Column) -> list[Rule]:
+        return base_rules(n, n_repeat_words(words(text))) + text_rules(text, n, n_symbols(text), n_dup_lines(text), word_chars(text))
+
+    return [Rule(r.name, r.rejects & again.rejects) for r, again in zip(rules(n), rules(more), strict=True)]
 
 
 def first_rows(docs: DataFrame, rows: int, most_bytes: int) -> DataFrame:
@@ -171,6 +183,10 @@ def quality_cascade(
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", sample_rows: int = 2000) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, all their columns unchanged."""
+    """The rows of ``docs`` that no rule rejects, all their columns unchanged.
+
+    A null text goes, as one without words. Repeated rows share their fate, an
+    empty table stays empty.
+    """
     rules = order_rules(docs, rules_of(F.col(text_col)), sample_rows)
     return docs.filter(first_rejection(rules).isNull())

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.llm.graph import components
+from tamis.llm.sieve import marks, split
 from tamis.llm.text import arrow_map, named, utf8
 from tamis.session import materialize
 
@@ -230,13 +231,30 @@ def near_groups(
     )
 
 
-def kept_ids(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The smallest id of each group, once, in a column of its own name."""
-    groups = near_groups(docs, id_col, **options)
-    return groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = 4,
+    width: int = 4,
+    seed: int = 42,
+) -> DataFrame:
+    """One row of each group of ``near_groups``, all columns unchanged: that with the smallest id.
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group, the one with the smallest id, all columns unchanged."""
-    kept = kept_ids(docs, id_col, **options)
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    Rows without an id stay only where no row of the group has one; of rows
+    with equal ids the least text stays, of rows equal in that too any one.
+    Texts without words, null ones included, are a group. Only rows whose id
+    belongs to a group of two rows or more are moved, folded per task by
+    fingerprint first. An empty table stays empty.
+    """
+    prints = materialize(fingerprints(docs, id_col, text_col, width, seed).withColumnRenamed(id_col, "id"), "prints")
+    nodes = materialize(prints.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
+    roots = components(ball_links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
+    placed = materialize(nodes.join(roots, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    several = placed.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
+    groups = materialize(placed.join(several, "root").select("fp", "root"), "groups")
+    may, others = split(docs, F.xxhash64(id_col), marks(prints.join(groups, "fp").select(F.xxhash64("id").alias("key"))))
+    found = fingerprints(may.select("row", F.col("row")[text_col].alias("text")), "row", "text", width, seed)
+    pick = F.min_by("row", F.struct(F.col("row")[id_col].isNull(), F.col("row")[id_col], F.col("row")[text_col])).alias("row")
+    first = found.groupBy("fp").agg(pick).join(groups, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "row")
+    return first.groupBy("root").agg(pick).select("row.*").unionByName(others.select("row.*"))
