@@ -4,11 +4,11 @@ Counts of the training n-grams are gathered over the whole corpus: each task
 folds its own, sends them as sorted runs of 64-bit keys per bucket, and a
 bucket's runs are merged. A count is quantised to a level on a logarithmic
 scale, and the pairs (n-gram, level) up to it are put into the bucket's segment
-of one Bloom filter. The filter's size is bounded by ``max_bits``: with more
-n-grams than it holds at its error rate, the least level kept rises, as count
-cutoffs of language models do. Workers get the filter by broadcast; probing
-level after level until one is missing gives an n-gram's count, and counts of
-each order are smoothed by those of the order below.
+of one Bloom filter, which grows with the corpus: no n-gram is left out. Workers
+get the filter by broadcast, in groups of segments of ``GROUP_BYTES`` at most;
+the driver and a task hold one group at a time. Probing level after level until
+one is missing gives an n-gram's count, and counts of each order are smoothed by
+those of the order below.
 
 The base score needs exact counts of words. Those of the ``table_size`` most
 frequent words are broadcast; the other words of a text meet their counts in a
@@ -34,6 +34,8 @@ PROBES = 3
 BITS_PER_PAIR = 8  # with 3 probes, about 3 % of absent pairs seem present
 LONGEST = 64  # bytes of a word in the broadcast table
 CHUNK = 1 << 20  # bytes of text that a task works on at once
+GROUP_BYTES = 32 << 20  # of the filter, in one broadcast
+GRAMS_PER_BUCKET = 1 << 19  # tokens of the corpus for each bucket
 _A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B185EBCA87)  # fixed odd multipliers (XXH64)
 
 
@@ -95,7 +97,7 @@ def level_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts) / math.log2(ROOT) + 1e-9).astype(np.int64) + 1
 
 
-def word_counts(docs: DataFrame, text_col: str, most_held: int = 1 << 20) -> DataFrame:
+def word_counts(docs: DataFrame, text_col: str, most_held: int = 1 << 18) -> DataFrame:
     """``word, n`` over all tokens, each text's end included."""
 
     def run(batches):
@@ -130,7 +132,7 @@ def _runs(keys: np.ndarray, counts: np.ndarray, order: int, buckets: int) -> pa.
             pa.array(some, pa.int32()),
             pa.array([order] * len(some), pa.int32()),
             pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
-            pa.array([counts[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes() for b in some], pa.binary()),
+            pa.array([counts[cuts[b] : cuts[b + 1]].astype(np.int64).tobytes() for b in some], pa.binary()),
         ],
         names=["bucket", "order", "keys", "counts"],
     )
@@ -144,7 +146,7 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], (np.add.reduceat(n, first) if len(first) else n)
 
 
-def gram_runs(docs: DataFrame, text_col: str, order: int, buckets: int, most_held: int = 1 << 21) -> DataFrame:
+def gram_runs(docs: DataFrame, text_col: str, order: int, buckets: int, most_held: int = 1 << 19) -> DataFrame:
     """Counted n-grams of two or more tokens, as runs per task, bucket and order."""
 
     def run(batches):
@@ -163,7 +165,9 @@ def gram_runs(docs: DataFrame, text_col: str, order: int, buckets: int, most_hel
                 found, n = np.unique(keys[tokens.place >= o - 1], return_counts=True)
                 held[o][0].append(found)
                 held[o][1].append(n.astype(np.int32))
-                if sum(map(len, held[o][0])) > most_held:
+            del tokens, keys
+            for o, (keys_held, _) in held.items():
+                if sum(map(len, keys_held)) > most_held:
                     yield flush(o)
         for o in held:
             if held[o][0]:
@@ -179,8 +183,7 @@ def word_runs(vocabulary: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             h = hashes_of(byte_strings(batch.column("word")))
-            counts = batch.column("n").to_numpy().clip(max=(1 << 32) - 1)
-            yield _runs(*_merged([mix(h)], [counts]), 1, buckets)
+            yield _runs(*_merged([mix(h)], [batch.column("n").to_numpy()]), 1, buckets)
 
     return vocabulary.mapInArrow(run, "bucket int, order int, keys binary, counts binary")
 
@@ -190,7 +193,7 @@ def merge_runs(runs: DataFrame, least_count: list[int]) -> DataFrame:
 
     def run(key, group):
         keys = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
-        counts = [np.frombuffer(c, np.uint32).astype(np.int64) for c in group["counts"].to_pylist()]
+        counts = [np.frombuffer(c, np.int64) for c in group["counts"].to_pylist()]
         found, n = _merged(keys, counts)
         levels = level_of(n)
         kept = n >= least_count[key[1].as_py() - 1]
@@ -209,32 +212,31 @@ def merge_runs(runs: DataFrame, least_count: list[int]) -> DataFrame:
     return runs.groupBy("bucket", "order").applyInArrow(run, fields)
 
 
-def choose_levels(merged: DataFrame, order: int, least_count: list[int], max_bits: int) -> tuple[Levels, int]:
-    """Least levels with which all pairs fit into ``max_bits``, and the number of pairs."""
+def choose_levels(merged: DataFrame, order: int, least_count: list[int]) -> tuple[Levels, int]:
+    """Levels of all n-grams seen as often as ``least_count`` says for their order, and the number of pairs."""
     sums = merged.select("order", F.posexplode(F.arrays_zip("grams", "mass")).alias("level", "at"))
     rows = sums.groupBy("order", "level").agg(F.sum("at.grams").alias("grams"), F.sum("at.mass").alias("mass")).collect()
     top = max([r.level for r in rows], default=0) + 1
     grams, mass = np.zeros((order, top + 1)), np.zeros((order, top + 1))
     for r in rows:
         grams[r.order - 1, r.level], mass[r.order - 1, r.level] = r.grams, r.mass
-    floors = [int(level_of(np.array([c]))[0]) for c in least_count]
-    for rise in range(top + 2):
-        least = [f + rise for f in floors]
-        pairs = sum(
-            int(grams[o, level]) * (level - least[o] + 1) for o in range(order) for level in range(least[o], top + 1)
-        )
-        if pairs * BITS_PER_PAIR <= max_bits:
-            break
+    least = [int(level_of(np.array([c]))[0]) for c in least_count]
+    pairs = sum(int(grams[o, level]) * (level - least[o] + 1) for o in range(order) for level in range(least[o], top + 1))
     mean = [mass[o] / np.maximum(grams[o], 1.0) for o in range(order)]
     kept = [mass[o, least[o] :].sum() / max(mass[o].sum(), 1.0) for o in range(order)]
     return Levels(least, mean, kept), pairs
 
 
 class Filter:
-    """A Bloom filter in one segment per bucket."""
+    """A Bloom filter in one segment per bucket, or some of its segments from bucket ``first`` on."""
+
+    def __init__(self, bits: np.ndarray, buckets: int, segment: int, first: int = 0):
+        self.bits, self.buckets, self.segment, self.first = bits, buckets, segment, first  # segment: bits of a bucket
 
-    def __init__(self, bits: np.ndarray, buckets: int, segment: int):
-        self.bits, self.buckets, self.segment = bits, buckets, segment  # segment: bits of a bucket
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        if self.buckets == 1:
+            return np.zeros(len(keys), np.int64)
+        return (keys >> np.uint64(64 - (self.buckets.bit_length() - 1))).astype(np.int64)
 
     def probes(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """State of the key's first probe and the step to the next."""
@@ -249,9 +251,7 @@ class Filter:
         """Indices of the keys that are found at the level; most that are absent fail the first probe."""
         alive = np.arange(len(keys))
         h, step = self.probes(keys, level)
-        base = np.zeros(len(keys), np.int64)
-        if self.buckets > 1:
-            base = (keys >> np.uint64(64 - (self.buckets.bit_length() - 1))).astype(np.int64) * self.segment
+        base = (self.bucket(keys) - self.first) * self.segment
         for _ in range(PROBES):
             at = base + self.spots(h)
             set_ = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
@@ -272,6 +272,40 @@ class Filter:
         return out
 
 
+class Filters:
+    """The whole filter as broadcast groups of ``per_group`` segments; a task holds one of them at a time."""
+
+    def __init__(self, sent: list, buckets: int, segment: int, per_group: int, levels: Levels):
+        self.sent, self.buckets, self.segment, self.per_group, self.levels = sent, buckets, segment, per_group, levels
+
+    def counts(self, asked: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+        """Estimated counts of each array of keys, whose order is given with it."""
+        out = [np.zeros(len(keys)) for keys, _ in asked]
+        for g, broadcast in enumerate(self.sent):
+            own = Filter(broadcast.value, self.buckets, self.segment, g * self.per_group)
+            for (keys, order), found in zip(asked, out, strict=True):
+                here = np.flatnonzero(own.bucket(keys) // self.per_group == g) if len(self.sent) > 1 else slice(None)
+                found[here] = own.counts(keys[here], order, self.levels)
+            if len(self.sent) > 1:
+                vars(broadcast).pop("_value", None)  # read again for the next chunk instead of kept
+        return out
+
+
+def send_groups(bits: DataFrame, buckets: int, segment: int, group_bytes: int) -> tuple[list, int]:
+    """Broadcasts of the written segments, and the number of segments in each."""
+    spark = bits.sparkSession
+    per_group = max(1, group_bytes // (segment // 8))
+    sent = []
+    for first in range(0, buckets, per_group):
+        own = np.zeros((min(per_group, buckets - first), segment // 8), np.uint8)
+        rows = bits.filter((F.col("bucket") >= first) & (F.col("bucket") < first + per_group))
+        for part in rows.toArrow().to_batches():
+            for bucket, raw in zip(part["bucket"].to_pylist(), part["bits"], strict=True):
+                own[bucket - first] = np.frombuffer(raw.as_buffer(), np.uint8)
+        sent.append(spark.sparkContext.broadcast(own.reshape(-1)))
+    return sent, per_group
+
+
 def segments(merged: DataFrame, least: list[int], segment: int) -> DataFrame:
     """``bucket, bits``: the filter's segment of each bucket."""
 
@@ -298,19 +332,19 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     order: int = 2,
-    least_count: tuple[int, ...] = (1, 2, 2, 2),
-    max_bits: int = 1 << 28,
+    least_count: tuple[int, ...] = (1, 1, 1, 1),
     prior: float = 40.0,
     table_size: int = 1 << 17,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """``docs`` without its text, with the model's score of every whole text.
 
     Adds ``n_tokens, n_known, train_tokens`` (long) and ``base_score, score``
     (double): the log10 probability of the tokens by smoothed word frequencies
     and by the n-gram model of the rows where ``train`` holds. Tokens are the
-    words with A-Z lower-cased and an end, so a null text has one. N-grams rarer
-    than ``least_count`` for their order are not kept; their share of the mass
-    goes to the order below, and ``prior`` words of it besides. Repeated rows
+    words with A-Z lower-cased and an end, so a null text has one. By default
+    every n-gram is kept; with ``least_count`` above 1 the share of the mass of
+    rarer ones goes to the order below, and ``prior`` words of it besides. Repeated rows
     repeat their scores; without training rows every token is unknown; an empty
     table stays empty. Columns of ``docs`` with the names above are replaced.
     """
@@ -322,33 +356,28 @@ def score(
     ends = vocabulary.filter(F.col("word") == F.lit(END)).select("n").collect()
     n_texts = int(ends[0].n) if ends else 0
 
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(4, (2 * partitions - 1).bit_length())
+    buckets = 1 << max(4, (total // GRAMS_PER_BUCKET).bit_length())
     least = list(least_count[:order])
     runs = word_runs(vocabulary, buckets)
     if order > 1:
         runs = runs.unionByName(gram_runs(training, text_col, order, buckets))
     merged = materialize(merge_runs(runs, least), "grams")
-    levels, pairs = choose_levels(merged, order, least, max_bits)
+    levels, pairs = choose_levels(merged, order, least)
     segment = max(64, -(-pairs * BITS_PER_PAIR // buckets // 8) * 8)
-    bits = np.zeros((buckets, segment // 8), np.uint8)
-    for part in segments(merged, levels.least, segment).toArrow().to_batches():
-        for bucket, own_bits in zip(part["bucket"].to_pylist(), part["bits"], strict=True):
-            bits[bucket] = np.frombuffer(own_bits.as_buffer(), np.uint8)
-    sent = spark.sparkContext.broadcast((bits.reshape(-1), buckets, segment, tuple(levels)))
+    bits = materialize(segments(merged, levels.least, segment), "segments")
+    sent, per_group = send_groups(bits, buckets, segment, group_bytes)
+    chunk_bytes = CHUNK * min(16, len(sent))
 
     frequent = vocabulary.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(table_size)
     top = frequent.select("word", "n").toArrow()
     table = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True)))
     scale = math.log10(total + 0.5 * (distinct + 1))
-    held = []  # the task's filter
+    filters = Filters(sent, buckets, segment, per_group, levels)
 
     def logs_of(tokens: Tokens) -> np.ndarray:
-        return _log_probabilities(tokens, *held, order, n_texts, total, distinct, prior)
+        return _log_probabilities(tokens, filters, order, n_texts, total, distinct, prior)
 
     def each(texts: pa.Array, tail_name: str) -> dict:
-        if not held:
-            held.extend((Filter(*sent.value[:3]), Levels(*sent.value[3])))
         tokens = Tokens.of(texts)
         known = np.array([table.value.get(w, -1) for w in tokens.distinct], np.int64)[tokens.numbers]
         scored = tokens.place > 0
@@ -374,7 +403,7 @@ def score(
     made = [("n_tokens", "bigint"), ("n_known", "bigint"), ("base_score", "double"), ("score", "double")]
     fields = ", ".join(f"{n} {t}" for n, t in made) + f", {tail_name} array<struct<word:binary,n:bigint>>"
     rows = docs.select(*own, utf8(F.col(text_col)).alias(body))
-    heads = arrow_map(rows, lambda chunk: each(chunk.column(body), tail_name), fields, body, own, chunk_bytes=CHUNK)
+    heads = arrow_map(rows, lambda chunk: each(chunk.column(body), tail_name), fields, body, own, chunk_bytes=chunk_bytes)
     heads = materialize(heads.withColumn(row, F.monotonically_increasing_id()), "scored")
 
     words = heads.select(F.col(row).alias("row"), F.explode(tail_name).alias("at")).select("row", "at.word", "at.n")
@@ -396,23 +425,23 @@ def score(
     )
 
 
-def _log_probabilities(tokens, filter_, levels, order, n_texts, total, distinct, prior) -> np.ndarray:
+def _log_probabilities(tokens, filters, order, n_texts, total, distinct, prior) -> np.ndarray:
     """Log10 probability of each token after those before it in its text."""
-    below = None  # counts of the n-grams of the order below that end at each token
-    chance = None
+    asked, have = [(mix(tokens.hashes), 1)], []
     for o, keys in enumerate(tokens.grams(order), 1):
-        if o == 1:
-            counts = filter_.counts(mix(tokens.hashes), 1, levels)
-            counts[0] = n_texts
-            below = counts[tokens.numbers]
-            chance = (below + 0.5) / (total + 0.5 * (distinct + 1))
-            continue
-        have = tokens.place >= o - 1
-        counts = np.zeros(len(keys))
-        counts[have] = filter_.counts(keys[have], o, levels)
+        if o > 1:
+            have.append(tokens.place >= o - 1)
+            asked.append((keys[have[-1]], o))
+    words, *longer = filters.counts(asked)
+    words[0] = n_texts
+    below = words[tokens.numbers]  # counts of the n-grams of the order below that end at each token
+    chance = (below + 0.5) / (total + 0.5 * (distinct + 1))
+    for o, (there, found) in enumerate(zip(have, longer, strict=True), 2):
+        counts = np.zeros(len(there))
+        counts[there] = found
         context = np.concatenate(([0.0], below[:-1]))
-        left = prior + (1.0 - levels.kept[o - 1]) * context
+        left = prior + (1.0 - filters.levels.kept[o - 1]) * context
         better = (np.minimum(counts, context) + left * chance) / (context + prior)
-        chance = np.where(have, np.minimum(better, 1.0), chance)
+        chance = np.where(there, np.minimum(better, 1.0), chance)
         below = counts
     return np.log10(chance)
