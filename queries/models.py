@@ -20,14 +20,20 @@ METRICS = [("precision", None), ("roc", None), ("hits", 0.01), ("actives", None)
 TEST_METRICS = [("EF", 0.01), ("NEF", 0.01), ("EF", 0.1), ("NEF", 0.1)]
 
 
-def checked(report):
-    """What another library's fit has in common: the report's lines, the actives, values in their range."""
+def checked(report, to_label=True):
+    """What another library's fit has in common: the report's lines, the actives, values in their range.
+
+    A missing value is in no range. A classifier ranks the rows it was fitted
+    to better than chance, a regressor of another value at least otherwise than
+    chance; one that gives every row the same score does neither.
+    """
     value = F.col("value")
     upper = F.col("metric").isin("hits", "actives", "EF") | (value <= 1 + 1e-9)
     return report.withColumns(
         {
             "actives": F.when(F.col("metric") == "actives", value),
-            "in_range": F.coalesce((value >= 0) & upper & ~F.isnan(value), F.lit(True)),
+            "in_range": F.coalesce((value >= 0) & upper & ~F.isnan(value), F.lit(False)),
+            "told_apart": F.when((F.col("metric") == "roc") & (F.col("split") == "train"), F.coalesce(value > 0.5 if to_label else value != 0.5, F.lit(False))),
         }
     ).drop("value")
 
@@ -42,10 +48,11 @@ def checked_sql(train=range(8), val=(), test=(9,), test_metrics=TEST_METRICS):
     lines = [(m, r, False) for m, r in METRICS] + [(m, r, True) for m, r in test_metrics]
     values = ", ".join(f"('{m}', {'NULL' if r is None else f'{r}e0'}, {t})" for m, r, t in lines)
     return f"""WITH {FOLDED_SQL}, s AS (SELECT CASE {_split_sql(folds)} END AS split, active FROM folded),
-          t AS (SELECT split, CAST(sum(active) AS DOUBLE) AS n FROM s WHERE split IS NOT NULL GROUP BY split),
+          t AS (SELECT split, CAST(sum(active) AS DOUBLE) AS n, count(*) AS size FROM s WHERE split IS NOT NULL GROUP BY split),
           m(metric, ratio, test_only) AS (VALUES {values})
         SELECT split, metric, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN metric = 'actives' THEN n END AS actives,
-               true AS in_range FROM t, m WHERE NOT test_only OR split = 'test'"""
+               metric IN ('hits', 'actives') OR (n > 0 AND n < size AND NOT (metric = 'NEF' AND floor(size * ratio) = 0)) AS in_range,
+               CASE WHEN metric = 'roc' AND split = 'train' THEN true END AS told_apart FROM t, m WHERE NOT test_only OR split = 'test'"""
 
 
 def training(spark, sf):
@@ -97,7 +104,7 @@ def rf_regressor(spark, sf):
     rows = cv_split(df, 4, use_val=False)
     fitted = rankers.RankerRFReg(TREES, label="value").fit(rows.filter("split = 'train'"))
     scored = fitted.score(rows).select("id", "split", "score", "label")
-    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]))
+    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]), to_label=False)
 
 
 @query("boosted_classifier", checked_sql(val=(8,)))
@@ -111,7 +118,7 @@ def boosted_regressor(spark, sf):
     make = rankers.RankerGBTReg({"n_estimators": 8, "max_depth": 3, "metric": "roc"}, label="value", binary_label="label")
     fitted = make.fit(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
     scored = fitted.score(rows).select("id", "split", "score", "label")
-    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]))
+    return checked(evaluation_report(scored, "split", "score", "label", "id", [0.01, 0.1]), to_label=False)
 
 
 @query("linear_booster", checked_sql())
@@ -156,7 +163,7 @@ def _cv_sql():
         one = checked_sql(train, (), (test,), [("EF", 0.1), ("NEF", 0.1)])
         parts.append(f"SELECT {run} AS run, * FROM ({one})")
     runs = " UNION ALL ".join(parts)
-    return f"""SELECT model, CAST(setting AS INTEGER) AS setting, CAST(run AS INTEGER) AS run, split, metric, ratio, actives, in_range
+    return f"""SELECT model, CAST(setting AS INTEGER) AS setting, CAST(run AS INTEGER) AS run, split, metric, ratio, actives, in_range, told_apart
         FROM (VALUES ('forest', 0), ('forest', 1), ('linear', 0)) f(model, setting), ({runs})"""
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.functions.rows import number
 from tamis.operators.order import exact_quantiles
 
 TIERS = ("strong", "normal", "weak")
@@ -88,11 +89,11 @@ def active_clusters(df: DataFrame, cluster: str, hit: str) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """count, mean, std, min, exact quartiles and max, one row per column.
+    """count, mean, std, min, exact quartiles and max, one row per column; NaN is no reading.
 
     The columns are stacked, so the quartiles of all of them take one sort.
     """
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]
+    cells = [F.struct(F.lit(c).alias("column"), number(F.col(c).cast("double")).alias("value")) for c in cols]
     long = df.select(F.inline(F.array(*cells)))
     moments = long.groupBy("column").agg(
         F.count("value").alias("count"),
@@ -179,9 +180,9 @@ def distinct_codes(df: DataFrame, col: str, file: str) -> DataFrame:
 
 
 def with_mean_std(df: DataFrame, label: str, cols: Sequence[str], digits: int = 2) -> DataFrame:
-    """The table with a ``mean`` and a sample ``std`` row appended, rounded."""
+    """The table with a ``mean`` and a sample ``std`` row appended, rounded; NaN enters neither."""
     rows = [
-        df.agg(*[f(c).alias(c) for c in cols]).withColumn(label, F.lit(name))
+        df.agg(*[f(number(c)).alias(c) for c in cols]).withColumn(label, F.lit(name))
         for name, f in (("mean", F.avg), ("std", F.stddev_samp))
     ]
     base = df.select(F.col(label).cast("string").alias(label), *[F.col(c).cast("double").alias(c) for c in cols])
@@ -190,9 +191,9 @@ def with_mean_std(df: DataFrame, label: str, cols: Sequence[str], digits: int =
 
 
 def over_threshold(df: DataFrame, part: str | Column, score: str, threshold: float = 0.1) -> DataFrame:
-    """Rows and rows above the threshold per part."""
+    """Rows and rows above the threshold per part; NaN is no score."""
     return df.groupBy(part).agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col(score) > threshold).alias("n_over")
+        F.count("*").alias("n_rows"), F.count_if(number(score) > threshold).alias("n_over")
     )
 
 

@@ -1,11 +1,4 @@
-"""Rows that share an id or a structure belong to one molecule (transitively).
-
-Connected components over the distinct keys, by alternating large-star and
-small-star steps (Kiveris et al., Connected Components in MapReduce and Beyond,
-2014). Every step is a partial minimum per node and a join of the edges with one
-row per node; the number of steps grows with the logarithm of the graph, not
-with the length of its longest chain.
-"""
+"""Rows that share an id or a structure belong to one molecule (transitively)."""
 
 from __future__ import annotations
 
@@ -13,45 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tamis.operators.graph import components
 from tamis.operators.order import positions
-from tamis.session import materialize
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges ``u, v``: connect neighbours to the smallest node near them."""
-    if large:
-        seen = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        seen = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    nearest = seen.groupBy("u").agg(F.min("v").alias("__m")).select("u", F.least("__m", "u").alias("m"))
-    moved = seen.join(nearest, "u")
-    if large:
-        out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            nearest.select("u", F.col("m").alias("v"))
-        )
-    return out.filter("u <> v").distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    h = F.xxhash64("u", "v")
-    return tuple(
-        edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first()
-    )
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable node of every node that has an edge: ``node, component``."""
-    edges = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    mark = _mark(edges)
-    while True:
-        edges = materialize(_star(_star(edges, large=True), large=False), "edges")
-        after = _mark(edges)
-        if after == mark:
-            roots = edges.select(F.col("v").alias("u"), "v").distinct()
-            return edges.union(roots).distinct().withColumnsRenamed({"u": "node", "v": "component"})
-        mark = after
 
 
 def group_identities(
@@ -73,14 +29,14 @@ def group_identities(
     """
     pairs = df.select(F.col(id_key).alias("a"), F.col(structure_key).alias("b")).na.drop()
     hubs = pairs.groupBy("b").agg(F.min("a").alias("hub"), F.max("a").alias("far"))
-    links = pairs.join(hubs.filter("hub < far"), "b").select(F.col("a").alias("u"), F.col("hub").alias("v"))
+    links = pairs.join(hubs.filter("hub < far"), "b").select("a", F.col("hub").alias("b"))
     found = components(links)
     known = df.filter(F.col(id_key).isNotNull()).withColumn("__key", F.col(id_key))
     nameless = df.filter(F.col(id_key).isNull())
     through = nameless.join(hubs.select("b", F.col("hub").alias("__key")), nameless[structure_key] == hubs["b"], "left")
     keyed = known.unionByName(through.select(*[nameless[c] for c in df.columns], "__key"))
-    named = keyed.join(found, keyed["__key"] == found["node"], "left").withColumn(group, F.coalesce("component", "__key"))
+    named = keyed.join(found, keyed["__key"] == found["node"], "left").withColumn(group, F.coalesce("root", "__key"))
     alone = F.struct(F.col(structure_key), F.when(F.col(structure_key).isNull(), F.monotonically_increasing_id()))
     named = named.withColumn("__alone", F.when(F.col(group).isNull(), F.to_json(alone)))
-    numbered = positions(named.drop("__key", "node", "component"), order, [group, "__alone"], duplicate)
+    numbered = positions(named.drop("__key", "node", "root"), order, [group, "__alone"], duplicate)
     return numbered.withColumn(duplicate, F.col(duplicate) - 1).drop("__alone")

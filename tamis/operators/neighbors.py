@@ -5,24 +5,20 @@ Fingerprints are arrays of 64-bit words (``tamis.functions.bits``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.functions.bits import WORD, popcount, tanimoto
 from tamis.functions.rows import number
-from tamis.functions.text import once
-from tamis.operators.order import SLOT_BITS, positions
+from tamis.operators.order import positions
 from tamis.session import materialize
 
-# Bytes of packed reference fingerprints that are with a task at a time.
-GROUP_BYTES = 24 << 20
-ROW_BLOCK, REFERENCE_BLOCK = 2048, 8192
+# References of a block, rows of a slice, and rows compared at once.
+REFERENCE_BLOCK, ROW_SLICE, ROW_BLOCK = 4096, 1 << 16, 1024
 # Picks whose distances may wait as expressions before the running sums are written.
 PICKS_HELD = 16
 
@@ -43,80 +39,57 @@ def _similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return both / either
 
 
-def arranged(rows: pa.Table, n_words: int) -> tuple:
-    """A group of references by popcount as plain arrays: ids, words, rank of each id, and its blocks.
+def _best_of(rows: pa.Table, refs: pa.Table, n_words: int) -> pa.Table:
+    """Per row the most similar of the references (ties: smallest id); rows that meet none are left out."""
 
-    A block is ``REFERENCE_BLOCK`` references of like popcount, in id order, given
-    by its start and its least and greatest popcount.
+    def words(table: pa.Table) -> np.ndarray:
+        return table["fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_words)
+
+    refs = refs.sort_by("ref_id")
+    y, found, best = _unpack(list(words(refs)), n_words), [], []
+    for lo in range(0, rows.num_rows, ROW_BLOCK):
+        x = _unpack(list(words(rows.slice(lo, ROW_BLOCK))), n_words)
+        sims = np.nan_to_num(_similarity(x, y), nan=-1.0) if len(y) else np.full((len(x), 1), -1.0)
+        first = sims.argmax(1)
+        found.append(first)
+        best.append(sims[np.arange(len(x)), first])
+    found, best = (np.concatenate(v) if v else np.zeros(0) for v in (found, best))
+    hit = np.flatnonzero(best >= 0)
+    return pa.table({"at": rows["at"].take(pa.array(hit)), "ref_id": refs["ref_id"].take(pa.array(found[hit].astype(np.int64))), "similarity": pa.array(best[hit])})
+
+
+def popcount_blocks(counts: dict[int, int], n_bits: int, size: int) -> tuple[list[int], list[int], int]:
+    """First block of each popcount, the number of blocks it fills, and the number of all blocks.
+
+    ``counts`` are references per popcount. Neighbouring popcounts share a block
+    until it is full; a popcount with more references than that fills several.
     """
-    ids = rows["ref_id"].to_pylist()
-    words = rows["ref_fp"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_words)
-    ones = rows["ones"].to_numpy()
-    rank = np.empty(len(ids), np.int64)
-    rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
-    starts = range(0, len(ids), REFERENCE_BLOCK)
-    blocks = [(s, int(ones[s]), int(ones[min(s + REFERENCE_BLOCK, len(ids)) - 1])) for s in starts]
-    order = np.lexsort((rank, np.arange(len(ids)) // REFERENCE_BLOCK))
-    return [ids[i] for i in order], words[order], rank[order], blocks
-
-
-def _best_of(x: np.ndarray, least: np.ndarray, group: tuple, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the highest similarity in the group that is at least ``least``, and where (-1: none).
-
-    Blocks are unpacked one at a time, those of like popcount first; a row
-    skips a block whose popcounts allow no similarity as high as its best.
+    first, pieces, block, held = [], [], 0, 0
+    for ones in range(n_bits + 1):
+        n = counts.get(ones, 0)
+        if held and held + n > size:
+            block, held = block + 1, 0
+        first.append(block)
+        pieces.append(max(1, -(-n // size)))
+        if n > size:
+            block, held = block + pieces[-1], 0
+        else:
+            held += n
+    return first, pieces, block + (held > 0)
+
+
+def _compared(rows: DataFrame, refs: DataFrame, n_words: int) -> DataFrame:
+    """``at, ref_id, similarity``: the best of each block that a row of ``at, fp, slice, block`` is compared with.
+
+    A task gets the rows of a slice that ask for a block, and the block: both bounded.
     """
-    _, words, rank, blocks = group
-    best, at, ones = least.copy(), np.full(len(x), -1, dtype=np.int64), x.sum(1)
-    middle = np.median(ones) if len(x) else 0.0
-    for start, low, high in sorted(blocks, key=lambda b: max(b[1] - middle, middle - b[2])):
-        most = np.minimum(np.minimum(ones / max(low, 1), 1.0), high / np.maximum(ones, 1.0))
-        needed = np.flatnonzero(most + 1e-6 >= best)
-        if not len(needed):
-            continue
-        refs = _unpack(list(words[start : start + REFERENCE_BLOCK]), n_words)
-        for lo in range(0, len(needed), ROW_BLOCK):
-            rows = needed[lo : lo + ROW_BLOCK]
-            sims = np.nan_to_num(_similarity(x[rows], refs), nan=-1.0)
-            first = sims.argmax(1)
-            top = sims[np.arange(len(rows)), first]
-            tie = (at[rows] < 0) | (rank[start + first] < rank[at[rows]])
-            better = (top >= 0) & ((top > best[rows]) | (top == best[rows]) & tie)
-            best[rows] = np.where(better, top, best[rows])
-            at[rows] = np.where(better, start + first, at[rows])
-    return best, at
-
-
-def _reference_groups(refs: DataFrame, n_words: int, group_bytes: int) -> Iterator[tuple]:
-    """All references with a fingerprint, ``group_bytes`` at a time, by popcount and id."""
-    per = max(1, group_bytes // (8 * n_words))
-    filled = refs.filter("ref_id IS NOT NULL AND ref_fp IS NOT NULL").withColumn("ones", popcount("ref_fp", n_words))
-    placed = materialize(
-        filled.repartitionByRange("ones", "ref_id")
-        .sortWithinPartitions("ones", "ref_id")
-        .withColumn("at", F.monotonically_increasing_id()),
-        "references",
+    kind = refs.schema["ref_id"].dataType.simpleString()
+    asked = rows.select("slice", "block").distinct().join(refs, "block")
+    asked = asked.select(F.col("slice").alias("to_slice"), F.col("block").alias("to_block"), "ref_id", "fp")
+    left = rows.select("slice", "block", "at", "fp").groupBy("slice", "block")
+    return left.cogroup(asked.groupBy("to_slice", "to_block")).applyInArrow(
+        lambda own, others: _best_of(own, others, n_words), f"at long, ref_id {kind}, similarity double"
     )
-    ranges = placed.groupBy(F.shiftright("at", SLOT_BITS).alias("slot")).agg(F.count("*").alias("n")).collect()
-    for first, last in _spans(sorted((r.slot, r.n) for r in ranges), per):  # one row per range partition
-        group = placed.filter(F.col("at").between(first, last)).select("ref_id", "ref_fp", "ones")
-        yield arranged(group.toArrow().sort_by([("ones", "ascending"), ("ref_id", "ascending")]), n_words)
-
-
-def _spans(counts: list[tuple[int, int]], per: int) -> Iterator[tuple[int, int]]:
-    """First and last row number of each run of ``per`` rows, over partitions of so many rows."""
-    first, held = None, 0
-    for slot, n in counts:
-        base, at = slot << SLOT_BITS, 0
-        while at < n:
-            first = base + at if first is None else first
-            took = min(per - held, n - at)
-            at, held = at + took, held + took
-            if held == per:
-                yield first, base + at - 1
-                first, held = None, 0
-    if held:
-        yield first, base + at - 1
 
 
 def nearest(
@@ -128,57 +101,52 @@ def nearest(
     ref_id: str = "ref_id",
     ref_fp: str = "ref_fp",
     out: str = "nearest",
-    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Most similar reference of each row (ties: smallest id) and its similarity.
 
-    The references pass in groups of ``group_bytes``, by popcount: a group is
-    sent to the tasks, which compare blocks of rows with blocks of references and
-    keep each row's best so far, which later blocks must reach. Rows are not
-    shuffled; between groups they are written with their best, so pass the
-    columns that are needed. References without an id or a fingerprint are none.
+    References are dealt out to blocks of like popcount, distinct fingerprints
+    of the rows to slices. A row first meets the block of its own popcount; the
+    similarity found there bounds the popcounts that could do as well, and it
+    meets the blocks in between. Slices and blocks meet in a shuffle and are
+    compared by matrix products; a row's best of all blocks is folded. What
+    reaches the driver is one count per popcount. References without an id or a
+    fingerprint are none; a row without a fingerprint is like an empty one.
     """
     n_words = n_bits // WORD
-    slim = refs.select(F.col(ref_id).alias("ref_id"), F.col(ref_fp).alias("ref_fp"))
-    kind = f"id {slim.schema['ref_id'].dataType.simpleString()}, similarity double"
-    rows = df.withColumn("__best", F.lit(None).cast(f"struct<{kind.replace(' ', ':')}>".replace(",:", ",")))
-    last = None
-    for group in _reference_groups(slim, n_words, group_bytes):
-        if last is not None:  # the rows so far stand in a table; the group before is no longer needed
-            rows = materialize(rows, "nearest")
-            last.destroy()
-        last = df.sparkSession.sparkContext.broadcast(group)
-        rows = rows.withColumn("__best", _better(F.col("__best"), _searching(last, kind, n_words)(F.col(fp), F.col("__best.similarity"))))
-    return rows.withColumns({f"{out}_id": F.col("__best.id"), f"{out}_similarity": F.col("__best.similarity")}).drop("__best")
-
-
-def _searching(sent: Broadcast, kind: str, n_words: int):
-    @F.pandas_udf(kind)
-    def search(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        group = sent.value
-        for words, least in batches:
-            best, at = _best_of(_unpack(words, n_words), least.fillna(-1.0).to_numpy(dtype=float), group, n_words)
-            hit = at >= 0
-            yield pd.DataFrame(
-                {
-                    "id": [group[0][i] if ok else None for i, ok in zip(at, hit)],
-                    "similarity": np.where(hit, best, np.nan),
-                }
-            )
-
-    return search
-
-
-def _better(old: Column, new: Column) -> Column:
-    """Of two (id, similarity) the more similar, on a tie the smaller id; a missing one loses."""
-
-    def pick(found: Column) -> Column:
-        loses = (old["similarity"] > found["similarity"]) | (
-            (old["similarity"] == found["similarity"]) & (old["id"] < found["id"])
-        )
-        return F.when(found["id"].isNull() | F.coalesce(loses, F.lit(False)), old).otherwise(found)
-
-    return once(new, pick)
+    slim = refs.select(F.col(ref_id).alias("ref_id"), F.col(ref_fp).alias("fp")).filter("ref_id IS NOT NULL AND fp IS NOT NULL")
+    slim = materialize(slim.groupBy("fp").agg(F.min("ref_id").alias("ref_id")).withColumn("ones", popcount("fp", n_words)), "references")
+    counts = {r.ones: r.n for r in slim.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # n_bits + 1 rows at most
+    names = [f"{out}_id", f"{out}_similarity"]
+    if not counts:
+        return df.withColumns({names[0]: F.lit(None).cast(slim.schema["ref_id"].dataType), names[1]: F.lit(None).cast("double")})
+    first, pieces, n_blocks = popcount_blocks(counts, n_bits, REFERENCE_BLOCK)
+    last = [f + n - 1 for f, n in zip(first, pieces, strict=True)]
+
+    def of(values: list[int], ones: Column) -> Column:
+        at = F.greatest(F.lit(0), F.least(ones, F.lit(n_bits))).cast("int")
+        return F.least(F.get(F.array(*map(F.lit, values)), at), F.lit(n_blocks - 1))
+
+    piece = F.pmod(F.xxhash64("ref_id"), of(pieces, F.col("ones"))) if max(pieces) > 1 else F.lit(0)
+    blocks = slim.select("ref_id", "fp", (of(first, F.col("ones")) + piece).cast("int").alias("block"))
+    empty = F.array(*[F.lit(0).cast("long")] * n_words)
+    keys = df.select(F.coalesce(F.col(fp), empty).alias("fp")).distinct()
+    keys = materialize(keys.select("fp", popcount("fp", n_words).alias("ones"), F.monotonically_increasing_id().alias("at")), "rows")
+    slices = -(-keys.count() // ROW_SLICE) or 1
+    keys = keys.withColumn("slice", F.pmod(F.xxhash64("at"), F.lit(slices)))
+    home = keys.withColumn("block", of(first, F.col("ones")).cast("int"))
+    found = _compared(home, blocks, n_words)
+    if n_blocks > 1:
+        found = materialize(found, "home")
+        best, ones = F.coalesce("similarity", F.lit(0.0)), F.col("ones")
+        low = F.when(best > 0, of(first, F.ceil(best * ones - 1e-6))).otherwise(F.lit(0))
+        high = F.when(best > 0, of(last, F.floor(F.least(ones / best, F.lit(float(n_bits))) + 1e-6))).otherwise(F.lit(n_blocks - 1))
+        more = home.join(found.select("at", "similarity"), "at", "left").withColumnRenamed("block", "met")
+        more = more.select("at", "fp", "slice", "met", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("block"))
+        found = found.unionByName(_compared(more.filter("block <> met"), blocks, n_words))
+    pick = F.min_by(F.struct("ref_id", "similarity"), F.struct(-F.col("similarity"), F.col("ref_id"))).alias("__best")
+    best = keys.join(found.groupBy("at").agg(pick), "at").select(F.col("fp").alias("__fp"), "__best")
+    joined = df.join(best, F.coalesce(df[fp], empty) == best["__fp"], "left")
+    return joined.withColumns({names[0]: F.col("__best.ref_id"), names[1]: F.col("__best.similarity")}).drop("__best", "__fp")
 
 
 def nearest_per_group(

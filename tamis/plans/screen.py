@@ -12,6 +12,7 @@ from tamis.operators.aggregates import over_threshold
 from tamis.operators.clean import passing
 from tamis.operators.neighbors import pick_diverse
 from tamis.operators.ranking import best_per
+from tamis.sources.writers import CSV_WRITE
 
 
 def featurize(df: DataFrame, text: str, radius: int, n_bits: int) -> DataFrame:
@@ -36,8 +37,8 @@ def score_catalog(df: DataFrame, model, part: str | Column, threshold: float = 0
 
 
 def score_to(scored: DataFrame, path: str, cols: Sequence[str]) -> None:
-    """Write ``structure, score`` rows as tasks produce them."""
-    scored.select(*cols).write.csv(path, header=True)
+    """Write ``structure, score`` rows as tasks produce them, in the readers' dialect."""
+    scored.select(*cols).write.options(**CSV_WRITE).csv(path, header=True)
 
 
 def order_list(

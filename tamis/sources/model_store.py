@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import (
     GBTClassificationModel,
     LogisticRegressionModel,
@@ -11,6 +13,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import SparkSession
 
+from tamis.models.ensembles import Stacking
 from tamis.models.rankers import FittedRanker, PrefixRanker, SimilarityModel
 
 _KINDS = {
@@ -27,8 +30,15 @@ _KINDS = {
 
 
 def save(spark: SparkSession, ranker, path: str) -> None:
-    """Model files beside a one-row description of how to read them."""
-    if isinstance(ranker, SimilarityModel):
+    """Model files beside a one-row description of how to read them; an ensemble's models lie in it."""
+    if isinstance(ranker, Stacking):
+        if ranker.second is None:
+            raise ValueError("fit first")
+        for name, model in ranker.models.items():
+            save(spark, model, f"{path}/base/{name}")
+        save(spark, ranker.second, f"{path}/second")
+        about = (Stacking.__name__, json.dumps(list(ranker.models)), ranker.label, 0)
+    elif isinstance(ranker, SimilarityModel):
         about = ("similarity", ranker.fp, ranker.id_col, ranker.n_bits)
         ranker.save(f"{path}/model")
     elif isinstance(ranker, PrefixRanker):
@@ -44,6 +54,10 @@ def load(spark: SparkSession, path: str):
     about = spark.read.schema("kind string, a string, b string, n int").json(f"{path}/about").first()
     if about.kind == "similarity":
         return SimilarityModel.load(spark, f"{path}/model", about.a, about.b, about.n)
+    if about.kind == Stacking.__name__:
+        stacked = Stacking({name: load(spark, f"{path}/base/{name}") for name in json.loads(about.a)}, about.b)
+        stacked.second = load(spark, f"{path}/second")
+        return stacked
     model = _KINDS[about.kind].load(f"{path}/model")
     if about.kind.startswith("GBT"):
         return PrefixRanker(model, about.n, about.a)

@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from tamis.operators import joins
-from tamis.operators.identity import components, group_identities
+from tamis.operators.graph import components
+from tamis.operators.identity import group_identities
 
 
 def union_find(edges):
@@ -25,7 +26,7 @@ def union_find(edges):
 
 def check(spark, edges):
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r.node: r.component for r in components(df).collect()}
+    got = {r.node: r.root for r in components(df, "u", "v").collect()}
     want = union_find([e for e in edges if e[0] != e[1]])
     assert got == want
 

@@ -92,3 +92,41 @@ def test_percent_ranks_of_unlike_scores(spark):
     df = spark.createDataFrame([(1, 0.1, 90.0), (2, 0.1, 10.0), (3, 0.9, 50.0), (4, 0.5, None)], "id long, a double, b double")
     out = {r.id: (r.a, r.b) for r in ensembles.percent_ranks(df, ["a", "b"]).collect()}
     assert out == {1: (0.0, 1.0), 2: (0.0, 0.0), 3: (1.0, 0.5), 4: (pytest.approx(2 / 3), None)}
+
+
+def test_a_constant_ranker_fails_the_report(spark):
+    from queries.models import checked
+    from tamis.operators.metrics import evaluation_report
+
+    rows = [(i, s, float(i % 3 == 0), 0.5) for s in ("train", "test") for i in range(30)]
+    report = evaluation_report(spark.createDataFrame(rows, "id long, split string, label double, score double"), "split", "score", "label", "id", [0.01, 0.1])
+    out = {(r.split, r.metric, r.ratio): r for r in checked(report).collect()}
+    assert out["train", "roc", None].told_apart is False
+    assert not out["test", "NEF", 0.01].in_range and out["test", "NEF", 0.1].in_range
+
+
+def test_stacking_is_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml.functions import array_to_vector
+
+    from tamis.models import ensembles, rankers
+    from tamis.sources import model_store
+
+    rows = [(i, float(i % 4 == 0), [float(i % 4 == 0), float(i % 7)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, label double, x array<double>").withColumn("features", array_to_vector("x"))
+    models = {"forest": rankers.RankerRF({"n_estimators": 3, "max_depth": 2}).fit(df), "linear": rankers.RankerLinear({"n_estimators": 5}).fit(df)}
+    stacked = ensembles.Stacking(models).fit(df)
+    model_store.save(spark, stacked, str(tmp_path / "stacked"))
+    again = model_store.load(spark, str(tmp_path / "stacked"))
+    one, two = ([r.score for r in m.score(df).orderBy("id").collect()] for m in (stacked, again))
+    assert one == two and len(set(one)) > 1
+
+
+def test_nan_is_no_reading(spark):
+    from tamis.operators import aggregates
+
+    df = spark.createDataFrame([("a", 0.5), ("b", float("nan")), ("c", None), ("d", 0.05)], "name string, x double")
+    r = aggregates.describe(df, ["x"]).first()
+    assert (r["count"], r["mean"], r["min"], r["max"]) == (2, 0.275, 0.05, 0.5)
+    assert aggregates.over_threshold(df, F.lit(1).alias("p"), "x").first()[1:] == (4, 1)
+    means = {r.name: r.x for r in aggregates.with_mean_std(df, "name", ["x"], 3).collect()}
+    assert means["mean"] == 0.275 and means["std"] == 0.318

@@ -51,14 +51,15 @@ def test_ones_match_the_string(spark):
     assert [r[0] for r in got] == [[i for i, c in enumerate(x) if c == "1"] for x in s]
 
 
-@pytest.mark.parametrize("group_bytes", [1 << 20, 80, 1])
-def test_nearest_in_one_group_or_many(spark, group_bytes, monkeypatch):
-    monkeypatch.setattr(neighbors, "REFERENCE_BLOCK", 3)
+@pytest.mark.parametrize(("block", "part"), [(1 << 20, 1 << 20), (3, 7), (1, 1 << 10)])
+def test_nearest_in_one_block_or_many(spark, block, part, monkeypatch):
+    monkeypatch.setattr(neighbors, "REFERENCE_BLOCK", block)
+    monkeypatch.setattr(neighbors, "ROW_SLICE", part)
     rows, refs = prints(60, 2), prints(25, 9)
     ref = frame(spark, refs, 100).select(F.col("id").alias("ref_id"), F.col("fp").alias("ref_fp"))
     out = {
         r.id: (r.nearest_id, r.nearest_similarity)
-        for r in neighbors.nearest(frame(spark, rows), ref, "fp", "id", N_BITS, group_bytes=group_bytes).collect()
+        for r in neighbors.nearest(frame(spark, rows), ref, "fp", "id", N_BITS).collect()
     }
     for i, s in enumerate(rows):
         sims = [(sim(s, t), -(100 + j)) for j, t in enumerate(refs) if sim(s, t) is not None]
@@ -69,13 +70,17 @@ def test_nearest_in_one_group_or_many(spark, group_bytes, monkeypatch):
         assert out[i][0] == -best[1] and out[i][1] == pytest.approx(best[0])
 
 
-def test_spans_cover_every_row_once():
-    counts = [(0, 5), (2, 1), (3, 7)]
-    numbers = [(slot << neighbors.SLOT_BITS) + i for slot, n in counts for i in range(n)]
-    for per in (1, 2, 4, 13, 50):
-        got = [[x for x in numbers if lo <= x <= hi] for lo, hi in neighbors._spans(counts, per)]
-        assert got == [numbers[i : i + per] for i in range(0, len(numbers), per)]
-    assert list(neighbors._spans([], 3)) == []
+def test_popcount_blocks_are_in_order_and_bounded():
+    counts = {0: 2, 3: 4, 4: 1, 7: 23, 9: 5, 10: 6}
+    for size in (1, 5, 10, 100):
+        first, pieces, n_blocks = neighbors.popcount_blocks(counts, 12, size)
+        held = {}
+        for ones, n in counts.items():
+            for piece in range(pieces[ones]):
+                held.setdefault(first[ones] + piece, []).append(n / pieces[ones])
+        assert sorted(held) == list(range(n_blocks)) and max(map(sum, held.values())) <= size
+        assert first == sorted(first)
+    assert neighbors.popcount_blocks({}, 3, 5)[2] == 0
 
 
 def test_nearest_without_references(spark):
