@@ -42,11 +42,15 @@ _OFF = frozenset(
     """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies
     consent copyright disqus dropdown footer header masthead menu nav navbar navigation newsletter notice popup promo
     promoted related replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget
-    contentinfo complementary search alert disclaimer modal overlay pagination pager""".split()
+    contentinfo complementary search alert disclaimer modal overlay pagination pager gdpr""".split()
 )
+# Parts that mark a name whatever else it says, unless it only tells a state.
+_SURELY_OFF = frozenset("adsbygoogle advert adverts advertisement comment comments commentlist disqus newsletter sponsored".split())
+_STATE = frozenset("with has no without is not open closed enabled disabled".split())
 _WHERE = frozenset(
-    """area bar bottom box block button buttons center column container form global group inner item items left links
-    list main mobile outer page post primary right secondary section site slot sticky text top unit wrap wrapper""".split()
+    """area articles bar bottom box block button buttons center column container content form global group inner item
+    items left links list main mobile news outer page post posts primary right secondary section site slot sticky stories
+    text top unit wrap wrapper""".split()
 )
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -55,6 +59,9 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[_:-]+")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|\s)style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)display\s*:\s*none", re.I)
 _NEVER_OFF = frozenset("html body main article".split())
 _SPACE = re.compile(r"\s+")
 # An open element of the first kind ends where one of the second begins.
@@ -83,6 +90,8 @@ class Node:
 def _off_name(name: str) -> bool:
     """Whether a whole name says so: ``ad``, ``site-footer``, ``ad-728``; not ``with-sidebar`` or ``entry-header``."""
     parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+    if not _SURELY_OFF.isdisjoint(parts) and _STATE.isdisjoint(parts):
+        return True
     return any(p in _OFF for p in parts) and all(p in _OFF or p in _WHERE for p in parts)
 
 
@@ -92,6 +101,12 @@ def _marked_off(rest: str) -> set[str]:
     return {kind for kind, names in found if any(map(_off_name, names))}
 
 
+def _unseen(rest: str) -> bool:
+    """Whether the attributes hide the element."""
+    low = rest.lower()
+    return "hidden" in low and _UNSEEN.search(_QUOTED.sub("", rest)) is not None or "display" in low and _NO_DISPLAY.search(rest) is not None
+
+
 class _Open:
     """The open elements, with a count per name so that a search that must fail is not begun."""
 
@@ -161,7 +176,9 @@ def parse(source: str) -> Node:
         tree.end_siblings(name)
         rest = m["rest"]
         marks = _marked_off(rest) if "=" in rest and name not in _NEVER_OFF else ()
-        node = Node(name, name in NOT_TEXT or "role" in marks, bool(marks))
+        own_header = name == "header" and (tree.count["article"] or tree.count["main"])  # may hold the article's heading
+        off = name in NOT_TEXT and not own_header or "role" in marks or bool(rest) and _unseen(rest)
+        node = Node(name, off, bool(marks) or bool(own_header))
         tree.nodes[-1].items.append(node)
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
@@ -201,14 +218,22 @@ def _measure(root: Node) -> list[tuple[Node, Node | None]]:
 
 
 def _leave_out(order: list[tuple[Node, Node | None]]) -> None:
-    """Marked nodes are off, but those with most of the page's unlinked text, its heading, a main or its article."""
+    """Marked nodes are off, but those that hold the page's heading, a main or its article.
+
+    Only where that leaves no unlinked text at all, those with most of it stay.
+    """
     marked = [n for n, _ in order if n.marked and not n.off]
     if not marked:
         return
     root, parents = order[0][0], {id(n): p for n, p in order}
     holders = [n for n, _ in order if n.name == "main"]
     holders += [n for n, _ in order if n.name == "h1"][:1]
+    below: set[int] = set()  # marked nodes and what they hold
+    for n, parent in order:
+        if n.marked or id(parent) in below:
+            below.add(id(n))
     articles = [n for n, _ in order if n.name == "article"]
+    articles = [n for n in articles if id(n) not in below] or articles
     holders += [max(articles, key=lambda n: n.chars - n.link_chars)] if articles else []
     held: set[int] = set()
     for node in holders:
@@ -216,7 +241,15 @@ def _leave_out(order: list[tuple[Node, Node | None]]) -> None:
             held.add(id(node))
             node = parents[id(node)]
     for n in marked:
-        n.off = id(n) not in held and 2 * (n.chars - n.link_chars) <= root.chars - root.link_chars
+        n.off = id(n) not in held
+    gone: set[int] = set()
+    for n, parent in order:
+        if n.off or n.name == "a" or id(parent) in gone:
+            gone.add(id(n))
+        elif n.chars > sum(c.chars for c in n.items if isinstance(c, Node)):
+            return
+    for n in marked:
+        n.off = n.off and 2 * (n.chars - n.link_chars) <= root.chars - root.link_chars
 
 
 def _densities(order: list[tuple[Node, Node | None]], body: Node) -> None:

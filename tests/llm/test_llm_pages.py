@@ -58,3 +58,33 @@ def test_marked_parts_still_go():
     parts = "".join(f'{p}<div class="{c}"><p>Out {c} of it.</p></div>' for p, c in zip(P, off)) + '<div role="search">find</div>'
     comments = f'<div id="comments"><article>{P[0]}</article></div>'
     assert main_text(f"<body><article><h1>T</h1>{parts}</article>{comments}</body>").split("\n") == ["T", *TEXT]
+
+
+SHORT, LONGER = "A story of some plain words that is told here. " * 5, "Words of a reader who has much to say on that. " * 20
+
+
+@pytest.mark.parametrize(
+    "off",
+    [
+        '<div class="comment-list">{}</div>', '<ol class="commentlist"><li>{}</li></ol>', '<div id="cookie-banner">{}</div>',
+        '<div class="gdpr-cookie-notice">{}</div>', '<div class="newsletter-signup">{}</div>', '<div class="related-articles">{}</div>',
+        '<div class="adsbygoogle">{}</div>', '<div class="sponsored-content">{}</div>', "<div hidden>{}</div>", '<div style="color: red; display:none">{}</div>',
+        '<section id="comments"><article>{}</article></section>',
+    ],
+)
+@pytest.mark.parametrize("inside", [False, True])
+def test_marked_parts_go_whatever_their_length(off, inside):
+    part = off.format(f"<p>{LONGER}</p>")
+    story = f"<article><h1>T</h1><p>{SHORT}</p>{part if inside else ''}</article>"
+    for page in (f"<body>{story}{'' if inside else part}</body>", f"<body>{'' if inside else part}<div>{story}</div></body>"):
+        assert main_text(page).split("\n") == ["T", SHORT.strip()]
+
+
+def test_heading_in_the_articles_own_header():
+    page = f'<body><header><p>Site</p></header><article><header class="entry-header"><h1>Title</h1></header>{"".join(P)}</article></body>'
+    assert main_text(page).split("\n") == ["Title", *TEXT]
+    assert main_text(page.replace("article>", "main>").replace("<article", "<main")).split("\n") == ["Title", *TEXT]
+
+
+def test_a_marked_page_without_other_text_is_read():
+    assert main_text(f'<body><div class="sidebar"><p>{LONGER}</p></div></body>') == LONGER.strip()
