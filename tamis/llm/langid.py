@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tamis.llm.text import arrow_map, named, utf8
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # fixed odd multiplier (golden ratio)
 # Bytes that are no letter become a space; bytes of multi-byte characters stay.
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -80,7 +79,7 @@ class LanguageFilters:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score (its share of all languages' corrected hits) of each text."""
-        known = [t if t is not None and _LETTER.search(t) else "" for t in texts]
+        known = [t if t is not None and any(map(str.isalpha, t)) else "" for t in texts]
         codes, starts = grams(known, self.length)
         n = np.diff(starts)
         share = self.hits(codes, starts) / np.maximum(n, 1)[:, None]

@@ -328,3 +328,11 @@ def test_stages_keep_the_columns(spark):
 
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs(spark), "").columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+
+
+def test_texts_without_a_letter_are_of_no_language(spark):
+    rows = [(1, "der die das und nicht " * 9, "de"), (2, "the cat and the dog " * 9, "en"), (3, "² ½ ³", "en"), (4, "12 _ 7", "de"), (5, "٣ Ⅷ ①", "de"), (6, "ª", "en"), (7, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in langid.identify(df.select("doc_id", "text"), langid.fit_filters(df)).collect()}
+    assert [out[i].lang_pred for i in (1, 2, 3, 4, 5, 7)] == ["de", "en", "und", "und", "und", "und"]
+    assert out[6].lang_pred in ("de", "en") and all(0 <= r.score <= 1 for r in out.values())
