@@ -25,12 +25,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tamis.llm.lm import mix
 from tamis.llm.text import byte_strings, in_chunks, split_words, utf8
 from tamis.llm.transducer import NONE, Transducer, folded, levels, union
-from tamis.operators.order import running_totals
+from tamis.operators.order import positions, running_totals
 from tamis.session import materialize
 
 UNKNOWN = "und"  # language of texts without one
@@ -429,6 +429,6 @@ def _scored(phrases: DataFrame) -> DataFrame:
 
 def best_phrases(docs: DataFrame, per_lang: int = 2000, **options) -> DataFrame:
     """The first ``per_lang`` collocations of each language by score, count and phrase, with their rank."""
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = collocations(docs, **options).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_lang)
+    found = materialize(collocations(docs, **options), "collocations")
+    ranked = positions(found, [F.desc("score"), F.desc("a"), "phrase"], ["lang"], "rank").filter(F.col("rank") <= per_lang)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

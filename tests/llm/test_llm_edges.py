@@ -13,7 +13,8 @@ import xxhash
 from llm_cases import CLASHES, LONG, ROWS, docs, rows_of
 from pyspark.sql import functions as F
 
-from tamis.llm import bpe, exact_dedup, graph, html_text, langid, lm, mixing, quality, simhash, substring_dedup, token_counts
+from tamis.llm import bpe, exact_dedup, html_text, langid, lm, mixing, quality, simhash, substring_dedup, token_counts
+from tamis.operators import graph
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
