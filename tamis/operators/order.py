@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tamis.operators.selection import group_values_at, values_at
 from tamis.session import materialize
 
 SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row below
@@ -156,33 +157,29 @@ def part_of(position: Column, size: Column, parts: int) -> Column:
 def exact_quantiles(
     df: DataFrame, value: str, quantiles: dict[str, float], partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Interpolated exact quantiles per group, one column per entry.
+    """Interpolated exact quantiles per group, one column per entry; NULL and NaN are no values.
 
-    Equal values are counted first; the built-in percentile keeps a group's
-    distinct values in one task's memory, this does not.
+    Found by counting buckets: nothing is sorted and no group is gathered.
+    Without ``partition_by`` there is one row, of NULLs if there is no value.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*partition_by, value)
-        .agg(F.count("*").alias("__n"))
-    )
-    run = running_totals(counts, [value], {"__upto": "__n"}, partition_by, totals=True)
-
-    def at(index: Column) -> Column:
-        here = (F.col("__upto") - F.col("__n") <= index) & (index < F.col("__upto"))
-        return F.max(F.when(here, F.col(value)))
-
-    picks, finals = [], []
+    places = {}
     for name, q in quantiles.items():
-        spot = (F.col("__upto_total") - 1) * F.lit(float(q))
-        picks += [
-            at(F.floor(spot)).alias(f"__lo_{name}"),
-            at(F.ceil(spot)).alias(f"__hi_{name}"),
-            F.max(spot - F.floor(spot)).alias(f"__w_{name}"),
-        ]
-        low, high, weight = (F.col(f"__{k}_{name}") for k in ("lo", "hi", "w"))
-        finals.append((low + (high - low) * weight).alias(name))
-    return run.groupBy(*partition_by).agg(*picks).select(*partition_by, *finals)
+        places[f"__lo_{name}"] = lambda n, q=float(q): F.floor((n - 1) * F.lit(q))
+        places[f"__hi_{name}"] = lambda n, q=float(q): F.ceil((n - 1) * F.lit(q))
+    if partition_by:
+        ends = group_values_at(df, value, places, partition_by, "__size")
+    else:
+        values, size = values_at(df, value, places)
+        ends = df.sparkSession.range(1).select(
+            F.lit(size).alias("__size"), *[F.lit(v).cast("double").alias(n) for n, v in values.items()]
+        )
+
+    def between(name: str, q: float) -> Column:
+        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        spot = (F.col("__size") - 1) * F.lit(float(q))
+        return F.when(low == high, low).otherwise(low + (high - low) * (spot - F.floor(spot)))
+
+    return ends.select(*partition_by, *[between(name, q).alias(name) for name, q in quantiles.items()])
 
 
 def grouped_median(df: DataFrame, value: str, partition_by: Sequence[str], name: str = "median") -> DataFrame:

@@ -5,6 +5,7 @@ Ties are always broken by the id, ascending.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,11 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.functions.rows import number
 from tamis.operators.order import positions
+from tamis.operators.selection import values_at
 from tamis.session import materialize
 
-
-# Rows from which another round of cutting would cost more than ordering them.
-FEW = 1 << 20
+SLACK = 1 << 16  # rows that a cut may let through beside the k best; they are ranked, too
 
 
 def best_first(score: str, id_col: str) -> list[Column]:
@@ -70,36 +70,15 @@ def expand(df: DataFrame, count: str, name: str = "repeat") -> DataFrame:
     return df.filter(n > 0).withColumn(name, F.explode(F.sequence(F.lit(1), n)))
 
 
-def _cut(rows: DataFrame, value: Column, k: int) -> float | None:
-    """A value that at least ``k`` rows reach, as high as it can be told; None where no cut helps.
-
-    Approximate quantiles propose cuts towards the top; counting decides, so no
-    row among the k best is below. Repeated on the rows above until they are few
-    or equal values allow no higher cut. Only the value is read.
-    """
-    levels = [1.0 - 2.0**-j for j in range(1, 14)]
-    cut = None
-    while True:
-        above = rows if cut is None else rows.filter(value >= cut)
-        marks = above.agg(F.percentile_approx(value, levels, 10_000).alias("m")).first().m or []
-        if not marks:
-            return cut
-        reached = above.agg(*[F.count_if(value >= m).alias(f"m{i}") for i, m in enumerate(marks)]).first()
-        safe = [(m, n) for m, n in zip(marks, reached) if n >= k]
-        if not safe or max(safe)[0] == cut:
-            return cut
-        cut, left = max(safe)
-        if left <= FEW:
-            return cut
-
-
 def _best(rows: DataFrame, value: Column, order: Sequence[Column], k: int, name: str) -> DataFrame:
     """The first ``k`` rows in ``order``, ranked; ``value`` falls or stays along the order.
 
-    What can be among them is cut out first and ranked like any table, so
-    neither a large k nor ties bring the rows into one task.
+    The k-th value, or one less than ``SLACK`` rows lower, is found by counting; rows
+    that reach it are ranked like any table, so neither a large k nor ties bring the
+    rows into one task.
     """
-    cut = _cut(rows, value, k)
+    place = {"cut": lambda n: F.greatest(n - k, F.lit(0))}
+    cut = values_at(rows, value, place, slack=SLACK)[0]["cut"]
     near = rows if cut is None else rows.filter(value >= cut)
     return positions(near, order, name=name).filter(F.col(name) <= k)
 
@@ -126,9 +105,12 @@ def top_k_with_payload(
 
 
 def top_fraction(df: DataFrame, score: str, id_col: str, ratio: float) -> DataFrame:
-    """Best int(n * ratio) rows, with their rank."""
-    ranked = rank_by(df, score, id_col, size="__size")
-    return ranked.filter(F.col("rank") <= F.floor(F.col("__size") * F.lit(ratio))).drop("__size")
+    """Best int(n * ratio) rows, with their rank; rows without a score count in n and come last."""
+    counts = df.agg(F.count("*").alias("n"), F.count(number(score)).alias("scored")).first()
+    k = math.floor(counts.n * ratio)
+    if k > counts.scored:
+        return rank_by(df, score, id_col).filter(F.col("rank") <= k)
+    return _scored_best(df, score, id_col, k, "rank")
 
 
 def top_models(df: DataFrame, model: str, id_col: str, metric: str, k: int) -> DataFrame:
