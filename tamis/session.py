@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 << 20  # spark.sql.files.maxPartitionBytes, by default
 
 _FOLDERS: dict[str, str] = {}  # by application
+_INNER: ContextVar[str | None] = ContextVar("inner work folder", default=None)
 
 
 def get_spark(app: str = "tamis", **conf: object) -> SparkSession:
@@ -37,12 +41,13 @@ def work_folder(spark: SparkSession) -> str:
         if not named and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         _FOLDERS[app] = f"{(named or tempfile.mkdtemp()).rstrip('/')}/tamis-{app}"
-        path, files = _hadoop(spark, _FOLDERS[app])
+        path, files = hadoop_path(spark, _FOLDERS[app])
         files.deleteOnExit(path)
     return _FOLDERS[app]
 
 
-def _hadoop(spark: SparkSession, folder: str):
+def hadoop_path(spark: SparkSession, folder: str):
+    """The folder as the file system that holds it names it, and that file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -52,13 +57,29 @@ def clear_work(spark: SparkSession) -> None:
 
     Results computed from them must have been written before.
     """
-    path, files = _hadoop(spark, work_folder(spark))
+    path, files = hadoop_path(spark, work_folder(spark))
     files.delete(path, True)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A path nobody has written to yet."""
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_INNER.get() or work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing_work(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written in this thread's block go at its end.
+
+    For work that repeats while an application lives, such as the batches of a stream.
+    """
+    folder = work_path(spark, "passing")
+    token = _INNER.set(folder)
+    try:
+        yield
+    finally:
+        _INNER.reset(token)
+        path, files = hadoop_path(spark, folder)
+        files.delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
