@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamis.operators import ranking, splits
+from tamis.operators.selection import values_at
 
 
 @pytest.fixture(scope="module")
@@ -72,9 +73,9 @@ def test_best_per_and_top_models(rows):
         assert part["id"].tolist() == p[p["lib"] == lib]["id"].head(5).tolist()
 
 
-@pytest.mark.parametrize("few", [1 << 20, 10])
-def test_top_k_of_any_size(rows, monkeypatch, few):
-    monkeypatch.setattr(ranking, "FEW", few)
+@pytest.mark.parametrize("slack", [1 << 16, 10])
+def test_top_k_of_any_size(rows, monkeypatch, slack):
+    monkeypatch.setattr(ranking, "SLACK", slack)
     p = rows.toPandas().sort_values(["s", "id"], ascending=[False, True])["id"].tolist()
     for k in (1, 50, 400, 600):
         assert [r.id for r in ranking.top_k(rows, "s", "id", k).collect()] == p[:k]
@@ -105,8 +106,9 @@ def test_coverage(spark):
 
 def test_cut_keeps_the_best(spark, rows):
     value = F.col("s").cast("double")
-    assert 30 <= rows.filter(value >= ranking._cut(rows, value, 30)).count() <= 60
-    assert ranking._cut(rows, value, 600) is None
+    cut = lambda df, v, k: values_at(df, v, {"cut": lambda n: F.greatest(n - k, F.lit(0))}, slack=30)[0]["cut"]
+    assert 30 <= rows.filter(value >= cut(rows, value, 30)).count() <= 60
+    assert rows.filter(value >= cut(rows, value, 600)).count() == rows.filter(value.isNotNull()).count()
     ties = spark.range(300).withColumn("s", F.lit(1.0))  # no cut helps
     assert [r.id for r in ranking.top_k(ties, "s", "id", 20).collect()] == list(range(20))
 
