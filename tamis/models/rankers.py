@@ -11,14 +11,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.operators.clean import class_weights, sample_weights
 from tamis.operators.metrics import avg_precision, roc_auc
@@ -109,7 +108,10 @@ class FittedRanker:
 
 TREES_AT_ONCE = 64  # trees of a boosted model that one plan applies side by side
 _FOREST = ("n_estimators", "max_features", "min_samples_leaf", "max_depth", "weight", "seed")
-_BOOST = ("n_estimators", "max_depth", "learning_rate", "subsample", "weight", "seed", "patience", "metric")
+_BOOST = (
+    "n_estimators", "max_depth", "learning_rate", "subsample", "colsample_bylevel", "min_child_weight",
+    "weight", "seed", "patience", "metric",
+)
 
 
 class RankerRF(Ranker):
@@ -184,45 +186,39 @@ class PrefixRanker:
 
     def score(self, df: DataFrame) -> DataFrame:
         """The margin: one model of the first trees, built and applied in the JVM."""
-        spark = df.sparkSession
-        gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
-        java, n = self.model._java_obj, self.n_trees
-        trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-        weights = gateway.new_array(jvm.double, n)
-        for i, (tree, weight) in enumerate(zip(java.trees()[:n], self.model.treeWeights[:n], strict=True)):
-            trees[i], weights[i] = tree, float(weight)
-        first = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{java.uid()}_{n}", trees, weights)
-        model = GBTRegressionModel(first)
+        n = self.n_trees
+        model = boosted_model(df.sparkSession, self.model.trees[:n], self.model.treeWeights[:n])
         return model.setFeaturesCol(self.features).setPredictionCol(SCORE).transform(df)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
 
-def iteration_metrics(model, val: DataFrame, label: str, metric: str = "precision", features: str = FEATURES) -> DataFrame:
-    """Metric of every prefix of a boosted model on the validation rows: ``n_trees, value``.
+def judge_margins(df: DataFrame, label: str, margins: str, metric: str = "precision", first: int = 1) -> DataFrame:
+    """Metric of each round of the array ``margins``, a row's margins round by round: ``n_trees, value``.
 
-    One scan: a row gives the array of its running margins, which is exploded
-    and ranked per prefix.
+    One scan: the array is exploded and ranked per round; ``first`` numbers its first entry.
     """
-    weights = list(model.treeWeights)
-    table = PrefixRanker(model, len(weights), features).steps(val.select(features, label)).select(label, "__steps")
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
-    running = F.aggregate(
-        "__steps",
-        start,
-        lambda a, x: F.struct(
-            (a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"] + x).alias("all")
-        ),
-        lambda a: a["all"],
-    )
-    long = table.select(label, F.posexplode(running)).select(
-        label, (F.col("pos") + 1).alias("n_trees"), F.col("col").alias(SCORE)
+    long = df.select(label, F.posexplode(margins)).select(
+        label, (F.col("pos") + first).alias("n_trees"), F.col("col").alias(SCORE)
     )
     judge = avg_precision if metric == "precision" else roc_auc
     return judge(long, SCORE, label, ["n_trees"]).toDF("n_trees", "value")
 
 
+def running(steps: str) -> Column:
+    """Sums of the array's first entries: a row's margin after each of its trees' ``steps``."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+    add = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["all"], a["sum"] + x).alias("all"))
+    return F.aggregate(steps, start, add, lambda a: a["all"])
+
+
+def iteration_metrics(model, val: DataFrame, label: str, metric: str = "precision", features: str = FEATURES) -> DataFrame:
+    """Metric of every prefix of a boosted model on the validation rows: ``n_trees, value``."""
+    table = PrefixRanker(model, len(model.treeWeights), features).steps(val.select(features, label))
+    return judge_margins(table.withColumn("__steps", running("__steps")), label, "__steps", metric)
+
+
 def best_iteration(values: Sequence[tuple[int, float | None]], patience: int) -> int:
     """Last iteration that was at least as good as all before, stopping once more
     than ``patience`` iterations in a row were worse."""
@@ -246,54 +242,143 @@ def select_iteration(
     return PrefixRanker(model, best_iteration([(r.n_trees, r.value) for r in rows], patience), features)
 
 
-class RankerGBT(Ranker):
-    """Boosted trees; with validation rows the iteration is chosen by ROC area or precision."""
+ROUNDS_HELD = 10  # trees fitted between two writes of the margins
+LEAST_CURVATURE = 1e-6  # of the logistic loss, far from the border
+
+
+@dataclass
+class BoostedRanker(PrefixRanker):
+    """The kept trees, with the validation metric of every round that was fitted."""
+
+    values: list[tuple[int, float | None]] = field(default_factory=list)
+
+    def rounds(self, spark) -> DataFrame:
+        """``n_trees, value, kept``: one row per judged round."""
+        rows = [(n, value, int(n == self.n_trees)) for n, value in self.values]
+        return spark.createDataFrame(rows, "n_trees int, value double, kept int")
+
+
+class Booster(Ranker):
+    """Gradient boosting a round at a time, stopped by the validation rows.
+
+    A round fits one tree to the gradients at the margins so far; under the
+    logistic loss rows weigh as much as the loss curves there, so that a leaf is
+    a Newton step. Margins lie in a written table, renewed every ``ROUNDS_HELD``
+    rounds, when the validation rows of these rounds are judged in one scan.
+    Fitting ends once more than ``patience`` rounds in a row were worse, so at
+    most ``ROUNDS_HELD`` - 1 trees are fitted in vain, and the best round is kept.
+
+    ``min_child_weight`` is the least sum of curvatures (squares: of weights) in
+    a child, ``colsample_bylevel`` the share of the features a node may split
+    on, drawn at every node. Without validation rows all trees stay. Rows
+    without label or features are left out; validation rows of one class have
+    no metric, and then all trees stay.
+    """
+
+    logistic = True
 
     def __init__(self, conf: dict | None = None, **kw):
         super().__init__(conf or {}, known=_BOOST, **kw)
 
-    def fit(self, train: DataFrame, val: DataFrame | None = None) -> PrefixRanker:
-        model = GBTClassifier(
-            featuresCol=self.features,
-            labelCol=self.label,
-            weightCol="__weight",
-            maxIter=self.get("n_estimators", 20),
-            maxDepth=self.get("max_depth", 5),
-            stepSize=self.get("learning_rate", 0.1),
+    def judged_by(self) -> str:
+        return self.label
+
+    def grown(self, rows: DataFrame, round_: int):
+        """One tree on ``x, y, w, margin``."""
+        residual = F.col("y") - F.col("margin")
+        weight = F.col("w")
+        if self.logistic:
+            chance = 1.0 / (1.0 + F.exp(-F.col("margin")))
+            curvature = F.greatest(chance * (1.0 - chance), F.lit(LEAST_CURVATURE))
+            residual, weight = (F.col("y") - chance) / curvature, weight * curvature
+        rows = rows.select("x", residual.alias("target"), weight.cast("double").alias("weight"))
+        least, share = self.get("min_child_weight", 0.0), 0.0
+        if least > 0:
+            total = rows.agg(F.sum("weight")).first()[0] or 0.0
+            share = least / total if total else 0.5
+        columns = self.get("colsample_bylevel", 1.0)
+        forest = RandomForestRegressor(
+            featuresCol="x",
+            labelCol="target",
+            weightCol="weight",
+            numTrees=1,
+            bootstrap=False,
+            maxDepth=self.get("max_depth", 5) if share < 0.5 else 0,  # no child could weigh enough
+            minWeightFractionPerNode=min(share, 0.499999),
+            featureSubsetStrategy="all" if columns >= 1 else str(float(columns)),
             subsamplingRate=self.get("subsample", 1.0),
-            seed=self.get("seed", 0),
-        ).fit(self.weighted(train))
-        if val is None:
-            return PrefixRanker(model, model.getNumTrees, self.features)
-        return select_iteration(
-            model, val, self.label, self.get("metric", "precision"), self.get("patience", 50), self.features
+            seed=self.get("seed", 0) + round_,
         )
+        return forest.fit(rows).trees[0]
 
-
-class RankerGBTReg(Ranker):
+    def fit(self, train: DataFrame, val: DataFrame | None = None) -> BoostedRanker:
+        weight = "__weight"
+        fitted_to = self.weighted(train).select(
+            F.col(self.features).alias("x"), F.col(self.label).cast("double").alias("y"), F.col(weight).alias("w"), F.lit(False).alias("judged")
+        )
+        if val is not None:
+            others = val.select(
+                F.col(self.features).alias("x"), F.col(self.judged_by()).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit(True).alias("judged")
+            )
+            fitted_to = fitted_to.unionByName(others)
+        rows = materialize(fitted_to.dropna(subset=["x", "y"]).withColumn("margin", F.lit(0.0)), "margins")
+        trees, weights, values = [], [], []
+        patience, n_trees = self.get("patience", 50), self.get("n_estimators", 20)
+        while len(trees) < n_trees:
+            start, state, margins = len(trees), rows, []
+            for i in range(start, min(n_trees, start + ROUNDS_HELD)):
+                tree = self.grown(state.filter(~F.col("judged")), i)
+                # As the first tree of squares is fitted to the label itself, it counts whole.
+                step = self.get("learning_rate", 0.1) if self.logistic or i else 1.0
+                trees.append(tree)
+                weights.append(step)
+                margins.append(f"m{i}")
+                tree.setFeaturesCol("x").setPredictionCol("__tree")
+                state = tree.transform(state).withColumn("margin", F.col("margin") + F.lit(float(step)) * F.col("__tree"))
+                state = state.withColumn(f"m{i}", F.col("margin")).drop("__tree")
+            if val is None and len(trees) == n_trees:
+                break
+            rows = materialize(state.select("x", "y", "w", "judged", "margin", F.array(*margins).alias("margins")), "margins")
+            if val is not None:
+                metric = self.get("metric", "precision")
+                judged = judge_margins(rows.filter("judged"), "y", "margins", metric, start + 1)
+                found = {r.n_trees: r.value for r in judged.collect()}  # one row per round
+                values += [(i + 1, found.get(i + 1)) for i in range(start, len(trees))]
+                if len(trees) - best_iteration(values, patience) > patience:
+                    break
+        kept = best_iteration(values, patience) if values else len(trees)
+        return BoostedRanker(boosted_model(train.sparkSession, trees, weights), kept, self.features, values)
+
+
+def boosted_model(spark, trees: Sequence, weights: Sequence[float]) -> GBTRegressionModel:
+    """Spark's boosted model of the given trees."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    listed = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    shares = gateway.new_array(jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        listed[i], shares[i] = tree._java_obj, float(weight)
+    name = f"boosted_{trees[0].uid}_{len(trees)}"
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(name, listed, shares))
+
+
+class RankerGBT(Booster):
+    """Boosted trees under the logistic loss; the score is the margin."""
+
+
+class RankerGBTReg(Booster):
     """Boosted regression; the iteration is chosen on the binary validation label."""
 
+    logistic = False
+
     def __init__(self, conf: dict | None = None, binary_label: str = "active", **kw):
-        super().__init__(conf or {}, known=_BOOST, **kw)
+        super().__init__(conf, **kw)
         self.binary_label = binary_label
 
-    def fit(self, train: DataFrame, val: DataFrame | None = None) -> PrefixRanker:
-        weighted = sample_weights(train, self.label, self.get("weight", "no_weight"), "__weight")
-        model = GBTRegressor(
-            featuresCol=self.features,
-            labelCol=self.label,
-            weightCol="__weight",
-            maxIter=self.get("n_estimators", 20),
-            maxDepth=self.get("max_depth", 5),
-            stepSize=self.get("learning_rate", 0.1),
-            subsamplingRate=self.get("subsample", 1.0),
-            seed=self.get("seed", 0),
-        ).fit(weighted)
-        if val is None:
-            return PrefixRanker(model, model.getNumTrees, self.features)
-        return select_iteration(
-            model, val, self.binary_label, self.get("metric", "precision"), self.get("patience", 50), self.features
-        )
+    def judged_by(self) -> str:
+        return self.binary_label
+
+    def weighted(self, train: DataFrame) -> DataFrame:
+        return sample_weights(train, self.label, self.get("weight", "no_weight"), "__weight")
 
 
 class RankerLinear(Ranker):

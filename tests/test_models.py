@@ -1,5 +1,6 @@
+import math
+
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from queries.base import N_BITS, compounds
@@ -30,7 +31,7 @@ def scores(df):
 def test_prefix_of_all_trees_is_the_model(spark, rows):
     ranker = rankers.RankerGBT({"n_estimators": 4, "max_depth": 2})
     fitted = ranker.fit(rows)
-    raw = fitted.model.transform(rows).select("id", vector_to_array("rawPrediction")[1].alias("score"))
+    raw = fitted.model.setFeaturesCol("features").transform(rows).select("id", F.col("prediction").alias("score"))
     a, b = scores(fitted.score(rows)), scores(raw)
     assert all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
 
@@ -50,6 +51,49 @@ def test_best_iteration_and_patience():
     assert best([(1, 0.5), (2, 0.4), (3, 0.9)], 1) == 3
 
 
+def test_boosting_stops_with_its_patience(spark, rows, monkeypatch):
+    monkeypatch.setattr(rankers, "ROUNDS_HELD", 3)
+    conf = {"n_estimators": 40, "patience": 2, "max_depth": 2, "learning_rate": 0.5, "metric": "roc"}
+    train, val = rows.filter("fold_id < 7"), rows.filter("fold_id >= 7")
+    fitted = rankers.RankerGBT(conf).fit(train, val)
+    assert fitted.n_trees == rankers.best_iteration(fitted.values, 2)
+    assert len(fitted.values) < 40 and len(fitted.values) - fitted.n_trees <= 2 + 3
+    assert [r.kept for r in fitted.rounds(spark).orderBy("n_trees").collect()].index(1) + 1 == fitted.n_trees
+    again = {r.n_trees: r.value for r in rankers.iteration_metrics(fitted.model, val, "label", "roc").collect()}
+    assert again == {n: pytest.approx(v, abs=1e-9) for n, v in fitted.values}
+    # The same trees whether margins are written after three rounds or after all.
+    monkeypatch.setattr(rankers, "ROUNDS_HELD", 40)
+    longer = rankers.RankerGBT({**conf, "n_estimators": len(fitted.values)}).fit(train, val)
+    assert longer.values == [(n, pytest.approx(v, abs=1e-9)) for n, v in fitted.values]
+
+
+def test_boosted_leaves_are_newton_steps(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    data = [(float(i % 2), float(i % 8 == 0 or i % 2 and i % 10 != 1)) for i in range(80)]
+    df = spark.createDataFrame(data, "x double, label double").withColumn("features", array_to_vector(F.array("x")))
+    conf = {"n_estimators": 2, "max_depth": 1, "learning_rate": 1.0, "weight": "no_weight"}
+    margins = {r.x: r.score for r in rankers.RankerGBT(conf).fit(df).score(df).collect()}
+    for x, margin in margins.items():
+        y, expected = [l for v, l in data if v == x], 0.0
+        for _ in range(2):
+            p = 1 / (1 + math.exp(-expected))
+            expected += sum(l - p for l in y) / (len(y) * p * (1 - p))
+        assert margin == pytest.approx(expected)
+    heavy = rankers.RankerGBT({**conf, "min_child_weight": 30.0}).fit(df).score(df)  # 80 rows weigh 20 at first
+    assert heavy.select("score").distinct().count() == 1
+
+
+def test_boosted_squares_approach_the_label(spark, rows):
+    df = rows.withColumn("value", F.col("id") % 5 + F.col("label"))
+    ranker = rankers.RankerGBTReg({"n_estimators": 3, "max_depth": 2, "colsample_bylevel": 0.5}, label="value", binary_label="label")
+    fitted = ranker.fit(df, df.filter("fold_id = 1"))
+    assert 1 <= fitted.n_trees <= 3 and len(fitted.values) == 3
+    whole = ranker.fit(df.withColumn("value", F.when(F.col("id") % 7 != 0, F.col("value")))).score(df)
+    means = whole.agg(F.avg("score"), F.avg("value")).first()
+    assert means[0] == pytest.approx(means[1], abs=0.2)
+
+
 def test_models_survive_storage(spark, rows):
     for ranker in (
         rankers.RankerRF({"n_estimators": 3, "max_depth": 2}).fit(rows),
