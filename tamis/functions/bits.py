@@ -37,6 +37,13 @@ def pack_bits(bits: str | Column, n_bits: int) -> Column:
     return once(_col(bits), lambda b: F.array(*[word(b, i) for i in range(0, n_bits, WORD)]))
 
 
+def ones(words: str | Column, n_words: int) -> Column:
+    """Positions of the ones of packed words, ascending."""
+    slots = F.sequence(F.lit(0), F.lit(n_words * WORD - 1))
+    bit = lambda w, i: F.getbit(F.get(w, (i / WORD).cast("int")), F.lit(WORD - 1) - i % WORD)
+    return once(_col(words), lambda w: F.filter(slots, lambda i: bit(w, i) == 1))
+
+
 def bits_to_array(bits: str | Column) -> Column:
     return F.transform(F.split(_col(bits), ""), lambda b: b.cast("double"))
 

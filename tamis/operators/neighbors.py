@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.functions.bits import WORD, popcount, tanimoto
+from tamis.functions.bits import WORD, ones, popcount, tanimoto
 from tamis.functions.rows import number
 from tamis.operators.order import positions
 from tamis.session import materialize
@@ -184,22 +184,13 @@ def copies(df: DataFrame, id_col: str, fp: str) -> DataFrame:
     return df.groupBy(fp).agg(F.min(id_col).alias(id_col), F.count("*").alias("n_copies"))
 
 
-def _ones(words: Column, n_words: int) -> Column:
-    """Positions of the ones, ascending."""
-    slots = F.sequence(F.lit(0), F.lit(n_words * WORD - 1))
-    return F.filter(
-        slots,
-        lambda i: F.getbit(F.get(words, (i / WORD).cast("int")), F.lit(WORD - 1) - i % WORD) == 1,
-    )
-
-
 def _with_prefix(df: DataFrame, fp: str, rank_of: Column, threshold: float, n_words: int) -> DataFrame:
     """Add popcount, size band and the rarest ones that a partner must share one of."""
     n = F.col("__n")
     keep = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
     width = np.log(1.0 / threshold) if threshold > 0 else None
     band = F.floor(F.ln(n.cast("double")) / F.lit(float(width)) + 1e-9).cast("int") if width else F.lit(0)
-    ranked = F.array_sort(F.transform(_ones(F.col(fp), n_words), lambda p: F.get(rank_of, p)))
+    ranked = F.array_sort(F.transform(ones(F.col(fp), n_words), lambda p: F.get(rank_of, p)))
     return (
         df.withColumn("__n", popcount(fp, n_words))
         .withColumn("__prefix", F.slice(ranked, F.lit(1), F.least(keep, n)))
@@ -220,7 +211,7 @@ def _join_above(a: DataFrame, b: DataFrame, threshold: float, n_words: int, orde
     n_bits = n_words * WORD
     counted = a.select(F.col("fp_a").alias("fp")).union(b.select(F.col("fp_b").alias("fp")))
     per_bit = dict(  # at most one row per bit
-        counted.select(F.explode(_ones(F.col("fp"), n_words)).alias("bit")).groupBy("bit").count().collect()
+        counted.select(F.explode(ones(F.col("fp"), n_words)).alias("bit")).groupBy("bit").count().collect()
     )
     rank = [0] * n_bits
     for r, bit in enumerate(sorted(range(n_bits), key=lambda i: (per_bit.get(i, 0), i))):

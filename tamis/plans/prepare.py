@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.functions.text import canonical
+from tamis.functions.bits import pack_bits, positions_to_bits
+from tamis.functions.text import canonical, hash_fp, strip_parts
 from tamis.operators.checks import violations_of_unique
 from tamis.operators.clean import clean_readings, collapse_primary, flag_retest, label_activity
 from tamis.operators.identity import group_identities
 from tamis.operators.splits import stratified_folds
 
 
+def fingerprint(structure: str, radius: int, n_bits: int) -> Column:
+    """Packed fingerprint of a canonical structure, as searches and rankers take it."""
+    return pack_bits(positions_to_bits(hash_fp(F.split(structure, " "), radius, n_bits), n_bits), n_bits)
+
+
 def master_table(
-    raw: DataFrame, alert: Column, unique_on: list[str] | None = None, threshold: float = 35.0, lower: float = -100.0
+    raw: DataFrame,
+    alert: Column,
+    unique_on: list[str] | None = None,
+    threshold: float = 35.0,
+    lower: float = -100.0,
+    salts: Sequence[str] = (),
+    radius: int = 2,
+    n_bits: int = 1024,
 ) -> DataFrame:
-    """Clean, name molecules, number duplicates and label: one row per reading.
+    """Clean, name molecules, number duplicates, label and fingerprint: one row per reading.
 
-    ``raw`` has the raw screen schema; ``alert`` is 1 for a structure that raised one.
+    ``raw`` has the raw screen schema; ``alert`` is 1 for a structure that raised
+    one. ``salts`` are components that do not count as part of a structure. The
+    fingerprint ``fp`` is made last, from the structure's text, so that no
+    shuffle moves it.
     """
     rows = clean_readings(raw, "inhibition", "structure", lower)
     unique_on = unique_on or ["sample_id", "plate_name", "plate_well", "run_date", "inhibition"]
     bad = violations_of_unique(rows, unique_on).take(1)
     if bad:
         raise AssertionError(f"readings repeat, for example {bad[0]}")
-    rows = flag_retest(rows.withColumn("canonical", canonical("structure")), "plate_name")
+    parent = strip_parts("structure", salts) if salts else F.col("structure")
+    rows = flag_retest(rows.withColumn("canonical", canonical(parent)), "plate_name")
     named = group_identities(rows, "sample_id", "canonical", unique_on)
-    return label_activity(named, "molecule_id", "inhibition", "is_retest", alert, threshold)
+    labelled = label_activity(named, "molecule_id", "inhibition", "is_retest", alert, threshold)
+    return labelled.withColumn("fp", fingerprint("canonical", radius, n_bits))
 
 
-def training_table(master: DataFrame, k: int = 10) -> DataFrame:
-    """One row per molecule from its primary readings, with a fold."""
+def training_table(master: DataFrame, k: int = 10, radius: int = 2, n_bits: int = 1024) -> DataFrame:
+    """One row per molecule from its primary readings, with its fingerprint and a fold.
+
+    The structure, and with it ``fp``, is that of the primary reading with the lowest number.
+    """
     primary = master.filter("is_retest = 0")
     rows = collapse_primary(
         primary,
@@ -40,7 +63,8 @@ def training_table(master: DataFrame, k: int = 10) -> DataFrame:
         ["canonical", "activity", "primary_filter", "retest_filter", "alert_filter"],
         "inhibition_primary_median",
     )
-    return stratified_folds(rows, "molecule_id", "activity", k)
+    folded = stratified_folds(rows, "molecule_id", "activity", k)
+    return folded.withColumn("fp", fingerprint("canonical", radius, n_bits))
 
 
 def fold_totals(training: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def test_bit_functions(spark):
 
 def test_ones_match_the_string(spark):
     s = prints(10, 1)
-    got = frame(spark, s).select(neighbors._ones(F.col("fp"), 2)).collect()
+    got = frame(spark, s).select(bits.ones(F.col("fp"), 2)).collect()
     assert [r[0] for r in got] == [[i for i, c in enumerate(x) if c == "1"] for x in s]
 
 

@@ -32,6 +32,25 @@ def test_raw_readings_to_training_rows(spark):
         prepare.master_table(raw.union(raw), F.lit(0))
 
 
+def test_training_rows_feed_the_rankers(spark):
+    from tamis.models.rankers import SimilarityRanker
+
+    words = ["red round box", "red round lid", "blue flat box", "blue flat lid", "green tall jar", "green tall cup"]
+    rows = [reading(f"m{i}", f"{w}.HCl" if i % 2 else w, f"{p}{i}", "w", 90.0 if i < 2 else 5.0) for i, w in enumerate(words) for p in ("P", "CP")]
+    raw = spark.createDataFrame([*rows, reading("m9", "Red  round BOX.HCl", "P9", "w", 90.0)], schemas.RAW_SCREEN)
+    master = prepare.master_table(raw, F.lit(0), salts=["HCl"], radius=1, n_bits=128)
+    assert master.filter("fp IS NULL OR size(fp) <> 2").isEmpty()
+    training = prepare.training_table(master, 3, radius=1, n_bits=128)
+    found = {r.molecule_id: r for r in training.collect()}
+    assert set(found) == {f"m{i}" for i in range(6)} and found["m0"].sample_ids == "m0, m9"
+    model = SimilarityRanker("fp", "molecule_id", "activity", 128).fit(training)
+    scored = {r.molecule_id: r.score for r in model.transform(training).collect()}
+    assert scored["m0"] == scored["m1"] == 1.0 and max(scored[f"m{i}"] for i in (4, 5)) < 0.2
+    # Fingerprints are the same on readings and molecules.
+    prints = {(r.canonical, tuple(r.fp)) for r in master.collect()}
+    assert {(r.canonical, tuple(r.fp)) for r in found.values()} <= prints
+
+
 def test_order_list_and_featurizer(spark):
     from tamis.functions.bits import pack_bits
 
