@@ -114,14 +114,25 @@ def chi2_uniform(spark, sf):
 
 @query(
     "permutation_independence",
-    """WITH o AS (SELECT lang, quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL)
-       SELECT round(-sum(lgamma(n + 1)), 6) AS statistic, CAST(500 AS BIGINT) AS replicates, true AS p_in_range FROM o""",
+    """WITH o AS (SELECT lang, quality, count(*) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY ALL),
+         t AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS k, count(*) FILTER (WHERE quality = 1) AS q,
+                 count(*) FILTER (WHERE toxic = 1) AS x, count(*) AS n FROM labels),
+         f AS (SELECT k, q, x, n, unnest(range(greatest(0, q + x - n), least(q, x) + 1)) AS i FROM t),
+         p AS (SELECT i = k AS seen, -(lgamma(i + 1) + lgamma(q - i + 1) + lgamma(x - i + 1) + lgamma(n - q - x + i + 1)) AS s,
+                 lgamma(q + 1) + lgamma(n - q + 1) + lgamma(x + 1) + lgamma(n - x + 1) - lgamma(n + 1) AS c FROM f),
+         e AS (SELECT sum(exp(s + c)) AS p FROM p WHERE s <= (SELECT s FROM p WHERE seen) + 1e-7 * abs((SELECT s FROM p WHERE seen)))
+       SELECT 'lang, quality' AS pair, round(-sum(lgamma(n + 1)), 6) AS statistic, CAST(500 AS BIGINT) AS replicates, true AS p_in_range,
+              CAST(NULL AS BOOLEAN) AS dependent FROM o
+       UNION ALL SELECT 'quality, toxic', (SELECT round(s, 6) FROM p WHERE seen), 500, true, p <= 0.05 FROM e""",
 )
 def permutation_independence(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
-    out = stats.perm_test(df, "lang", "quality", replicates=500)
+    """Language against quality, and two flags, where SQL knows the exact p-value and so the answer at 5 %."""
+    labels = table(spark, sf, "labels")
+    df = table(spark, sf, "documents").select("doc_id", "lang").join(labels, "doc_id")
+    langs = stats.perm_test(df, "lang", "quality", replicates=500).select(F.lit("lang, quality").alias("pair"), "*", F.lit(None).cast("boolean").alias("dependent"))
+    flags = stats.perm_test(labels, "quality", "toxic", replicates=500).select(F.lit("quality, toxic").alias("pair"), "*", (F.col("p_value") <= 0.05).alias("dependent"))
     in_range = (F.col("p_value") >= 1 / 501) & (F.col("p_value") <= 1)
-    return out.select(F.round("statistic", 6).alias("statistic"), "replicates", in_range.alias("p_in_range"))
+    return langs.union(flags).select("pair", F.round("statistic", 6).alias("statistic"), "replicates", in_range.alias("p_in_range"), "dependent")
 
 
 # Doses by event type and the grid of the curve.

@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-MARGIN_LIMIT = 5_000_000  # categories whose totals may travel to the tasks
+from tamis.session import materialize
+
+CATEGORY_BLOCK = 4096  # categories of one side that a task draws together
+MOST_BLOCKS = 1024  # blocks of a side; with more categories the blocks grow
+DRAWN_DIRECTLY = 10**9  # largest population the generator's own hypergeometric draw takes
 
 
 def chi2_sf(x: float, dof: int) -> float:
@@ -120,55 +124,151 @@ def _log_factorial(n: pd.Series) -> pd.Series:
     return n.map(lambda v: math.lgamma(v + 1.0))
 
 
-def _random_table(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray) -> Iterator[np.ndarray]:
-    """Rows of a table with the given totals, as a shuffle of the labels gives them."""
-    left = cols.copy()
-    for total in rows[:-1]:
-        line = rng.multivariate_hypergeometric(left, total)
+def draw_marked(rng: np.random.Generator, marked: int, others: int, n: int) -> int:
+    """How many of ``n`` taken from ``marked + others`` are marked, for populations of any size.
+
+    Beyond the generator's range the chances within 12 deviations of the mode
+    are added up from their ratios; what lies outside is below 1e-30.
+    """
+    if marked + others < DRAWN_DIRECTLY:
+        return int(rng.hypergeometric(marked, others, n))
+    least, most = max(0, n - others), min(n, marked)
+    if least == most:
+        return least
+    size = marked + others
+    mode = min(max((n + 1) * (marked + 1) // (size + 2), least), most)
+    deviation = math.sqrt(n * (marked / size) * (others / size) * ((size - n) / max(size - 1, 1)))
+    reach = int(12 * deviation) + 20
+    low, high = max(least, mode - reach), min(most, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    ratios = np.log(marked - k) + np.log(n - k) - np.log(k + 1) - np.log(others - n + k + 1)
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    summed = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(summed, rng.random() * summed[-1], side="right")), high - low)
+
+
+def draw_colours(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
+    """``n`` taken without replacement from an urn with so many of each colour."""
+    left = int(colours.sum())
+    if left < DRAWN_DIRECTLY:
+        return rng.multivariate_hypergeometric(colours, n, method="marginals")
+    out = np.zeros_like(colours)
+    for j, count in enumerate(colours.tolist()):
+        left -= count
+        out[j] = draw_marked(rng, count, left, n)
+        n -= int(out[j])
+    return out
+
+
+def random_cells(rng: np.random.Generator, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells above 0 of a random table with these totals: row, column and count.
+
+    A row with more than one unit a column is drawn column by column, the units
+    of all other rows are shuffled, so the work is the smaller of both.
+    """
+    large = np.flatnonzero(rows > len(cols))
+    small = np.flatnonzero((rows > 0) & (rows <= len(cols)))
+    left, found = cols.copy(), []
+    for i in large:
+        line = draw_colours(rng, left, int(rows[i]))
         left -= line
-        yield line
-    yield left
+        at = np.flatnonzero(line)
+        found.append((np.full(len(at), i), at, line[at]))
+    if len(small):
+        # Columns keep at most as many units as the small rows have.
+        units = rng.permutation(np.repeat(np.arange(len(cols)), left))
+        cell = np.repeat(small, rows[small]) * len(cols) + units
+        cell, count = np.unique(cell, return_counts=True)
+        found.append((cell // len(cols), cell % len(cols), count))
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    return tuple(np.concatenate([f[part] for f in found]) for part in range(3))
+
+
+def log_weight(counts: np.ndarray) -> float:
+    """Minus the sum of log n! over the cells."""
+    values, times = np.unique(counts, return_counts=True)
+    return -float(sum(math.lgamma(v + 1.0) * t for v, t in zip(values.tolist(), times.tolist())))
+
+
+def _blocks(seen: DataFrame, side: str, name: str) -> tuple[DataFrame, np.ndarray]:
+    """Totals of one side in blocks of bounded size (``name, totals``), and the blocks' own totals."""
+    totals = seen.groupBy(side).agg(F.sum("observed").alias("n"))
+    n = totals.count()
+    if n < 2:
+        raise ValueError("the test needs two categories on both sides")
+    size = max(CATEGORY_BLOCK, -(-n // MOST_BLOCKS))
+    block = F.pmod(F.xxhash64(side), F.lit(-(-n // size))).cast("int")
+    listed = F.sort_array(F.collect_list(F.struct(F.col(side).alias("category"), "n")))
+    blocks = materialize(totals.groupBy(block.alias(name)).agg(F.transform(listed, lambda s: s["n"]).alias("totals")), "margins")
+    sums = blocks.select(name, F.aggregate("totals", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).collect()
+    whole = np.zeros(1 + max(r[0] for r in sums), dtype=np.int64)  # at most MOST_BLOCKS numbers
+    for at, total in sums:
+        whole[at] = total
+    return blocks, whole
 
 
 def perm_test(df: DataFrame, a: str, b: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
     """Fisher's exact test with a simulated p-value: ``statistic, p_value, replicates``.
 
     Shuffling the labels of all rows gives tables with fixed totals; those are
-    drawn directly, so a replicate costs the size of the table, not of the data.
-    The data is counted once by Spark; the replicates are spread over the tasks,
-    each with its own random stream. The statistic is the log probability of the
-    table up to a constant.
+    drawn directly, so a replicate costs the size of the table, or of the data
+    if that is smaller. The statistic is the log probability of the table up to
+    a constant.
+
+    No side has a limit: its categories are dealt to blocks, and a replicate is
+    drawn as a tree. First the table of block by block, then the shares of the
+    categories of each block in every block of the other side, and last the
+    cells of each pair of blocks, which its shares alone decide. Tasks draw the
+    parts, each with a random stream of its own, so a part that is lost comes
+    out the same again; the driver sees the blocks' totals only.
     """
-    seen = _observed(df, a, b)
-    rows, cols = (
-        [
-            r.n
-            for r in seen.groupBy(c).agg(F.sum("observed").alias("n")).orderBy(c).limit(MARGIN_LIMIT + 1).collect()
-        ]
-        for c in (a, b)
-    )
-    if max(len(rows), len(cols)) > MARGIN_LIMIT:
-        raise ValueError("too many categories for a simulated test")
+    seen = materialize(_observed(df, a, b), "cells")
     found = seen.agg((-F.sum(_log_factorial("observed"))).alias("s")).first().s
-    if found is None or len(rows) < 2 or len(cols) < 2:
+    if found is None:
         raise ValueError("the test needs two categories on both sides")
-    long_side, short_side = (rows, cols) if len(rows) >= len(cols) else (cols, rows)
-    sent = df.sparkSession.sparkContext.broadcast(
-        (np.array(long_side, dtype=np.int64), np.array(short_side, dtype=np.int64))
-    )
+    rows, row_totals = _blocks(seen, a, "p")
+    cols, col_totals = _blocks(seen, b, "q")
 
-    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        longer, shorter = sent.value
+    def pairs_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
             for i in batch["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                out.append(
-                    -sum(math.lgamma(x + 1.0) for line in _random_table(rng, longer, shorter) for x in line)
-                )
-            yield pd.DataFrame({"s": out})
+                p, q, n = random_cells(np.random.default_rng([seed, int(i), 0]), row_totals, col_totals)
+                yield pd.DataFrame({"id": int(i), "p": p, "q": q, "n": n})
+
+    def shares_of(kind: int, mine: str, other: str):
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for i, block, totals, parts in zip(batch["id"], batch[mine], batch["totals"], batch["parts"]):
+                    to, n = (np.array([part[k] for part in parts], dtype=np.int64) for k in (other, "n"))
+                    rng = np.random.default_rng([seed, int(i), kind, int(block)])
+                    category, at, count = random_cells(rng, np.asarray(totals, dtype=np.int64), n)
+                    order = np.lexsort((category, at))
+                    at, count, cuts = at[order], count[order], np.searchsorted(at[order], np.arange(len(to) + 1))
+                    yield pd.DataFrame(
+                        {"id": i, mine: block, other: to, f"{mine}_shares": [count[x:y] for x, y in zip(cuts, cuts[1:])]}
+                    )
+
+        return draw
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, p, q, x, y in zip(batch["id"], batch["p"], batch["q"], batch["p_shares"], batch["q_shares"]):
+                rng = np.random.default_rng([seed, int(i), 3, int(p), int(q)])
+                out.append(log_weight(random_cells(rng, np.asarray(x), np.asarray(y))[2]))
+            yield pd.DataFrame({"id": batch["id"], "s": out})
+
+    spark = df.sparkSession
+    met = materialize(spark.range(replicates).mapInPandas(pairs_of_blocks, "id long, p int, q int, n long"), "blocks")
+
+    def shares(blocks: DataFrame, kind: int, mine: str, other: str) -> DataFrame:
+        parts = met.groupBy("id", mine).agg(F.sort_array(F.collect_list(F.struct(other, "n"))).alias("parts"))
+        schema = f"id long, {mine} int, {other} int, {mine}_shares array<long>"
+        return parts.join(blocks, mine).mapInPandas(shares_of(kind, mine, other), schema)
 
-    draws = df.sparkSession.range(replicates).mapInPandas(simulate, "s double")
+    both = shares(rows, 1, "p", "q").join(shares(cols, 2, "q", "p"), ["id", "p", "q"])
+    draws = both.mapInPandas(weigh, "id long, s double").groupBy("id").agg(F.sum("s").alias("s"))
     near = found * (1 + 1e-7) if found > 0 else found * (1 - 1e-7)
     return draws.agg(
         F.lit(float(found)).alias("statistic"),

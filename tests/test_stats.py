@@ -56,6 +56,49 @@ def test_simulated_test_matches_the_exact_one(spark):
     assert stats.perm_test(tea, "a", "b", 4000).first().p_value == pytest.approx(34 / 70, abs=0.04)
 
 
+def test_simulated_test_in_many_blocks(spark, monkeypatch):
+    """Three categories a block on both sides: the same distribution, and the same table again."""
+    rng = random.Random(2)
+    rows = [(rng.randrange(11), rng.randrange(9)) for _ in range(150)]
+    rows += [(0, rng.randrange(9)) for _ in range(80)]  # a hot category
+    df = spark.createDataFrame(rows, "a int, b int")
+    whole = stats.perm_test(df, "a", "b", 500).first()
+    monkeypatch.setattr(stats, "CATEGORY_BLOCK", 3)
+    parts, again = (stats.perm_test(df, "a", "b", 500).first() for _ in range(2))
+    assert parts == again and parts.statistic == pytest.approx(whole.statistic)
+    assert parts.p_value == pytest.approx(whole.p_value, abs=0.12) and 0.02 < whole.p_value < 0.98
+    tea = table(spark, {("m", "M"): 3, ("m", "T"): 1, ("t", "M"): 1, ("t", "T"): 3})
+    monkeypatch.setattr(stats, "CATEGORY_BLOCK", 1)
+    assert stats.perm_test(tea, "a", "b", 2000).first().p_value == pytest.approx(34 / 70, abs=0.06)
+
+
+def test_simulated_test_needs_two_categories(spark):
+    for rows in ([], [("x", "p"), ("x", "q")], [("x", "p"), ("y", None)]):
+        with pytest.raises(ValueError):
+            stats.perm_test(spark.createDataFrame(rows, "a string, b string"), "a", "b", 10)
+
+
+def test_random_cells_keep_the_totals():
+    rng = np.random.default_rng(0)
+    for rows, cols in [([5, 0, 1, 900], [400, 6, 500]), ([1] * 50, [10, 0, 40]), ([7], [3, 4]), ([0], [0])]:
+        i, j, n = stats.random_cells(rng, np.array(rows), np.array(cols))
+        dense = np.zeros((len(rows), len(cols)), dtype=int)
+        np.add.at(dense, (i, j), n)
+        assert dense.sum(1).tolist() == rows and dense.sum(0).tolist() == cols and (n > 0).all()
+
+
+def test_draws_beyond_the_generators_range(monkeypatch):
+    """Sums of ratios give the distribution the generator gives, and take any population."""
+    rng = np.random.default_rng(1)
+    plain = rng.hypergeometric(40, 60, 30, size=4000)
+    monkeypatch.setattr(stats, "DRAWN_DIRECTLY", 0)
+    own = np.array([stats.draw_marked(rng, 40, 60, 30) for _ in range(4000)])
+    assert abs(own.mean() - plain.mean()) < 0.15 and abs(own.std() - plain.std()) < 0.15
+    assert [stats.draw_marked(rng, 5, 0, 3), stats.draw_marked(rng, 0, 5, 3), stats.draw_marked(rng, 5, 3, 8)] == [3, 0, 5]
+    big = stats.draw_colours(rng, np.array([10**12, 3 * 10**12, 0]), 10**10)
+    assert big.sum() == 10**10 and big[2] == 0 and abs(big[0] - 2.5e9) < 1e6
+
+
 def test_hill_fit_recovers_the_curve(spark):
     doses = [90, 45, 30, 12, 6, 3, 1.2, 0.6]
     rows = [
