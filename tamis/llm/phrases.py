@@ -186,7 +186,7 @@ def dumped(words: list[bytes], rows: np.ndarray, counts: np.ndarray, ranges: Ran
 
     A single word that fills several ranges is in each of them.
     """
-    langs, firsts = rows[:, 0], rows[:, 1]
+    langs, firsts = rows[:, 0].astype(np.int64), rows[:, 1]
     seconds = rows[:, 2] if rows.shape[1] > 2 else np.zeros(len(rows), np.int64)
     pairs, at = np.unique(langs * (len(words) + 1) + firsts, return_inverse=True)
     heads = [words[i - 1] for i in (pairs // (len(words) + 1)).tolist()], [words[i - 1] for i in (pairs % (len(words) + 1)).tolist()]
@@ -224,7 +224,7 @@ class Held:
         number = self.number
         own = [number.setdefault(words.words[i], len(number) + 1) for i in used.tolist()]
         lang = [number.setdefault(words.langs[i], len(number) + 1) for i in used.tolist()]
-        names, langs = np.zeros(len(words.words) + 1, np.int64), np.zeros(len(words.words) + 1, np.int64)
+        names, langs = np.zeros(len(words.words) + 1, np.int32), np.zeros(len(words.words) + 1, np.int32)
         names[used], langs[used] = own, lang  # the last entry, for -1, stays NONE
         self.rows.append(np.concatenate((langs[rows[:, :1]], names[rows]), axis=1))
         self.counts.append(counts)
@@ -239,7 +239,7 @@ class Held:
     def taken(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words in their order, sorted distinct rows, counts; nothing is held any more."""
         words = sorted(self.number)
-        place = np.zeros(len(words) + 1, np.int64)
+        place = np.zeros(len(words) + 1, np.int32)
         place[[self.number[w] for w in words]] = np.arange(1, len(words) + 1)
         rows, counts = folded(place[np.concatenate(self.rows)], np.concatenate(self.counts))
         self.number, self.rows, self.counts = {}, [], []

@@ -96,18 +96,23 @@ class Transducer(NamedTuple):
         return np.concatenate(found), np.concatenate(counts)
 
     def dump(self) -> bytes:
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        head = np.array([len(sizes), len(self.start), len(self.label), self.root], np.int64)
-        arrays = (head, sizes, self.start, self.label, self.weight, self.target)
-        return b"".join(np.ascontiguousarray(a, np.int64).tobytes() for a in arrays) + b"".join(self.words)
+        """States, arcs and words are numbered in 32 bits; weights take 64 where one needs them."""
+        heavy = np.int64 if len(self.weight) and self.weight.max() > np.iinfo(np.int32).max else np.int32
+        head = np.array([len(self.words), len(self.start), len(self.label), self.root, np.dtype(heavy).itemsize], np.int64)
+        sizes = np.array([len(w) for w in self.words], np.int32)
+        numbers = (np.ascontiguousarray(x, np.int32).tobytes() for x in (sizes, self.start, self.label, self.target))
+        return b"".join((head.tobytes(), *numbers, np.ascontiguousarray(self.weight, heavy).tobytes(), *self.words))
 
     @classmethod
     def load(cls, raw: bytes) -> Transducer:
-        n_words, n_starts, n_arcs, root = np.frombuffer(raw, np.int64, 4).tolist()
-        cuts = np.cumsum([4, n_words, n_starts, n_arcs, n_arcs, n_arcs])
-        sizes, start, *arcs = np.split(np.frombuffer(raw, np.int64, cuts[-1]), cuts[:-1])[1:]
-        ends = (np.cumsum(sizes) + 8 * cuts[-1]).tolist()
-        return cls([raw[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)], start, *arcs, root)
+        n_words, n_starts, n_arcs, root, wide = np.frombuffer(raw, np.int64, 5).tolist()
+        cuts = np.cumsum([n_words, n_starts, n_arcs, n_arcs])
+        numbers = np.frombuffer(raw, np.int32, cuts[-1], 40).astype(np.int64)
+        sizes, start, label, target = np.split(numbers, cuts[:-1])
+        at = 40 + 4 * int(cuts[-1])
+        weight = np.frombuffer(raw, np.int64 if wide == 8 else np.int32, n_arcs, at).astype(np.int64)
+        ends = (np.cumsum(sizes) + at + wide * n_arcs).tolist()
+        return cls([raw[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)], start, label, weight, target, root)
 
 
 def union(parts: list[Transducer], depth: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:

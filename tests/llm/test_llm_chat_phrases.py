@@ -156,3 +156,19 @@ def test_transducers_give_back_what_they_were_built_from():
     assert same == words and (r == rows).all() and (c == 2 * counts).all()
     chain = np.array([[a, 2, 3, 4] for a in (1, 2, 3, 4)])  # equal tails are one state each
     assert len(transducer.Transducer.build(words, chain, np.full(4, 7)).label) == 4 + 3
+
+
+def test_automata_are_read_as_they_were_written():
+    import numpy as np
+
+    from tamis.llm.transducer import Transducer
+
+    words, rows = [b"", b"a", b"\xc3\xa9\x00", b"zz"], np.array([[1, 0], [1, 2], [3, 4], [4, 0]])
+    for counts in ([1, 2, 3, 4], [1, 2**31, 2**40, 4], [2**31 - 1] * 4):
+        built = Transducer.build(words, rows, np.array(counts))
+        again = Transducer.load(built.dump())
+        assert again.words == built.words and again.root == built.root
+        found, n = again.rows(2)
+        assert sorted(zip(map(tuple, found.tolist()), n.tolist())) == sorted(zip(map(tuple, rows.tolist()), counts))
+    empty = Transducer.build([], np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    assert len(Transducer.load(empty.dump()).rows(2)[0]) == 0
