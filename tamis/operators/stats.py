@@ -7,9 +7,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from tamis.functions.rows import number
 from tamis.session import materialize
 
 CATEGORY_BLOCK = 4096  # categories of one side that a task draws together
@@ -277,8 +278,8 @@ def perm_test(df: DataFrame, a: str, b: str, replicates: int = 2000, seed: int =
     )
 
 
-def hill(dose: np.ndarray, midpoint: np.ndarray, slope: np.ndarray, bottom: float, top: float) -> np.ndarray:
-    """Response that falls from ``top`` to ``bottom`` as the dose passes the midpoint."""
+def hill(dose, midpoint, slope, bottom: float, top: float):
+    """Response that falls from ``top`` to ``bottom`` as the dose passes the midpoint; of numbers or columns."""
     return bottom + (top - bottom) / (1.0 + (dose / midpoint) ** slope)
 
 
@@ -297,47 +298,42 @@ def fit_hill(
 
     The squared error depends on the readings only through count, sum and sum of
     squares per dose, so readings are folded to one row per dose first, however
-    many a compound has. The best grid point (ties: smaller midpoint, then slope)
-    is optionally refined by grids of a third of the previous spacing around it.
+    many a compound has. These rows lie together by compound, so the errors of
+    all grid points are added up without another shuffle and without a list of
+    doses. The best point (ties: smaller midpoint, then slope) is optionally
+    refined by grids of a third of the previous spacing around it. Readings
+    without a number or a dose do not count; rows without a compound are one.
     """
-    per_dose = (
-        df.filter(F.col(dose).isNotNull() & F.col(response).isNotNull())
-        .groupBy(compound, dose)
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(response).alias("s"),
-            F.sum(F.col(response) * F.col(response)).alias("q"),
-        )
-    )
-    folded = per_dose.groupBy(compound).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(dose).cast("double").alias("d"), "n", "s", "q"))).alias("doses")
+    readings = df.select(
+        F.col(compound).alias("compound"), number(dose).cast("double").alias("dose"), number(response).cast("double").alias("y")
+    ).na.drop(subset=["dose", "y"])
+    moments = (
+        readings.groupBy("compound", "dose")
+        .agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+        .repartition("compound")
     )
-    mids, powers = np.array(midpoints, dtype=float), np.array(slopes, dtype=float)
-
-    def errors(d, n, s, q, grid_m, grid_h):
-        f = hill(d[:, None], grid_m[None, :], grid_h[None, :], bottom, top)
-        return np.round((q[:, None] - 2 * f * s[:, None] + n[:, None] * f * f).sum(0), 6)
-
-    def best(d, n, s, q, grid_m, grid_h):
-        e = errors(d, n, s, q, grid_m, grid_h)
-        at = np.lexsort((grid_h, grid_m, e))[0]
-        return grid_m[at], grid_h[at], e[at]
-
-    @F.pandas_udf("midpoint double, slope double, sse double, n long")
-    def fit(doses: pd.Series) -> pd.DataFrame:
-        grid_m, grid_h = (g.ravel() for g in np.meshgrid(mids, powers, indexing="ij"))
-        out = []
-        for rows in doses:
-            d, n, s, q = (np.array([float(r[k]) for r in rows]) for k in ("d", "n", "s", "q"))
-            m, h, e = best(d, n, s, q, grid_m, grid_h)
-            step_m = (mids.max() / mids.min()) ** (1 / max(len(mids) - 1, 1))
-            step_h = (powers.max() - powers.min()) / max(len(powers) - 1, 1)
-            for _ in range(refine):
-                step_m, step_h = step_m ** (1 / 3), step_h / 3
-                near_m = m * step_m ** np.arange(-3, 4)
-                near_h = np.clip(h + step_h * np.arange(-3, 4), 1e-3, None)
-                m, h, e = best(d, n, s, q, *(g.ravel() for g in np.meshgrid(near_m, near_h, indexing="ij")))
-            out.append((m, h, e, int(n.sum())))
-        return pd.DataFrame(out, columns=["midpoint", "slope", "sse", "n"])
-
-    return folded.select(compound, fit("doses").alias("__fit")).select(compound, "__fit.*")
+    if refine:
+        moments = materialize(moments, "doses")
+
+    def best_of(rows: DataFrame, points: list[tuple[Column, Column]]) -> DataFrame:
+        """The point with the least error, of a grid that may depend on the row's compound."""
+        listed = F.array(*[F.struct(m.alias("midpoint"), h.alias("slope")) for m, h in points])
+        grid = F.inline(F.array_distinct(listed))  # points may fall together at the least slope
+        f = hill(F.col("dose"), F.col("midpoint"), F.col("slope"), bottom, top)
+        error = F.col("q") - 2 * f * F.col("s") + F.col("n") * f * f
+        errors = rows.select("compound", "dose", "n", "s", "q", grid).groupBy("compound", "midpoint", "slope").agg(
+            F.round(F.sum(error), 6).alias("sse"), F.sum("n").alias("n")
+        )
+        return errors.groupBy("compound").agg(F.min(F.struct("sse", "midpoint", "slope", "n")).alias("best"))
+
+    best = best_of(moments, [(F.lit(float(m)), F.lit(float(h))) for m in midpoints for h in slopes])
+    step_m = (max(midpoints) / min(midpoints)) ** (1 / max(len(midpoints) - 1, 1))
+    step_h = (max(slopes) - min(slopes)) / max(len(slopes) - 1, 1)
+    for _ in range(refine):
+        step_m, step_h = step_m ** (1 / 3), step_h / 3
+        near_m = [F.col("best.midpoint") * float(step_m**k) for k in range(-3, 4)]
+        near_h = [F.greatest(F.col("best.slope") + float(step_h * k), F.lit(1e-3)) for k in range(-3, 4)]
+        centres = materialize(best.withColumnRenamed("compound", "of"), "centres")
+        around = moments.join(centres, F.col("compound").eqNullSafe(F.col("of")))
+        best = best_of(around, [(m, h) for m in near_m for h in near_h])
+    return best.select(F.col("compound").alias(compound), "best.midpoint", "best.slope", "best.sse", "best.n")

@@ -114,3 +114,17 @@ def test_hill_fit_recovers_the_curve(spark):
     fine = {r.c: r for r in stats.fit_hill(df, "c", "d", "y", mids, slopes, refine=5).collect()}
     assert fine["b"].midpoint == pytest.approx(3.0, rel=0.02) and fine["b"].slope == pytest.approx(0.75, abs=0.02)
     assert fine["b"].sse < grid["b"].sse
+
+
+def test_hill_fit_runs_without_python(spark):
+    """Missing and undefined readings are left out, rows without a compound are one."""
+    rows = [("a", 1.0, 90.0), ("a", 4.0, 36.0), ("a", 2.0, float("nan")), ("a", None, 5.0), ("a", 2.0, None), (None, 1.0, 90.0), (None, 4.0, 36.0)]
+    df = spark.createDataFrame(rows, "c string, d double, y double")
+    fitted = stats.fit_hill(df, "c", "d", "y", [0.5, 1.0, 2.0], [1.0, 2.0])
+    assert {(r.c, r.midpoint, r.slope, r.sse, r.n) for r in fitted.collect()} == {("a", 1.0, 1.0, 0.0, 2), (None, 1.0, 1.0, 0.0, 2)}
+    assert {r.c for r in stats.fit_hill(df, "c", "d", "y", [0.5, 1.0, 2.0], [1.0, 2.0], refine=1).collect()} == {"a", None}
+    flat = spark.createDataFrame([("f", 1.0, 90.0), ("f", 9.0, 90.0)], "c string, d double, y double")  # the least slope is reached
+    assert [r.n for r in stats.fit_hill(flat, "c", "d", "y", [1.0, 3.0], [0.01, 0.5], refine=2).collect()] == [2]
+    plan = fitted._jdf.queryExecution().toString()
+    assert "Python" not in plan and "collect_list" not in plan
+    assert stats.fit_hill(df.limit(0), "c", "d", "y", [1.0], [1.0]).collect() == []
