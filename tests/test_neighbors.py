@@ -176,3 +176,32 @@ def test_far_apart_rows_lead_themselves(spark):
     out = neighbors.leader_clusters(df, "fp", "id", N_BITS, 0.3).collect()
     assert all(r.leader_id == r.id for r in out) and {r.cluster_id for r in out} == set(range(6))
     assert neighbors.pick_diverse(df.withColumn("score", F.col("id") * 1.0), "fp", "id", "score", N_BITS, 1).first().id == 5
+
+
+@pytest.mark.parametrize(("distance", "joined"), [(0.2, 1e9), (0.2, 1e-9), (0.55, 1e-9)])
+@pytest.mark.parametrize("block", [7, 4096])
+def test_both_ways_of_the_similarity_join_find_every_pair(spark, distance, joined, block, monkeypatch):
+    """Costs that force the join on rare bits (1e-9: any number of its rows is cheap) or the blocks."""
+    monkeypatch.setattr(neighbors, "JOINED_ROW", joined)
+    monkeypatch.setattr(neighbors, "REFERENCE_BLOCK", block)
+    s, other = prints(40, 4), prints(30, 5)
+    heads = {x: i for i, x in reversed(list(enumerate(s))) if int(x, 2)}
+    others = {x: 100 + i for i, x in reversed(list(enumerate(other))) if int(x, 2)}
+    near = lambda x, y: 1 - sim(x, y) <= distance + 1e-12
+    inside = {(a, b): (s.count(x), s.count(y)) for x, a in heads.items() for y, b in heads.items() if a < b and near(x, y)}
+    between = {(a, b): (s.count(x), other.count(y)) for x, a in heads.items() for y, b in others.items() if near(x, y)}
+    df, more = frame(spark, s), frame(spark, other, 100)
+    for second, want in ((None, inside), (more, between)):
+        out = neighbors.pairwise(df, second, "fp", "id", N_BITS, distance).collect()
+        assert len(out) == len(want) and {(r.id_a, r.id_b): (r.copies_a, r.copies_b) for r in out} == want
+    refs = more.select(F.col("id").alias("ref_id"), F.col("fp").alias("ref_fp"))
+    best = {r.id: r.nearest_id for r in neighbors.best_above(df, refs, "fp", "id", N_BITS, 1 - distance).collect()}
+    assert best == {i: min((-sim(x, y), b) for y, b in others.items())[1] for i, x in enumerate(s) if int(x, 2) and any(near(x, y) for y in others)}
+
+
+def test_dense_prints_are_not_joined_on_bits(spark):
+    """Nearly all pairs of such prints share a rare bit, many times over."""
+    rng = random.Random(3)
+    df = frame(spark, ["".join(rng.choice("01") for _ in range(N_BITS)) for _ in range(200)]).select("id", "fp", F.lit(1).cast("long").alias("n"))
+    assert neighbors._joined_above(df, df, 0.5, 2, True, 200 * 200 * 2 / neighbors.JOINED_ROW) is None
+    assert neighbors._joined_above(df, df, 0.5, 2, True, float("inf")).dtypes == neighbors._blocks_above(df, None, 0.5, 2, False).dtypes
