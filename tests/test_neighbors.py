@@ -205,3 +205,16 @@ def test_dense_prints_are_not_joined_on_bits(spark):
     df = frame(spark, ["".join(rng.choice("01") for _ in range(N_BITS)) for _ in range(200)]).select("id", "fp", F.lit(1).cast("long").alias("n"))
     assert neighbors._joined_above(df, df, 0.5, 2, True, 200 * 200 * 2 / neighbors.JOINED_ROW) is None
     assert neighbors._joined_above(df, df, 0.5, 2, True, float("inf")).dtypes == neighbors._blocks_above(df, None, 0.5, 2, False).dtypes
+
+
+def test_a_missing_word_does_not_change_other_rows(spark):
+    """Beside a null, words were once read as floats and lost their last bits."""
+    s = prints(30, 2)
+    df = frame(spark, s).unionByName(frame(spark, [None, None], 50))
+    refs = df.filter("id % 2 = 0").select(F.col("id").alias("ref_id"), F.col("fp").alias("ref_fp"))
+    got = {r.id: (r.nearest_id, r.nearest_similarity) for r in neighbors.nearest(df, refs, "fp", "id", N_BITS).collect()}
+    for i, x in enumerate(s):
+        if int(x, 2):
+            best = min((-(sim(x, y) or 0), j) for j, y in enumerate(s) if j % 2 == 0)
+            assert got[i] == (best[1], -best[0])
+    assert got[50] == got[51] == (0, 0.0)
