@@ -33,7 +33,7 @@ ROUNDS = 3
 SHORT = 6  # words of context below which a window stands for itself
 COPY_BITS = 40  # texts that share an id are told apart above these bits of a position
 FILTER_BITS = 24  # of the filter that spares other documents' texts a shuffle; bounds its broadcast
-HELD = 1 << 21  # pieces that a task folds at once
+HELD, CHUNK = 1 << 19, 2 << 20  # pieces that a task folds at once, bytes of text whose words it holds
 _MUL = [np.uint64(m) for m in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F)]  # fixed odd multipliers (XXH64)
 _DUP, _ASK = 1, 2
 
@@ -222,7 +222,7 @@ def find_pieces(docs: DataFrame, width: int) -> DataFrame:
             mark = head & ask  # tells the others that the context has several
             yield _batch(_PIECE, context[mark], whole[mark], doc[mark], at[mark], 0 * n[mark], np.full(mark.sum(), _ASK))
 
-        for chunk in in_chunks(batches, "body"):
+        for chunk in in_chunks(batches, "body", CHUNK):
             words = Words(chunk.column("body"))
             begin, end, context, whole = pieces(words, width)
             if len(begin):
@@ -275,7 +275,7 @@ def find_windows(asked: DataFrame, width: int) -> DataFrame:
             kind = np.where(first, 0, _DUP)
             yield _batch(_WINDOWS, one[order], two[order], doc[order], at[order], np.ones(len(one), np.int64), kind)
 
-        for chunk in in_chunks(batches, "body"):
+        for chunk in in_chunks(batches, "body", CHUNK):
             words = Words(chunk.column("body"))
             spans = chunk.column("spans")
             counts = pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -406,4 +406,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b" ".join(left))
         return {"n_words": n_words, "n_removed": n_removed, "kept_text": kept}
 
-    return arrow_map(joined, each, "n_words bigint, n_removed bigint, kept_text binary", "body", [id_col])
+    return arrow_map(joined, each, "n_words bigint, n_removed bigint, kept_text binary", "body", [id_col], CHUNK)

@@ -337,3 +337,16 @@ def test_texts_without_a_letter_are_of_no_language(spark):
     out = {r.doc_id: r for r in langid.identify(df.select("doc_id", "text"), langid.fit_filters(df)).collect()}
     assert [out[i].lang_pred for i in (1, 2, 3, 4, 5, 7)] == ["de", "en", "und", "und", "und", "und"]
     assert out[6].lang_pred in ("de", "en") and all(0 <= r.score <= 1 for r in out.values())
+
+
+def test_repeats_do_not_depend_on_how_much_a_task_holds(spark, monkeypatch):
+    from tamis.llm import substring_dedup
+
+    shared = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"a{i} {shared} b{i} {shared}" if i % 2 else f"c{i} {shared}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = lambda: sorted(map(tuple, substring_dedup.kept_words(df).collect()))
+    whole = found()
+    monkeypatch.setattr(substring_dedup, "CHUNK", 300)
+    monkeypatch.setattr(substring_dedup, "HELD", 20)
+    assert found() == whole and [r[2] for r in whole] == [0] + [80 if i % 2 else 40 for i in range(1, 30)]
