@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.functions.bits import pack_bits, positions_to_bits
+from tamis.functions.bits import pack_positions
 from tamis.functions.text import canonical, hash_fp, strip_parts
 from tamis.operators.checks import violations_of_unique
 from tamis.operators.clean import clean_readings, collapse_primary, flag_retest, label_activity
@@ -16,7 +16,7 @@ from tamis.operators.splits import stratified_folds
 
 def fingerprint(structure: str, radius: int, n_bits: int) -> Column:
     """Packed fingerprint of a canonical structure, as searches and rankers take it."""
-    return pack_bits(positions_to_bits(hash_fp(F.split(structure, " "), radius, n_bits), n_bits), n_bits)
+    return pack_positions(hash_fp(F.split(structure, " "), radius, n_bits), n_bits)
 
 
 def master_table(
