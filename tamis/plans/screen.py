@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.functions.bits import pack_bits, positions_to_bits
+from tamis.functions.bits import pack_positions
 from tamis.functions.text import canonical, hash_fp
 from tamis.operators.aggregates import over_threshold
 from tamis.operators.clean import passing
@@ -22,7 +22,7 @@ def featurize(df: DataFrame, text: str, radius: int, n_bits: int) -> DataFrame:
 
 
 def with_words(df: DataFrame, n_bits: int, ones: str = "ones", fp: str = "fp") -> DataFrame:
-    return df.withColumn(fp, pack_bits(positions_to_bits(ones, n_bits), n_bits))
+    return df.withColumn(fp, pack_positions(ones, n_bits))
 
 
 def featurize_by(df: DataFrame, featurizer: Callable, schema: str) -> DataFrame:
