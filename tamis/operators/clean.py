@@ -185,7 +185,7 @@ def collapse_primary(
     ``firsts`` come from the row with the lowest duplicate number.
     """
     plain = df.groupBy(molecule).agg(
-        *[F.min_by(c, duplicate).alias(c) for c in firsts],
+        F.min_by(F.struct(*firsts), duplicate).alias("__first"),
         *[F.array_join(F.array_sort(F.collect_set(c)), ", ").alias(n) for n, c in lists.items()],
-    )
+    ).select(molecule, *[F.col(f"__first.{c}").alias(c) for c in firsts], *lists)
     return plain.join(grouped_median(df, value, [molecule], median), molecule, "left")

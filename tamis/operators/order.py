@@ -159,7 +159,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated exact quantiles per group, one column per entry; NULL and NaN are no values.
 
-    Found by counting buckets: nothing is sorted and no group is gathered.
+    Found by counting buckets; a task sorts only groups of up to 65 536 values.
     Without ``partition_by`` there is one row, of NULLs if there is no value.
     """
     places = {}

@@ -8,7 +8,8 @@ group has at most about a million buckets, however many rows.
 
 The first buckets are 256 to the octave, later ones 65 536 to the range of values
 found, so a few rounds end at single values. The input is read once a round and
-must be the same each time.
+must be the same each time. Groups are counted first: those small enough for a
+task are sorted there, in one shuffle, and only the larger ones are searched.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tamis.session import materialize
 
+SMALL = 1 << 16  # values of a group that one task may sort
 OCTAVE = 256
 FINER = 1 << 16
 ABOVE_ZERO = 300_000  # more than 256 times the octaves below one
@@ -68,10 +70,14 @@ def _holding(buckets: DataFrame, keys: Sequence[str], wants: Column) -> DataFram
     ).select(*keys, "name", "size", inside.alias("place"), "__min", "__max", value.alias("value"))
 
 
-def _first(df: DataFrame, value: str | Column, places: Mapping[str, Place], keys: Sequence[str]):
-    """The rows with a number, and the first round over them."""
+def _numbers(df: DataFrame, value: str | Column, keys: Sequence[str]) -> DataFrame:
+    """The rows with a number."""
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    rows = df.select(*keys, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    return df.select(*keys, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+
+
+def _first(rows: DataFrame, places: Mapping[str, Place], keys: Sequence[str]) -> DataFrame:
+    """The first round over the rows with a number."""
     wants = F.array(
         *[
             F.struct(
@@ -82,8 +88,7 @@ def _first(df: DataFrame, value: str | Column, places: Mapping[str, Place], keys
             for name, at in places.items()
         ]
     )
-    found = _holding(_counted(rows.withColumn("__bucket", bucket(F.col("__v"))), keys), keys, wants)
-    return rows, found
+    return _holding(_counted(rows.withColumn("__bucket", bucket(F.col("__v"))), keys), keys, wants)
 
 
 def values_at(
@@ -94,7 +99,8 @@ def values_at(
     The driver sees one row per place and round. The count is 0 if no place was met.
     With ``slack`` a value up to so many places lower will do, which spares rounds.
     """
-    rows, found = _first(df, value, places, [])
+    rows = _numbers(df, value, [])
+    found = _first(rows, places, [])
     out: dict[str, float | None] = dict.fromkeys(places)
     size = 0
     while True:
@@ -138,10 +144,38 @@ def group_values_at(
     """The values at some places of each group, and its number of values as ``size``.
 
     One row per group that has one of the places; NULL for those it does not have.
+    """
+    rows = _numbers(df, value, keys)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    large = materialize(
+        sizes.filter(F.col("__n") > SMALL).select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)]), "large"
+    )
+    if large.isEmpty():
+        return _sorted_values(rows, places, keys, size)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(keys)])
+    hot = F.broadcast(large)  # a row per 65 536 rows at most
+    small = _sorted_values(rows.join(hot, same, "left_anti"), places, keys, size)
+    return small.unionByName(_searched_values(rows.join(hot, same, "left_semi"), places, keys, size))
+
+
+def _sorted_values(rows: DataFrame, places: Mapping[str, Place], keys: Sequence[str], size: str) -> DataFrame:
+    """The same for groups that fit a task."""
+    groups = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__all"))
+    counted = groups.withColumn("__total", F.size("__all").cast("long"))
+    spots = {name: at(F.col("__total")).cast("int") for name, at in places.items()}
+    has = reduce(lambda a, b: a | b, [spot.between(0, F.col("__total") - 1) for spot in spots.values()])
+    return counted.filter(has).select(
+        *keys, F.col("__total").alias(size), *[F.get("__all", spot).alias(name) for name, spot in spots.items()]
+    )
+
+
+def _searched_values(rows: DataFrame, places: Mapping[str, Place], keys: Sequence[str], size: str) -> DataFrame:
+    """The same for groups of any size.
+
     What later rounds need of a group, at most two numbers and a name per place,
     is written and joined to the rows.
     """
-    rows, found = _first(df, value, places, keys)
+    found = _first(rows, places, keys)
     rounds = []
     while True:
         found = materialize(found, "places")

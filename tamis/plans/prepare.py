@@ -12,6 +12,7 @@ from tamis.operators.checks import violations_of_unique
 from tamis.operators.clean import clean_readings, collapse_primary, flag_retest, label_activity
 from tamis.operators.identity import group_identities
 from tamis.operators.splits import stratified_folds
+from tamis.session import materialize
 
 
 def fingerprint(structure: str, radius: int, n_bits: int) -> Column:
@@ -36,14 +37,15 @@ def master_table(
     fingerprint ``fp`` is made last, from the structure's text, so that no
     shuffle moves it.
     """
-    rows = clean_readings(raw, "inhibition", "structure", lower)
+    parent = strip_parts("structure", salts) if salts else F.col("structure")
+    rows = clean_readings(raw, "inhibition", "structure", lower).withColumn("canonical", canonical(parent))
+    rows = materialize(flag_retest(rows, "plate_name"), "readings")  # read by every step on identities
     unique_on = unique_on or ["sample_id", "plate_name", "plate_well", "run_date", "inhibition"]
     bad = violations_of_unique(rows, unique_on).take(1)
     if bad:
         raise AssertionError(f"readings repeat, for example {bad[0]}")
-    parent = strip_parts("structure", salts) if salts else F.col("structure")
-    rows = flag_retest(rows.withColumn("canonical", canonical(parent)), "plate_name")
-    named = group_identities(rows, "sample_id", "canonical", unique_on)
+    # Written, or every step behind would join the numbers to the rows again.
+    named = materialize(group_identities(rows, "sample_id", "canonical", unique_on), "named")
     labelled = label_activity(named, "molecule_id", "inhibition", "is_retest", alert, threshold)
     return labelled.withColumn("fp", fingerprint("canonical", radius, n_bits))
 

@@ -79,3 +79,21 @@ def test_exact_quantiles(hot, many_ranges):
 def test_row_ranges_tile_the_table(hot):
     ids = [r.id for p in range(4) for r in row_range(hot, p, 1000, ["id"]).collect()]
     assert sorted(ids) == list(range(3000))
+
+
+def test_small_groups_are_sorted_and_large_ones_searched(spark, monkeypatch):
+    """Both ways give the same places, for null keys, NaN, equal and missing values."""
+    from tamis.operators import selection
+
+    values = [("a", 1.0), ("a", 4.0), ("a", 2.0), ("a", 2.0), (None, 3.0), (None, float("nan")), (None, -1.0), ("b", None), ("c", 0.5)]
+    df = spark.createDataFrame(values, "g string, v double")
+    places = {"low": lambda n: F.floor((n - 1) / 2), "third": lambda n: F.lit(2)}
+    expected = [(None, 2, -1.0, None), ("a", 4, 2.0, 2.0), ("c", 1, 0.5, None)]
+    searched = []
+    real = selection._searched_values
+    monkeypatch.setattr(selection, "_searched_values", lambda *a: searched.append(1) or real(*a))
+    for small, calls in ((1 << 16, 0), (2, 1), (0, 2)):
+        monkeypatch.setattr(selection, "SMALL", small)
+        got = selection.group_values_at(df, "v", places, ["g"]).select("g", "size", "low", "third").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
+        assert len(searched) == calls
