@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tamis.llm.text import arrow_map, named, utf8
+from tamis.llm.text import utf8
 
 PIECE = 1 << 16  # characters from which a text is cut
 _SAFE_CUT = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
@@ -56,38 +58,38 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", na
     independent, so repeated rows repeat their result; an empty table stays
     empty. A column called like ``name`` is replaced.
     """
-    body = named(docs, "__body")
     keep = [c for c in docs.columns if c not in (text_col, name)]
     held = []  # the task's encoder
 
-    def each(chunk) -> dict:
+    def each(body: bytes) -> array:
         if not held:
             held.append(encoding(ranks, pattern))
-        return {name: [encode_text(held[0], t.decode("utf-8", "replace")) for t in chunk.column(body).to_pylist()]}
+        return array("i", encode_text(held[0], body.decode("utf-8", "replace")))
 
-    rows = docs.select(*keep, utf8(F.col(text_col)).alias(body))
-    return arrow_map(rows, each, f"`{name}` array<int>", body, keep, chunk_bytes=1 << 20)
+    return docs.select(*keep, _row_wise(each, "array<int>")(utf8(F.col(text_col))).alias(name))
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, ids_col: str = "ids", name: str = "bytes") -> DataFrame:
     """``encoded`` with the raw bytes that its ids stand for; null ids stand for none."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    schema = T.StructType([f for f in encoded.schema if f.name != name] + [T.StructField(name, T.BinaryType())])
-    keep = [f.name for f in schema][:-1]
-
-    def run(batches):
-        decoder = encoding(ranks, pattern)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                made = [decoder.decode_bytes(i) if i else b"" for i in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k) for k in keep), pa.array(made, pa.binary())], names=[*keep, name]
-                )
-
-    return encoded.mapInArrow(run, schema)
+    keep = [c for c in encoded.columns if c != name]
+    held = []  # the task's decoder
+
+    def each(ids: list[int] | None) -> bytes:
+        if not held:
+            held.append(encoding(ranks, pattern))
+        return held[0].decode_bytes(ids) if ids else b""
+
+    return encoded.select(*keep, _row_wise(each, "binary")(F.col(ids_col)).alias(name))
+
+
+def _row_wise(each: Callable, kind: str) -> Callable[..., Column]:
+    """``each`` as a function of columns, evaluated once a row however often its result is named.
+
+    Rows reach the task's Python by the hundred. An Arrow batch has ten thousand,
+    tens of MB of texts or ids, in the JVM and in Python, for the encoder and for
+    the decoder of every task.
+    """
+    return F.udf(each, kind, useArrow=False).asNondeterministic()
 
 
 def ids_text(ids: Column) -> Column:

@@ -94,6 +94,23 @@ def test_bpe_round_trip(spark):
     assert sorted(((r.doc_id, r.ids, bytes(r.bytes)) for r in got.collect()), key=repr) == want
 
 
+def test_bpe_holds_few_rows_at_once(spark):
+    text = F.when(F.col("doc_id") < 9000, F.repeat(F.lit("some words "), 1000)).otherwise(F.raise_error(F.lit("read too far")))
+    df = spark.range(9500, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    ids = encoder().encode_ordinary("some words " * 1000)
+    assert bpe.encode(df, RANKS, PATTERN).take(1) == [(0, ids)]
+    assert bpe.decode(bpe.encode(df, RANKS, PATTERN), RANKS, PATTERN).take(1) == [(0, ids, b"some words " * 1000)]
+
+
+def test_bpe_odd_ids_and_bytes(spark):
+    df = spark.createDataFrame([(1, [258, 5]), (2, []), (3, None)], "k int, ids array<int>")
+    want = {1: encoder().decode_bytes([258, 5]), 2: b"", 3: b""}
+    assert {r.k: bytes(r.bytes) for r in bpe.decode(df, RANKS, PATTERN).collect()} == want
+    raw = spark.sql("SELECT 1 AS k, X'61FF62' AS text UNION ALL SELECT 2, X'' UNION ALL SELECT 3, NULL")
+    want = {1: encoder().encode_ordinary("a\ufffdb"), 2: [], 3: []}
+    assert {r.k: r.ids for r in bpe.encode(raw, RANKS, PATTERN).collect()} == want
+
+
 @pytest.mark.parametrize("text", [LONG, "a" * 70_000, " " * 70_000, "é 1 " * 30_000, "word's  two\n\n x" * 9000])
 def test_bpe_pieces_change_no_id(text):
     assert "".join(bpe.pieces(text, 1000)) == text
