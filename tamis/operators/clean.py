@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tamis.operators.order import grouped_median
+from tamis.session import materialize
 
 SENTINEL = -1  # label of a row that was not measured
 
@@ -137,8 +138,13 @@ def activity_labels(
 def label_activity(
     df: DataFrame, molecule: str, value: str, retest: str, alert: str | Column, threshold: float = 35.0
 ) -> DataFrame:
-    """The molecule's label copied to all its rows."""
-    return df.join(activity_labels(df, molecule, value, retest, alert, threshold), molecule, "left")
+    """The molecule's label copied to all its rows.
+
+    Labels are written, so that no shuffle behind them is left when the rows are shuffled.
+    """
+    labels = materialize(activity_labels(df, molecule, value, retest, alert, threshold), "labels")
+    # One row per molecule already; said so, for the planner to leave the join out where no label is used.
+    return df.join(labels.dropDuplicates([molecule]), molecule, "left")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -182,10 +188,12 @@ def collapse_primary(
     """One row per molecule: median reading, distinct ids joined, first of the others.
 
     ``lists`` maps output name to column; ids are sorted before joining.
-    ``firsts`` come from the row with the lowest duplicate number.
+    ``firsts`` come from the row with the lowest duplicate number. Medians are
+    written, so that no shuffle behind them is left when the rows are shuffled.
     """
+    medians = materialize(grouped_median(df, value, [molecule], median), "medians")
     plain = df.groupBy(molecule).agg(
         F.min_by(F.struct(*firsts), duplicate).alias("__first"),
         *[F.array_join(F.array_sort(F.collect_set(c)), ", ").alias(n) for n, c in lists.items()],
     ).select(molecule, *[F.col(f"__first.{c}").alias(c) for c in firsts], *lists)
-    return plain.join(grouped_median(df, value, [molecule], median), molecule, "left")
+    return plain.join(medians, molecule, "left")

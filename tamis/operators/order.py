@@ -10,10 +10,11 @@ a sample and must not change between the two reads.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tamis.operators.selection import group_values_at, values_at
+from tamis.operators.selection import SMALL, group_values_at, values_at
 from tamis.session import materialize
 
 SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row below
@@ -103,6 +104,29 @@ def positions(
     )
 
 
+def positions_by_size(
+    df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str], name: str = "position"
+) -> DataFrame:
+    """``positions`` of grouped rows, without writing those of groups that fit a task.
+
+    Groups of up to 65 536 rows are numbered in the tasks that hold them, after one
+    shuffle by group; only larger ones are cut in ranges. The table is read more
+    than once and must be the same each time, such as a written one.
+    """
+    sizes = df.groupBy(*partition_by).agg(F.count("*").alias("__n"))
+    large = materialize(
+        sizes.filter(F.col("__n") > SMALL).select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(partition_by)]),
+        "large",
+    )
+    number = F.row_number().over(W.partitionBy(*partition_by).orderBy(*_columns(order_by))).cast("long")
+    if large.isEmpty():
+        return df.withColumn(name, number)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(partition_by)])
+    hot = F.broadcast(large)  # a row per 65 536 rows at most
+    small = df.join(hot, same, "left_anti").withColumn(name, number)
+    return small.unionByName(positions(df.join(hot, same, "left_semi"), order_by, partition_by, name))
+
+
 def hash_positions(
     df: DataFrame,
     key: str,

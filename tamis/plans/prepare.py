@@ -12,7 +12,7 @@ from tamis.operators.checks import violations_of_unique
 from tamis.operators.clean import clean_readings, collapse_primary, flag_retest, label_activity
 from tamis.operators.identity import group_identities
 from tamis.operators.splits import stratified_folds
-from tamis.session import materialize
+from tamis.session import materialize, passing_shuffles, passing_table
 
 
 def fingerprint(structure: str, radius: int, n_bits: int) -> Column:
@@ -35,17 +35,18 @@ def master_table(
     ``raw`` has the raw screen schema; ``alert`` is 1 for a structure that raised
     one. ``salts`` are components that do not count as part of a structure. The
     fingerprint ``fp`` is made last, from the structure's text, so that no
-    shuffle moves it.
+    shuffle moves it. The cleaned readings are written until their molecules are
+    known; named rows stay, and are numbered when they are read.
     """
     parent = strip_parts("structure", salts) if salts else F.col("structure")
     rows = clean_readings(raw, "inhibition", "structure", lower).withColumn("canonical", canonical(parent))
-    rows = materialize(flag_retest(rows, "plate_name"), "readings")  # read by every step on identities
     unique_on = unique_on or ["sample_id", "plate_name", "plate_well", "run_date", "inhibition"]
-    bad = violations_of_unique(rows, unique_on).take(1)
-    if bad:
-        raise AssertionError(f"readings repeat, for example {bad[0]}")
-    # Written, or every step behind would join the numbers to the rows again.
-    named = materialize(group_identities(rows, "sample_id", "canonical", unique_on), "named")
+    with passing_table(flag_retest(rows, "plate_name"), "readings", "zstd") as rows:  # read by every step on identities
+        with passing_shuffles(raw.sparkSession):
+            bad = violations_of_unique(rows, unique_on).take(1)
+        if bad:
+            raise AssertionError(f"readings repeat, for example {bad[0]}")
+        named = group_identities(rows, "sample_id", "canonical", unique_on)
     labelled = label_activity(named, "molecule_id", "inhibition", "is_retest", alert, threshold)
     return labelled.withColumn("fp", fingerprint("canonical", radius, n_bits))
 
@@ -65,7 +66,8 @@ def training_table(master: DataFrame, k: int = 10, radius: int = 2, n_bits: int
         ["canonical", "activity", "primary_filter", "retest_filter", "alert_filter"],
         "inhibition_primary_median",
     )
-    folded = stratified_folds(rows, "molecule_id", "activity", k)
+    # Written, or both steps of the folds would collapse the readings again.
+    folded = stratified_folds(materialize(rows, "molecules", codec="zstd"), "molecule_id", "activity", k)
     return folded.withColumn("fp", fingerprint("canonical", radius, n_bits))
 
 

@@ -92,6 +92,19 @@ def test_mapping_and_suffix(spark):
     assert joins.append_unmatched(a, b.select("k", F.lit("n").alias("n")), "k", a.filter("k > 1")).count() == 4
 
 
+def test_large_molecules_are_numbered_in_ranges(spark, many_ranges, monkeypatch):
+    from tamis.operators import order
+
+    monkeypatch.setattr(order, "SMALL", 5)
+    rows = [(i, "a" if i < 12 else f"b{i // 4}", f"s{i // 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "n int, id string, s string").repartition(4)
+    got = {r.n: (r.molecule_id, r.duplicate_id) for r in group_identities(df, "id", "s", [F.col("n").desc()]).collect()}
+    want = {}
+    for n, i, _ in rows:
+        want[n] = (i, sum(j == i and m > n for m, j, _ in rows))
+    assert got == want
+
+
 def test_nothing_shared(spark):
     df = spark.createDataFrame([("a", "s1"), ("b", "s2")], "id string, s string")
     out = {(r.molecule_id, r.duplicate_id) for r in group_identities(df, "id", "s", ["s"]).collect()}

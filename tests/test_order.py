@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.operators.order import exact_quantiles, hash_positions, part_of, positions, running_totals
+from tamis.operators.order import exact_quantiles, hash_positions, part_of, positions, positions_by_size, running_totals
 from tamis.operators.ranking import row_range
 
 
@@ -51,6 +51,23 @@ def test_global_positions(hot, many_ranges):
     assert set(out["n"]) == {3000}
 
 
+def test_positions_by_size_are_positions(hot, monkeypatch):
+    """Whether groups are numbered in tasks, in ranges, or some one way and some the other."""
+    from tamis.operators import order
+
+    by = [F.col("v").desc(), "id"]
+    expected = sorted(map(tuple, positions(hot, by, ["g"]).collect()))
+    ranged = []
+    real = order.positions
+    monkeypatch.setattr(order, "positions", lambda *a: ranged.append(1) or real(*a))
+    for small, calls in ((1 << 16, 0), (100, 1), (0, 2)):
+        monkeypatch.setattr(order, "SMALL", small)
+        got = positions_by_size(hot, by, ["g"])
+        assert dict(got.dtypes)["position"] == "bigint"
+        assert sorted(map(tuple, got.collect())) == expected
+        assert len(ranged) == calls
+
+
 def test_hash_positions_follow_the_hash(hot):
     out = hash_positions(hot, "id", ["g"], seed=3).toPandas()
     out["h"] = [hashlib.md5(f"{i}:3".encode()).hexdigest() for i in out["id"]]

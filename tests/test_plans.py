@@ -1,8 +1,12 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tamis.functions.text import canonical
 from tamis.plans import prepare, screen
+from tamis.session import work_folder
 from tamis.sources import schemas
 
 
@@ -32,6 +36,33 @@ def test_raw_readings_to_training_rows(spark):
         prepare.master_table(raw.union(raw), F.lit(0))
 
 
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b for b in blocks.mkString(" ").split() if b.startswith("shuffle_")}
+
+
+def test_preparation_leaves_little_on_disk(spark):
+    """Readings, links and shuffles go as soon as the tables behind them are written."""
+    rows = [reading(f"s{i % 40}", f"x{i % 30} y", "CP1" if i % 3 else "P1", f"w{i}", float(i % 90)) for i in range(300)]
+    raw = spark.createDataFrame(rows, schemas.RAW_SCREEN)
+    folder = work_folder(spark)
+    os.makedirs(folder, exist_ok=True)
+    tables, files = set(os.listdir(folder)), shuffle_files(spark)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    master = prepare.master_table(raw, F.lit(0))
+    training = prepare.training_table(master)
+    assert spark.conf.get(setting, None) == before
+    left = {t.rsplit("-", 1)[0] for t in set(os.listdir(folder)) - tables if not t.startswith(".")}
+    assert left <= {"named", "labels", "medians", "molecules", "large"}
+    until = time.time() + 30  # the files are removed in the background
+    while (more := shuffle_files(spark) - files) and time.time() < until:
+        time.sleep(0.2)
+    assert not more
+    # What is left is enough to read the results, more than once.
+    assert master.count() == 300 and training.count() == training.count() == 10
+
+
 def test_training_rows_feed_the_rankers(spark):
     from tamis.models.rankers import SimilarityRanker
 
